@@ -29,6 +29,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import ship
 from . import bytesops as B
 from .common import components, cut, table
 
@@ -110,6 +111,7 @@ def classes(docs: DataFrame, k: int = 3, retain: int = RETAIN) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, k: int = 3, percent: int = 85) -> DataFrame:
     """docs with doc_id and text to (doc_id, n_shingles, component_id)."""
+    ship(docs.sparkSession)
     ids = docs.select(F.col("doc_id").alias("id"), "text")
     rows = classes(ids, k)
     full = rows.where("id is not null and n > 0")
