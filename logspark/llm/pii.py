@@ -190,10 +190,12 @@ def pseudonymise(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
     tag = F.struct(F.xxhash64(text).alias("a"), F.xxhash64(F.lit(7), text).alias("b"), F.length(text).alias("n"))
     need = rows.where(F.size("__pii_e") > 0).select(tag.alias("t"), F.explode(F.array_distinct("__pii_e")).alias("entity")).distinct()
     maps = need.join(given, "entity").groupBy("t").agg(F.map_from_entries(F.collect_list(F.struct("entity", "surrogate"))).alias("__pii_m"))
-    joined = rows.withColumn("__pii_t", F.when(F.size("__pii_e") > 0, tag)).join(maps.withColumnRenamed("t", "__pii_k"), F.col("__pii_t") == F.col("__pii_k"), "left")
+    # texts without entities stay out of the join
+    joined = rows.where(F.size("__pii_e") > 0).join(maps.select(F.col("t").alias("__pii_k"), "__pii_m"), tag == F.col("__pii_k"))
     parts = F.zip_with(pieces(F.col(text)), F.transform(F.col("__pii_e"), lambda e: F.element_at(F.col("__pii_m"), e)), lambda a, b: F.concat(F.coalesce(a, F.lit("")), F.coalesce(b, F.lit(""))))
-    new = F.when(F.col("__pii_m").isNotNull(), F.array_join(parts, "")).otherwise(F.col(text))
-    return joined.select(*[new.alias(c) if c == text else docs[c] for c in docs.columns], F.size("__pii_e").cast("long").alias("__pii_n"))
+    new = joined.select(*[F.array_join(parts, "").alias(c) if c == text else F.col(f"`{c}`") for c in docs.columns], F.size("__pii_e").cast("long").alias("__pii_n"))
+    same = rows.where(F.size("__pii_e") == 0).select(*[F.col(f"`{c}`") for c in docs.columns], F.lit(0).cast("long").alias("__pii_n"))
+    return same.unionAll(new)
 
 
 #: Stands for the secret that a deployment passes; results are the same for the same key.
