@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 from .bpe import op6_bpe
+from .html import op2_html
+from .media import op4_media
 from .mixing import op8_mixing
 from .neardup import op7_neardup
 from .pii import op10_pii
 from .suffix import op9_suffix
 
-QUERIES = {"op6_bpe": op6_bpe, "op7_neardup": op7_neardup, "op8_mixing": op8_mixing, "op9_suffix": op9_suffix, "op10_pii": op10_pii}
+QUERIES = {"op2_html": op2_html, "op4_media": op4_media, "op6_bpe": op6_bpe, "op7_neardup": op7_neardup, "op8_mixing": op8_mixing, "op9_suffix": op9_suffix, "op10_pii": op10_pii}
 ORACLE_SQL: dict[str, str] = {}
