@@ -7,8 +7,9 @@ from .html import op2_html
 from .media import op4_media
 from .mixing import op8_mixing
 from .neardup import op7_neardup
+from .neighbours import op1_neighbours
 from .pii import op10_pii
 from .suffix import op9_suffix
 
-QUERIES = {"op2_html": op2_html, "op4_media": op4_media, "op6_bpe": op6_bpe, "op7_neardup": op7_neardup, "op8_mixing": op8_mixing, "op9_suffix": op9_suffix, "op10_pii": op10_pii}
+QUERIES = {"op1_neighbours": op1_neighbours, "op2_html": op2_html, "op4_media": op4_media, "op6_bpe": op6_bpe, "op7_neardup": op7_neardup, "op8_mixing": op8_mixing, "op9_suffix": op9_suffix, "op10_pii": op10_pii}
 ORACLE_SQL: dict[str, str] = {}
