@@ -12,7 +12,8 @@ A document is the set of its distinct k-word shingles; two documents are linked
 3. Lists are worked off in rounds, never as all pairs: a round takes a few pivots from each list and compares them with those
    members that aren't in the pivot's component yet. Union-sketch estimation drops pairs that are far below the threshold,
    exact Jaccard on the full sets decides. Pivots have then met the whole list and leave it; a list ends
-   when its members are one component or none is left. Nothing is capped: rounds go on until all lists have ended.
+   when its members are one component or none is left. Each round takes four times as many pivots as the one before. Nothing is
+   capped: rounds go on until all lists have ended.
 
 Cases: null and empty texts, and texts of white space, have an empty set and no links; a text with fewer than k words has one
 shingle, the whole sequence. Null ids take no part in links and get a null component. Rows that repeat an id
@@ -135,25 +136,28 @@ def near_duplicates(docs: DataFrame, k: int = 3, percent: int = 85) -> DataFrame
     have = cut(packed(ids.dropna(subset=["id"])).join(members.withColumnRenamed("sid", "id"), "id").dropDuplicates(["id"]))
     lows = cut(reps.join(members, "sid"))
     edges = comps = None
+    pivots_each = PIVOTS
+    j = percent / 100
     while True:
         state = lists.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("key")
         lists = cut(lists.join(state, "key").select("key", "sid", "comp"))
-        pivots = cut(lists.groupBy("key", F.pmod(F.xxhash64("sid"), F.lit(PIVOTS)).alias("part")).agg(F.min_by(F.struct("sid", "comp"), F.xxhash64("sid", "key")).alias("p"))
-                     .select("key", F.col("p.sid").alias("p"), F.col("p.comp").alias("pc")))
-        pairs = lists.join(pivots, "key").where("comp <> pc").select(F.least("sid", "p").alias("a"), F.greatest("sid", "p").alias("b")).distinct()
-        pairs = cut(pairs)
+        pivots = (lists.groupBy("key", F.pmod(F.xxhash64("sid"), F.lit(pivots_each)).alias("part")).agg(F.min_by(F.struct("sid", "comp"), F.xxhash64("sid", "key")).alias("p"))
+                  .select("key", F.col("p.sid").alias("p"), F.col("p.comp").alias("pc")))
+        pairs = cut(lists.join(pivots, "key").where("comp <> pc").select(F.least("sid", "p").alias("a"), F.greatest("sid", "p").alias("b")).distinct())
         if pairs.isEmpty():
             break
         near = pairs.join(lows.select(F.col("sid").alias("a"), F.col("low").alias("x")), "a").join(lows.select(F.col("sid").alias("b"), F.col("low").alias("y")), "b")
         # four standard deviations of the estimate below the threshold
-        j = percent / 100
         near = near.where(estimate("x", "y", RETAIN) >= F.lit(j) - 4 * F.sqrt(F.lit(j * (1 - j)) / F.least(F.size("x"), F.size("y"), F.lit(RETAIN)))).select("a", "b")
         both = near.join(have.select(F.col("id").alias("b"), F.col("z").alias("zb")), "b").join(have.select(F.col("id").alias("a"), F.col("z").alias("za")), "a")
         found = cut(both.select("a", "b", "za", "zb").mapInArrow(_verify(k, percent), "a long, b long"))
-        edges = found if edges is None else edges.union(found)
-        comps = components(edges)
-        left = lists.join(pivots.select("key", F.col("p").alias("sid")), ["key", "sid"], "left_anti").select("key", "sid")
-        lists = cut(left.join(comps, F.col("sid") == F.col("node"), "left").select("key", "sid", F.coalesce("comp", "sid").alias("comp")))
+        lists = lists.join(pivots.select("key", F.col("p").alias("sid")), ["key", "sid"], "left_anti")
+        if not found.isEmpty():
+            edges = found if edges is None else edges.union(found)
+            comps = components(edges)
+            lists = lists.select("key", "sid").join(comps, F.col("sid") == F.col("node"), "left").select("key", "sid", F.coalesce("comp", "sid").alias("comp"))
+        # lists that are still open hold documents that differ: more pivots end them in fewer rounds
+        pivots_each *= 4
     out = rows.select("id", "n", "f1", "f2").join(sets, ["n", "f1", "f2"], "left")
     if comps is not None:
         out = out.join(comps, F.col("sid") == F.col("node"), "left")
