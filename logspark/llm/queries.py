@@ -8,9 +8,10 @@ from .media import op4_media
 from .mixing import op8_mixing
 from .neardup import op7_neardup
 from .neighbours import op1_neighbours
+from .passages import op3_passages
 from .pii import op10_pii
 from .quality import op5_quality
 from .suffix import op9_suffix
 
-QUERIES = {"op1_neighbours": op1_neighbours, "op2_html": op2_html, "op4_media": op4_media, "op5_quality": op5_quality, "op6_bpe": op6_bpe, "op7_neardup": op7_neardup, "op8_mixing": op8_mixing, "op9_suffix": op9_suffix, "op10_pii": op10_pii}
+QUERIES = {"op1_neighbours": op1_neighbours, "op2_html": op2_html, "op3_passages": op3_passages, "op4_media": op4_media, "op5_quality": op5_quality, "op6_bpe": op6_bpe, "op7_neardup": op7_neardup, "op8_mixing": op8_mixing, "op9_suffix": op9_suffix, "op10_pii": op10_pii}
 ORACLE_SQL: dict[str, str] = {}
