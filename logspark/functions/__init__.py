@@ -1 +1 @@
-
+"""Column functions: levels, templates, hashes, properties, filters."""

@@ -1 +1 @@
-
+"""Operators over log events and control tables."""
