@@ -1,3 +1,63 @@
-"""Queries."""
+"""Queries: traces and spans."""
+
+from __future__ import annotations
+
+import datetime as dt
+
+from pyspark.sql import functions as F
+
+from ..operators import ids, traces
+from .adapters import CONVERSATION_SQL, LOG_SQL, ORDER_SQL, conversation_events, log_events, order_events
+from .queries_search import registry
 
 QUERIES, SQL = {}, {}
+query = registry(QUERIES, SQL)
+
+
+@query("assemble_traces", f"WITH {LOG_SQL} SELECT trace_id, app_id, day, id FROM log WHERE trace_id IS NOT NULL AND day BETWEEN DATE '2024-01-14' AND DATE '2024-01-16' AND app_id IN ('app-1', 'app-2')", days=True)
+def assemble_traces(spark, d):
+    return traces.assemble_traces(log_events(spark, d), apps=["app-1", "app-2"], near=dt.datetime(2024, 1, 15, 9)).select("trace_id", "app_id", "day", "id")
+
+
+@query("newest_traces", f"""WITH {LOG_SQL}, r AS (SELECT app_id, day FROM (SELECT app_id, day, row_number() OVER (PARTITION BY app_id ORDER BY day DESC) AS r FROM (SELECT DISTINCT app_id, day FROM log)) WHERE r <= 7),
+  t AS (SELECT trace_id, strftime(day, '%Y%m%d') || ':' || id AS eid, row_number() OVER (PARTITION BY trace_id ORDER BY ts, app_id, strftime(day, '%Y%m%d') || ':' || id) AS place, count(*) OVER (PARTITION BY trace_id) > 2 AS truncated FROM log JOIN r USING (app_id, day) WHERE trace_id IS NOT NULL)
+  SELECT trace_id, eid, CAST(place AS INTEGER) AS place, truncated FROM t WHERE place <= 2""")
+def newest_traces(spark, d):
+    rows = traces.assemble_traces(log_events(spark, d)).withColumn("event_id", ids.event_id(F.col("day"), F.col("id")))
+    return traces.limit_traces(rows, 2).select("trace_id", F.col("event_id").alias("eid"), "place", "truncated")
+
+
+_PLACED = "pl AS (SELECT *, CAST(row_number() OVER (PARTITION BY trace_id ORDER BY ts, app_id, event_id) AS INTEGER) AS place, start_ts <= ts AS is_span FROM ev)"
+_LINKED = _PLACED + """, f AS (SELECT trace_id, span_id AS key, min(place) AS parent FROM pl WHERE is_span GROUP BY ALL),
+  ln AS (SELECT pl.*, CASE WHEN f.parent <> pl.place THEN f.parent END AS parent FROM pl LEFT JOIN f ON f.trace_id = pl.trace_id AND f.key = CASE WHEN is_span THEN parent_span_id ELSE span_id END)"""
+
+
+@query("link_spans", f"WITH {ORDER_SQL}, {_LINKED} SELECT trace_id, place, is_span, parent FROM ln")
+def link_spans(spark, d):
+    return traces.link_spans(traces.limit_traces(order_events(spark, d))).select("trace_id", "place", "is_span", "parent")
+
+
+@query("span_tree", f"""WITH RECURSIVE {CONVERSATION_SQL}, {_LINKED}, w AS (SELECT trace_id, place, 0 AS depth, [epoch_us(start_ts)] AS path FROM ln WHERE parent IS NULL
+  UNION ALL SELECT ln.trace_id, ln.place, depth + 1, list_append(path, epoch_us(start_ts)) FROM ln JOIN w ON w.trace_id = ln.trace_id AND ln.parent = w.place)
+  SELECT trace_id, place, CAST(depth AS INTEGER) AS depth, CAST(row_number() OVER (PARTITION BY trace_id ORDER BY path) AS INTEGER) AS row FROM w""")
+def span_tree(spark, d):
+    linked = traces.link_spans(traces.limit_traces(conversation_events(spark, d)))
+    return traces.span_tree(linked).select("trace_id", "place", "depth", "row")
+
+
+_WIN = "CASE WHEN is_span THEN epoch_us(start_ts) ELSE epoch_us(ts) END"
+
+
+@query("waterfall", f"""WITH {ORDER_SQL}, {_LINKED}, g AS (SELECT *, {_WIN} AS b, min({_WIN}) OVER t AS s, greatest(max(epoch_us(ts)) OVER t, min({_WIN}) OVER t) AS e FROM ln WINDOW t AS (PARTITION BY trace_id)),
+  h AS (SELECT *, CASE WHEN e > s THEN (e - s) / 1000.0 ELSE 1.0 END AS total FROM g),
+  i AS (SELECT *, least(100.0, greatest(0.0, (b - s) / 1000.0 * 100 / total)) AS l FROM h)
+  SELECT trace_id, place, CAST(round((b - s) / 1000.0, 3) AS DOUBLE) AS offset_ms, CAST(round(l, 4) AS DOUBLE) AS left_pct, CAST(round(greatest(0.0, least(CASE WHEN is_span THEN (epoch_us(ts) - b) / 1000.0 ELSE 0.0 END * 100 / total, 100.0 - l)), 4) AS DOUBLE) AS width_pct FROM i""")
+def waterfall(spark, d):
+    out = traces.waterfall(traces.link_spans(traces.limit_traces(order_events(spark, d))))
+    return out.select("trace_id", "place", F.round("offset_ms", 3).alias("offset_ms"), F.round("left_pct", 4).alias("left_pct"), F.round("width_pct", 4).alias("width_pct"))
+
+
+@query("trace_summary", f"""WITH {ORDER_SQL}, {_PLACED} SELECT trace_id, CAST(greatest(max(epoch_us(ts)), min({_WIN})) - min({_WIN}) AS DOUBLE) / 1000 AS duration_ms, count_if(is_span) AS spans, count(DISTINCT app_id) AS apps,
+  count_if(level >= 4) AS errors, count(*) AS events FROM pl GROUP BY trace_id""")
+def trace_summary(spark, d):
+    return traces.trace_summary(traces.link_spans(traces.limit_traces(order_events(spark, d)))).drop("truncated")
