@@ -4,11 +4,10 @@ A document is the set of its distinct k-word shingles; two documents are linked
 
 1. Each text becomes its set of shingle hashes, a fingerprint of the set, and its bottom-k sketch (the RETAIN smallest hashes).
    Documents with the same fingerprint are one class from here on, whatever their number.
-2. Inverted lists: the PROBE smallest retained values of a class, each with the classes that have it. A pair at the
-   threshold lacks a common value there with probability (1 - percent / 100) ** PROBE at most: 3e-7 at 85 %.
-   A value in more than HOT sketches (a common line or passage) says little, so values that aren't hot come first in the order
-   of each sketch, which is one fixed order for all documents. Only a document that is hot content for the most part
-   also stands in the lists of hot values.
+2. Inverted lists of retained values. A partner at the threshold has most of a sketch's values (all but 15 % of a whole set; of a sketch,
+   all but 15 % and four standard deviations), so a prefix that is one longer than what may differ holds a common one, in any order
+   that all documents share. The order is by how many sketches have a value, rarest first: values that nobody shares use the prefix up
+   and need no list, and common lines or passages come last, where only documents that consist of them get that far.
 3. Lists are worked off in rounds, never as all pairs: a round takes a few pivots from each list and compares them with those
    members that aren't in the pivot's component yet. Union-sketch estimation drops pairs that are far below the threshold,
    exact Jaccard on the full sets decides. Pivots have then met the whole list and leave it; a list ends
@@ -34,7 +33,7 @@ from ..session import ship
 from . import bytesops as B
 from .common import components, cut, table
 
-RETAIN, PROBE, HOT, PIVOTS = 32, 8, 32, 4
+RETAIN, PIVOTS = 32, 4
 
 
 def text_sets(column, k: int) -> Iterator[np.ndarray]:
@@ -110,24 +109,25 @@ def classes(docs: DataFrame, k: int = 3, retain: int = RETAIN) -> DataFrame:
     return cut(docs.mapInArrow(_sketch(k, retain), "id long, n long, f1 long, f2 long, low array<long>"))
 
 
-def near_duplicates(docs: DataFrame, k: int = 3, percent: int = 85) -> DataFrame:
+def near_duplicates(docs: DataFrame, k: int = 3, percent: int = 85, retain: int = RETAIN) -> DataFrame:
     """docs with doc_id and text to (doc_id, n_shingles, component_id)."""
     ship(docs.sparkSession)
     ids = docs.select(F.col("doc_id").alias("id"), "text")
-    rows = classes(ids, k)
+    rows = classes(ids, k, retain)
     full = rows.where("id is not null and n > 0")
     sets = full.groupBy("n", "f1", "f2").agg(F.min("id").alias("sid"))
     reps = cut(full.join(sets.withColumnRenamed("sid", "id"), ["id", "n", "f1", "f2"]).select(F.col("id").alias("sid"), "low").dropDuplicates(["sid"]))
 
-    # inverted lists
+    # inverted lists, rarest values first
     every = reps.select("sid", F.explode("low").alias("key"))
-    hot = cut(every.groupBy("key").agg(F.count("*").alias("df")).where(f"df > {HOT}").select("key"))
-    marked = every.join(hot.withColumn("hot", F.lit(True)), "key", "left")
-    ordered = marked.groupBy("sid").agg(
-        F.sort_array(F.collect_list(F.when(F.col("hot").isNull(), F.col("key")))).alias("cool"),
-        F.sort_array(F.collect_list(F.when(F.col("hot"), F.col("key")))).alias("warm"))
-    probes = F.concat(F.slice("cool", 1, PROBE), F.when(F.size("warm") >= F.size("cool"), F.slice("warm", 1, PROBE)).otherwise(F.array().cast("array<bigint>")))
-    lists = ordered.select("sid", F.explode(probes).alias("key"))
+    shared = every.groupBy("key").agg(F.count("*").alias("df")).where("df > 1")
+    ranked = every.join(shared, "key").groupBy("sid").agg(F.sort_array(F.collect_list(F.struct("df", "key"))).alias("v"))
+    lists = ranked.join(reps.select("sid", F.size("low").alias("m")), "sid")
+    j = percent / 100
+    # values that a partner must have, of the m retained ones: exactly for whole sets, else four standard deviations below the mean
+    need = F.when(F.col("m") < retain, F.ceil(F.col("m") * F.lit(j))).otherwise(F.lit(max(1, int(j * retain - 4 * (j * (1 - j) * retain) ** 0.5))))
+    first = (F.col("m") - need + 1 - (F.col("m") - F.size("v"))).cast("int")  # the prefix, less the values that nobody shares
+    lists = lists.where(first > 0).select("sid", F.explode(F.slice("v", F.lit(1), first)).alias("x")).select("sid", "x.key")
     several = lists.groupBy("key").agg(F.count("*").alias("size")).where("size > 1").select("key")
     lists = cut(lists.join(several, "key").select("key", "sid", F.col("sid").alias("comp")))
 
@@ -137,7 +137,6 @@ def near_duplicates(docs: DataFrame, k: int = 3, percent: int = 85) -> DataFrame
     lows = cut(reps.join(members, "sid"))
     edges = comps = None
     pivots_each = PIVOTS
-    j = percent / 100
     while True:
         state = lists.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("key")
         lists = cut(lists.join(state, "key").select("key", "sid", "comp"))
@@ -148,7 +147,7 @@ def near_duplicates(docs: DataFrame, k: int = 3, percent: int = 85) -> DataFrame
             break
         near = pairs.join(lows.select(F.col("sid").alias("a"), F.col("low").alias("x")), "a").join(lows.select(F.col("sid").alias("b"), F.col("low").alias("y")), "b")
         # four standard deviations of the estimate below the threshold
-        near = near.where(estimate("x", "y", RETAIN) >= F.lit(j) - 4 * F.sqrt(F.lit(j * (1 - j)) / F.least(F.size("x"), F.size("y"), F.lit(RETAIN)))).select("a", "b")
+        near = near.where(estimate("x", "y", retain) >= F.lit(j) - 4 * F.sqrt(F.lit(j * (1 - j)) / F.least(F.size("x"), F.size("y"), F.lit(retain)))).select("a", "b")
         both = near.join(have.select(F.col("id").alias("b"), F.col("z").alias("zb")), "b").join(have.select(F.col("id").alias("a"), F.col("z").alias("za")), "a")
         found = cut(both.select("a", "b", "za", "zb").mapInArrow(_verify(k, percent), "a long, b long"))
         lists = lists.join(pivots.select("key", F.col("p").alias("sid")), ["key", "sid"], "left_anti")
