@@ -27,6 +27,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..session import ship
 from . import bytesops as B
@@ -267,16 +268,20 @@ def _bytes(path: str):
     return run
 
 
+def _with(rows: DataFrame, name: str, kind: T.DataType) -> T.StructType:
+    return T.StructType([*rows.schema.fields, T.StructField(name, kind)])
+
+
 def encode(rows: DataFrame, path: str) -> DataFrame:
     """(id columns, text) to the same with ids array<int>."""
     ship(rows.sparkSession)
-    return rows.mapInArrow(_ids(path), rows.schema.add("ids", "array<int>"))
+    return rows.mapInArrow(_ids(path), _with(rows, "ids", T.ArrayType(T.IntegerType())))
 
 
 def decode(rows: DataFrame, path: str) -> DataFrame:
     """(id columns, ids array<int>) to the same with decoded binary."""
     ship(rows.sparkSession)
-    return rows.mapInArrow(_bytes(path), rows.schema.add("decoded", "binary"))
+    return rows.mapInArrow(_bytes(path), _with(rows, "decoded", T.BinaryType()))
 
 
 def digests(docs: DataFrame, path: str) -> DataFrame:

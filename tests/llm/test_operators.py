@@ -1,0 +1,291 @@
+"""Each operator against brute force on small tables: nulls, empty and repeated rows, ties, extra columns with clashing names, empty tables."""
+
+import base64
+import collections
+import hashlib
+import random
+import re
+import zlib
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from logspark.llm import bpe, common, html, media, mixing, neardup, neighbours, passages, pii, quality, suffix
+
+LOW = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+
+
+def words(t):
+    return re.findall(r"[^\x20\x09-\x0D]+", t or "")
+
+
+def prose(r, n):
+    return " ".join("".join(r.choice("aeioubcdfglmnrst") for _ in range(r.randrange(2, 8))) for _ in range(n))
+
+
+def docs(spark, texts, extra=True):
+    rows = [(i, t, "en", f"s{i % 3}" if i % 7 else None, len(t or "")) for i, t in enumerate(texts)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    return df.withColumns({"id": F.lit("x"), "key": F.lit(1), "size": F.lit(None).cast("int"), "n": F.lit(2.0), "component_id": F.lit("c"), "tie": F.lit(0), "a": F.lit(1)}) if extra else df
+
+
+def test_components(spark):
+    r = random.Random(1)
+    edges = [(r.randrange(60), r.randrange(60)) for _ in range(45)] + [(100, i) for i in range(101, 140)] + [(i, i + 1) for i in range(200, 230)]
+    parent = {}
+    find = lambda x: x if parent.setdefault(x, x) == x else find(parent[x])
+    for a, b in edges:
+        x, y = find(a), find(b)
+        parent[max(x, y)] = min(x, y)
+    got = {n.node: n.comp for n in common.components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert got == {n: find(n) for e in edges if e[0] != e[1] for n in e}
+    assert common.components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def near_texts():
+    r = random.Random(7)
+    base = [prose(r, 60) for _ in range(6)]
+    out = [None, "", "  \n ", "one", "one two", "ONE two", base[0], base[0], base[0].upper()]
+    for b in base:
+        for _ in range(12):  # copies with some words changed, around the threshold
+            w = b.split()
+            for _ in range(r.randrange(0, 5)):
+                w[r.randrange(len(w))] = prose(r, 1)
+            out.append(" ".join(w))
+    line = prose(r, 12)
+    return out + [line + "\n" + prose(r, r.randrange(1, 40)) for _ in range(60)]
+
+
+def test_near_duplicates(spark):
+    texts = near_texts()
+    sets = []
+    for t in texts:
+        w = words((t or "").translate(LOW))
+        sets.append({tuple(w[i : i + 3]) for i in range(len(w) - 2)} if len(w) >= 3 else {tuple(w)} if w else set())
+    parent = list(range(len(texts)))
+    find = lambda x: x if parent[x] == x else find(parent[x])
+    for i in range(len(texts)):
+        for j in range(i):
+            both = len(sets[i] & sets[j])
+            if both and 100 * both >= 85 * len(sets[i] | sets[j]):
+                x, y = find(i), find(j)
+                parent[max(x, y)] = min(x, y)
+    df = docs(spark, texts).unionByName(docs(spark, texts).where("doc_id = 5")).unionByName(docs(spark, ["zz yy xx"]).withColumn("doc_id", F.lit(None).cast("long")))
+    got = [tuple(r) for r in neardup.near_duplicates(df).collect()]
+    assert sorted(x for x in got if x[0] is not None) == sorted([(i, len(sets[i]), find(i)) for i in range(len(texts))] + [(5, 1, find(5))])
+    assert [x for x in got if x[0] is None] == [(None, 1, None)]
+    assert neardup.near_duplicates(df.where("false")).count() == 0
+
+
+@pytest.mark.parametrize("limit", [192, 3])
+def test_repeated_bytes(spark, monkeypatch, limit):
+    monkeypatch.setattr(suffix, "BIN_CONTEXTS", limit)
+    monkeypatch.setattr(suffix, "BLOCK", 8)
+    r = random.Random(3)
+    shared = [prose(r, 12) for _ in range(4)]
+    texts = [None, "", "z" * 130, "ab" * 60] + ["".join(r.choice([prose(r, 6), shared[r.randrange(4)], shared[r.randrange(4)][5:60], "é" * r.randrange(30)]) for _ in range(r.randrange(5))) for _ in range(120)]
+    texts += [texts[9], texts[10]]
+    count = collections.Counter()
+    raw = [(t or "").encode() for t in texts]
+    for t in raw:
+        count.update(t[i : i + 40] for i in range(len(t) - 39))
+    want = []
+    for k, t in enumerate(raw):
+        gone = bytearray(len(t))
+        for i in range(len(t) - 39):
+            if count[t[i : i + 40]] > 1:
+                gone[i : i + 40] = b"\1" * 40
+        want.append((k, len(t), sum(gone), sum(1 for i in range(len(t)) if gone[i] and (i == 0 or not gone[i - 1])), hashlib.sha256(bytes(b for b, g in zip(t, gone, strict=True) if not g)).hexdigest()))
+    assert sorted(tuple(x) for x in suffix.remove_repeats(docs(spark, texts), 40, 8).collect()) == want
+    assert suffix.remove_repeats(docs(spark, texts).where("false"), 40, 8).count() == 0
+
+
+def test_suffix_array():
+    r = random.Random(2)
+    for n in range(60):
+        for alphabet in (1, 2, 3, 9):
+            t = [r.randrange(alphabet) for _ in range(n)]
+            assert suffix.suffix_array(t) == sorted(range(n), key=lambda i: t[i:])
+
+
+def test_passages(spark):
+    r = random.Random(5)
+    shared = [prose(r, 70) for _ in range(3)]
+    edited = shared[2].split()
+    edited[30] = "changed"
+    line = prose(r, 15)
+    texts = [None, "", "short text"] + [prose(r, 80) + "\n" + shared[i % 3] + "\n" + prose(r, 50) for i in range(9)] + [prose(r, 20) + " " + " ".join(edited) + " " + prose(r, 60)] + [prose(r, 60) + " " + line + " " + prose(r, 60) for _ in range(12)]
+    spans, comps = passages.repeated_passages(docs(spark, texts))
+    got = {x.node: x.comp for x in comps.collect()}
+    assert got == {i: 3 + (i - 3) % 3 for i in range(3, 12)} | {12: 5}
+    for x in spans.collect():
+        for s in x.spans:
+            assert 50 <= s.ta - s.fa <= 90 and s.tb - s.fb == s.ta - s.fa
+    assert passages.repeated_passages(docs(spark, texts).where("false"))[0].count() == 0
+
+
+def test_mixing(spark):
+    r = random.Random(9)
+    texts = [None, "", " \n"] + [prose(r, r.choice([1, 3, 20, 400])) for _ in range(600)]
+    df = docs(spark, texts)
+    got = mixing.mix(df).toPandas()
+    size = collections.Counter()
+    for i, t in enumerate(texts):
+        size[f"s{i % 3}" if i % 7 else None] += len(words(t))
+    order = sorted((s for s in size if s), key=lambda s: s.encode()) + [None]
+    total, target, left = sum(size.values()), {}, dict(zip(order, (1, 2, 3, 1), strict=True))
+    while left:  # water filling
+        unit = (total - sum(target.values())) / sum(left.values())
+        over = [s for s, w in left.items() if unit * w > 3 * size[s]]
+        for s in over or list(left):
+            target[s] = 3.0 * size[s] if over else unit * left[s]
+            del left[s]
+    assert len(got) == len(texts) and dict(zip(got.doc_id, got["size"], strict=True)) == {i: len(words(t)) for i, t in enumerate(texts)}
+    for s, g in got.groupby("source", dropna=False):
+        s = s if isinstance(s, str) else None
+        assert abs(g.target.iloc[0] - target[s]) < 1e-6 and abs(g.taken.sum() - target[s]) < 400 and (g.source_size == size[s]).all()
+    assert (got.taken <= 3 * got["size"]).all()
+    again = mixing.mix(df.repartition(7)).toPandas()
+    assert sorted(zip(got.doc_id, got.taken, strict=True)) == sorted(zip(again.doc_id, again.taken, strict=True))
+    out = mixing.mixed(df)
+    assert out.columns == df.columns and out.groupBy("doc_id").count().toPandas()["count"].max() <= 3
+    assert mixing.mix(df.where("false")).count() == 0
+
+
+def test_surrogates(spark):
+    card, other = "4539578763621486", "1234567812345678"
+    texts = [None, "", "plain text", f"pay {card} and {card} or {other}", "mail ann.lee@mail.example.com, ann.lee@mail.example.com!", "ip 10.20.30.40 is not 1.2.3.4.5", "call +1 (017) 555-7713 now", 'token = "0123456789abcdef0123456789abcdef01234567"',
+             "Mrs Miller met Herr Schmidt and Mrs Miller. Господин Иванов ждал.", f"again {card} ann.lee@mail.example.com"]
+    df = docs(spark, texts)
+    got = {r.doc_id: r for r in pii.pseudonymise(df, "k").collect()}
+    t = {i: got[i].text for i in got}
+    assert [got[i]["__pii_n"] for i in range(10)] == [0, 0, 0, 3, 2, 1, 1, 1, 4, 2] and t[0] is None and t[2] == "plain text"
+    new = re.findall(r"\d{16}", t[3])
+    assert new[0] == new[1] != new[2] and card not in t[3] and other not in t[3] and new[0] in t[9]
+    luhn = sum((2 * int(c) - 9 * (c > "4") if i % 2 == 0 else int(c)) for i, c in enumerate(new[0])) % 10
+    assert luhn == 0
+    mails = re.findall(r"[a-z]{3}\.[a-z]{3}@[a-z]{4}\.[a-z]{7}\.com", t[4])
+    assert len(mails) == 2 and mails[0] == mails[1] and mails[0] in t[9] and "ann.lee" not in t[4]
+    assert re.fullmatch(r"call \+1 \(\d{3}\) \d{3}-\d{4} now", t[6]) and "017) 555" not in t[6] and "1.2.3.4.5" in t[5] and "10.20.30.40" not in t[5]
+    assert re.fullmatch(r'token = "[0-9a-f]{40}"', t[7]) and t[7] != texts[7]
+    a, b, c = re.findall(r"(?:Mrs|Herr) (\w+)", t[8])
+    assert a == c != b and "Miller" not in t[8] and re.search(r"Господин [А-Я][а-я]+ ждал", t[8]) and "Иванов" not in t[8]
+    many = spark.createDataFrame([(f"Mrs Name{chr(97 + i // 26)}{chr(97 + i % 26)}",) for i in range(400)], "entity string")
+    given = pii.surrogates(many, "k").toPandas()
+    assert given.surrogate.nunique() == 400 and not set(given.surrogate) & set(given.entity)
+    assert pii.pseudonymise(df.where("false"), "k").count() == 0
+
+
+def test_bpe(spark):
+    tiktoken, tokenizers = pytest.importorskip("tiktoken"), pytest.importorskip("public_tokenizers")
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(bpe.default_path(), "rb"))}
+    enc = tiktoken.Encoding("t", pat_str=tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    r = random.Random(1)
+    pool = ["'", "s", "t", "re", "ll", " ", "  ", "\n", "\t", "1", "²", "é", "中", "!", "#", "　", "🙂", "X", "\x1c", "\r\n", "word", "'s"]
+    texts = [None, "", "a" * 2000, "x" * 70_000] + ["".join(r.choice(pool) for _ in range(r.randrange(14))) for _ in range(3000)]
+    df = docs(spark, texts)
+    got = {x.doc_id: x for x in bpe.digests(df, bpe.default_path()).collect()}
+    for i, t in enumerate(texts):
+        ids = enc.encode_ordinary(t or "") if len(t or "") < 60_000 else None
+        if ids is not None:
+            assert (got[i].n_tokens, got[i].ids_sha256) == (len(ids), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest())
+        assert got[i].decoded_sha256 == hashlib.sha256((t or "").encode()).hexdigest()
+    back = bpe.decode(bpe.encode(df.select("doc_id", "text"), bpe.default_path()).select("doc_id", "ids"), bpe.default_path())
+    assert {x.doc_id: bytes(x.decoded) for x in back.collect()} == {i: (t or "").encode() for i, t in enumerate(texts)}
+    assert bpe.digests(df.where("false"), bpe.default_path()).count() == 0
+
+
+def test_media(spark):
+    for n in (0, 1, 63, 64, 65, 1000):
+        raw = bytes(random.Random(n).randrange(256) for _ in range(n))
+        p = media.pad(raw)
+        assert len(p) % 64 == 0 and len(p) > 0 and media.from_png(media.to_png(p)).tobytes() == p and zlib.crc32(p) >= 0
+    page = '<p>One &amp; <b>two</b></p><figure><img src="sha256:aa"><figcaption>First</figcaption></figure><p>mid</p><img src="sha256:bb" alt="Alt"><script>x</script>end'
+    pages = spark.createDataFrame([(1, page), (1, page), (2, None), (3, ""), (None, "<p>a")], "page_id long, html string").withColumn("media", F.lit(1))
+    store = spark.createDataFrame([("aa", 5, "u"), ("aa", 5, "u"), ("cc", 6, "v")], "digest string, ref int, kind string")
+    seqs = media.parse_sequences(pages)
+    got = {r.id: r["items"] for r in media.gather(media.resolve(seqs.where("id = 1").limit(1), store)).collect()}
+    assert [(i.position, i.kind, i.text, i.caption, i.media and i.media.ref) for i in got[1]] == [
+        (0, "text", "One & two", None, None), (1, "media", None, "First", 5), (2, "text", "mid", None, None), (3, "media", None, "Alt", None), (4, "text", "end", None, None)]
+    assert {(r.id, len(r["items"])) for r in seqs.collect()} == {(1, 5), (2, 0), (3, 0), (None, 1)}
+
+
+PAGES = [
+    ("<nav>Menu</nav><article><h1>T&eacute;</h1><p>Some  text\n here.<p>More <a href=x>linked</a> text</article><footer>f</footer>", "Té\nSome text here.\nMore linked text"),
+    ("<header>Site</header><div class='cookie-notice'>We use cookies</div><div><h1>Title here</h1><p>A long enough paragraph of text.</p><div class='ad'>Buy</div><p>Second one.</p></div><section id='comments'><p>No!</p></section><form>Name</form>", "Title here\nA long enough paragraph of text.\nSecond one."),
+    ("", ""), (None, ""), ("<p>unfinished <b>bold <i", "unfinished bold"), ("<article><p>a<br>b</p><aside>x</aside><ul><li>one<li>two</ul></article>", "a b\none\ntwo"), ("<!-- c --><style>p{}</style><script>if(a<b)</script>plain", "plain")]
+
+
+@pytest.mark.parametrize("page, text", PAGES)
+def test_html(page, text):
+    assert html.main_text(page) == text
+
+
+def test_html_rows(spark):
+    df = spark.createDataFrame([(i, "u", p, "x") for i, (p, _) in enumerate(PAGES)], "page_id long, url string, html string, text string")
+    assert [(r.text, r.n_chars) for r in html.extract(df).orderBy("page_id").collect()] == [(t, len(t)) for _, t in PAGES]
+    assert html.extract(df.where("false")).count() == 0
+
+
+def test_neighbours(spark):
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(1500, 24)) * rng.uniform(0.5, 2, size=(1500, 1))
+    rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(9001, None), (9002, [0.0] * 24), (9003, [1.0]), (9004, [float("nan")] * 24), (9005, [None] * 24), (9006, x[40].tolist()), (9007, x[40].tolist()), (None, x[3].tolist())]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumn("id", F.lit("x")).withColumn("rank", F.lit(0))
+    got = neighbours.search(df, df.where("vec_id % 20 = 0"), 10).toPandas()
+    ids = np.append(np.arange(1500), [9006, 9007])
+    full = np.vstack([x, x[40], x[40]])
+    hits = 0
+    for q, g in got.groupby("query_id"):
+        s = (full * x[q]).sum(1)
+        s[ids == q] = -np.inf
+        best = ids[np.lexsort((ids, -s))[:10]]
+        g = g.sort_values("rank")
+        assert list(g["rank"]) == list(range(1, 11)) and np.allclose(g.score, s[np.searchsorted(ids, g.vec_id)], rtol=0, atol=0)
+        hits += len(set(best) & set(g.vec_id))
+    assert got.query_id.nunique() == 75 and hits >= 0.9 * 750
+    few = df.where("vec_id < 5")
+    assert neighbours.search(few, few.where("vec_id = 0"), 10).count() == 4 and neighbours.search(df.where("false"), df.where("false")).count() == 0
+
+
+def test_quality(spark):
+    r = random.Random(8)
+    texts, labels = [], []
+    for i in range(900):
+        bad, toxic = i % 5 == 0, i % 7 == 0
+        t = " ".join(w.upper() + "!!" for w in prose(r, 60).split()) if bad else prose(r, 60) + "."
+        if toxic:
+            t += " idiot moron" + f" {prose(r, 3)} scum."
+        texts.append(t)
+        labels.append((i, 0 if bad else 1, int(toxic)))
+    texts += [None, ""]
+    df = docs(spark, texts)
+    known = spark.createDataFrame(labels[:450] + [(5000, 1, 0)], "doc_id long, quality int, toxic int").unionByName(spark.createDataFrame([(None, 1, 0), (1, None, 0)], "doc_id long, quality int, toxic int"))
+    out = quality.score(df, quality.fit(df, known)).select("doc_id", "__keep", "__host").toPandas()
+    kept = dict(zip(out.doc_id, out["__keep"], strict=True))
+    right = sum(kept[i] == (q == 1 and t == 0) for i, q, t in labels[450:])
+    assert right >= 0.97 * 450 and len(out) == len(texts) and out["__host"].between(0, 1).all()
+    empty = quality.score(df, quality.fit(df, known.where("false")))
+    assert empty.where("__keep").count() == len(texts) and quality.score(df.where("false"), quality.fit(df.where("false"), known)).count() == 0
+
+
+def test_shrinkage(spark):
+    cells = spark.createDataFrame([("big", 1000, 900.0, 0.5), ("small", 1, 1.0, 0.5), ("low", 1000, 100.0, 0.5)], "host string, n long, s double, g double")
+    got = {r.host: r["g_"] for r in quality._level(cells, ["host"], "g").collect()}
+    assert abs(got["big"] - 0.9) < 0.01 and 0.5 < got["small"] < 0.95 and abs(got["low"] - 0.1) < 0.01
+
+
+def test_pipeline(spark):
+    corpus_pipeline = pytest.importorskip("corpus_pipeline")
+    import __spark_entry__ as entry
+
+    sf = "/root/testdata/sf0.001"
+    docs_ = common.table(spark, sf, "documents")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = common.cut(stage(spark, docs_, sf))
+        assert out.columns == docs_.columns and 0 < out.count(), name
+        docs_ = out
+    last = corpus_pipeline.STAGES[-1][1](spark, docs_, sf)
+    assert last.count() == docs_.count()
+    assert set(entry.queries()) >= {"pipeline", "op1_neighbours", "op10_pii"}
