@@ -227,3 +227,16 @@ def levels(spark, d):
 def event_ids(spark, d):
     eid = ids.event_id(F.col("day"), F.col("id"))
     return log_events(spark, d).select("event_id", "app_id", eid.alias("eid"), ids.parse_event_id(eid).alias("p")).select("event_id", "app_id", "eid", "p.day", "p.id")
+
+
+@query("stem_search")
+def stem_search_query(spark, d):
+    from ..functions.stem import stem_search
+
+    return log_events(spark, d).where(stem_search("payments failing")).groupBy("app_id").agg(F.count("*").alias("n"))
+
+
+@query("tail_backfill", f"WITH {PROPS} SELECT day, id FROM p WHERE app_id = 'app-1' AND level >= 2 AND region = 'us' ORDER BY day DESC, id DESC LIMIT 101", days=True)
+def tail_backfill(spark, d):
+    """The newest events of a tail's condition, one more than a page."""
+    return search.search(log_events(spark, d), 100, app="app-1", level=2, where="Region = 'us'").select("day", "id")

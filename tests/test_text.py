@@ -26,3 +26,18 @@ def test_levels_hash_and_paths(spark):
     j = spark.createDataFrame([('{"a":{"b":[[1,"x"]]},"n":null}',), ("bad",)], "j string")
     got = j.select(T.json_path(F.col("j"), "$.a.b[0][1]"), T.json_path(F.col("j"), "a.b"), T.json_path(F.col("j"), "n"), T.valid_json(F.col("j"))).collect()
     assert [tuple(r) for r in got] == [("x", '[[1,"x"]]', None, True), (None, None, None, False)]
+
+
+@pytest.mark.parametrize("word, want", [("caresses", "caress"), ("ponies", "poni"), ("agreed", "agre"), ("plastered", "plaster"), ("motoring", "motor"), ("hopping", "hop"), ("filing", "file"), ("happy", "happi"), ("relational", "relat"), ("conditional", "condit"), ("triplicate", "triplic"), ("revival", "reviv"), ("adoption", "adopt"), ("probate", "probat"), ("controlling", "control"), ("payments", "payment"), ("failed", "fail")])
+def test_stem(word, want):
+    from logspark.functions.stem import stem
+
+    assert stem(word) == want
+
+
+def test_stem_search(spark):
+    from logspark.functions.stem import stem_search, token_table
+
+    df = spark.createDataFrame([("Payments failed", "Timeout café"), ("payment ok", None)], "message string, exception string")
+    assert df.where(stem_search("payment failing")).count() == 1 and df.where(stem_search("CAFE timeouts")).count() == 1 and df.where(stem_search("paid")).count() == 0
+    assert token_table(df, ["message"]).where("stem = 'payment'").count() == 2
