@@ -8,8 +8,9 @@ A document is the set of its distinct k-word shingles; two documents are linked
    all but 15 % and four standard deviations), so a prefix that is one longer than what may differ holds a common one, in any order
    that all documents share. The order is by how many sketches have a value, rarest first: values that nobody shares use the prefix up
    and need no list, and common lines or passages come last, where only documents that consist of them get that far.
-3. Lists are worked off in rounds, never as all pairs: a round takes a few pivots from each list and compares them with those
-   members that aren't in the pivot's component yet. Union-sketch estimation drops pairs that are far below the threshold,
+3. Lists are worked off in rounds, never as all pairs: a round takes a few pivots from each list (the same documents in all lists
+   where they stand, so that pairs coincide; one in the first round) and compares them with those
+   members that aren't in the pivot's component yet, if their sizes allow it. Union-sketch estimation drops pairs that are far below the threshold,
    exact Jaccard on the full sets decides. Pivots have then met the whole list and leave it; a list ends
    when its members are one component or none is left. Each round takes four times as many pivots as the one before. Nothing is
    capped: rounds go on until all lists have ended.
@@ -33,7 +34,7 @@ from ..session import ship
 from . import bytesops as B
 from .common import components, cut, table
 
-RETAIN, PIVOTS = 32, 4
+RETAIN, PIVOTS = 32, 1
 
 
 def text_sets(column, k: int) -> Iterator[np.ndarray]:
@@ -116,33 +117,35 @@ def near_duplicates(docs: DataFrame, k: int = 3, percent: int = 85, retain: int
     rows = classes(ids, k, retain)
     full = rows.where("id is not null and n > 0")
     sets = full.groupBy("n", "f1", "f2").agg(F.min("id").alias("sid"))
-    reps = cut(full.join(sets.withColumnRenamed("sid", "id"), ["id", "n", "f1", "f2"]).select(F.col("id").alias("sid"), "low").dropDuplicates(["sid"]))
+    reps = cut(full.join(sets.withColumnRenamed("sid", "id"), ["id", "n", "f1", "f2"]).select(F.col("id").alias("sid"), F.col("n").alias("size"), "low").dropDuplicates(["sid"]))
 
     # inverted lists, rarest values first
     every = reps.select("sid", F.explode("low").alias("key"))
     shared = every.groupBy("key").agg(F.count("*").alias("df")).where("df > 1")
     ranked = every.join(shared, "key").groupBy("sid").agg(F.sort_array(F.collect_list(F.struct("df", "key"))).alias("v"))
-    lists = ranked.join(reps.select("sid", F.size("low").alias("m")), "sid")
+    lists = ranked.join(reps.select("sid", "size", F.size("low").alias("m")), "sid")
     j = percent / 100
     # values that a partner must have, of the m retained ones: exactly for whole sets, else four standard deviations below the mean
     need = F.when(F.col("m") < retain, F.ceil(F.col("m") * F.lit(j))).otherwise(F.lit(max(1, int(j * retain - 4 * (j * (1 - j) * retain) ** 0.5))))
     first = (F.col("m") - need + 1 - (F.col("m") - F.size("v"))).cast("int")  # the prefix, less the values that nobody shares
-    lists = lists.where(first > 0).select("sid", F.explode(F.slice("v", F.lit(1), first)).alias("x")).select("sid", "x.key")
-    several = lists.groupBy("key").agg(F.count("*").alias("size")).where("size > 1").select("key")
-    lists = cut(lists.join(several, "key").select("key", "sid", F.col("sid").alias("comp")))
+    lists = lists.where(first > 0).select("sid", "size", F.explode(F.slice("v", F.lit(1), first)).alias("x")).select("sid", "size", "x.key")
+    several = lists.groupBy("key").agg(F.count("*").alias("times")).where("times > 1").select("key")
+    lists = cut(lists.join(several, "key").select("key", "sid", "size", F.col("sid").alias("comp")))
 
     # texts and sketches of the classes that stand in some list with others
     members = cut(lists.select("sid").distinct())
     have = cut(packed(ids.dropna(subset=["id"])).join(members.withColumnRenamed("sid", "id"), "id").dropDuplicates(["id"]))
     lows = cut(reps.join(members, "sid"))
     edges = comps = None
+    # sets whose sizes differ by more can't be similar enough
+    fits = F.least("size", "ps") * 100 >= F.greatest("size", "ps") * percent
     pivots_each = PIVOTS
     while True:
         state = lists.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("key")
-        lists = cut(lists.join(state, "key").select("key", "sid", "comp"))
-        pivots = (lists.groupBy("key", F.pmod(F.xxhash64("sid"), F.lit(pivots_each)).alias("part")).agg(F.min_by(F.struct("sid", "comp"), F.xxhash64("sid", "key")).alias("p"))
-                  .select("key", F.col("p.sid").alias("p"), F.col("p.comp").alias("pc")))
-        pairs = cut(lists.join(pivots, "key").where("comp <> pc").select(F.least("sid", "p").alias("a"), F.greatest("sid", "p").alias("b")).distinct())
+        lists = cut(lists.join(state, "key").select("key", "sid", "size", "comp"))
+        pivots = (lists.groupBy("key", F.pmod(F.xxhash64("sid"), F.lit(pivots_each)).alias("part")).agg(F.min_by(F.struct("sid", "size", "comp"), F.xxhash64("sid")).alias("p"))
+                  .select("key", F.col("p.sid").alias("p"), F.col("p.comp").alias("pc"), F.col("p.size").alias("ps")))
+        pairs = cut(lists.join(pivots, "key").where("comp <> pc").where(fits).select(F.least("sid", "p").alias("a"), F.greatest("sid", "p").alias("b")).distinct())
         if pairs.isEmpty():
             break
         near = pairs.join(lows.select(F.col("sid").alias("a"), F.col("low").alias("x")), "a").join(lows.select(F.col("sid").alias("b"), F.col("low").alias("y")), "b")
@@ -154,7 +157,7 @@ def near_duplicates(docs: DataFrame, k: int = 3, percent: int = 85, retain: int
         if not found.isEmpty():
             edges = found if edges is None else edges.union(found)
             comps = components(edges)
-            lists = lists.select("key", "sid").join(comps, F.col("sid") == F.col("node"), "left").select("key", "sid", F.coalesce("comp", "sid").alias("comp"))
+            lists = lists.select("key", "sid", "size").join(comps, F.col("sid") == F.col("node"), "left").select("key", "sid", "size", F.coalesce("comp", "sid").alias("comp"))
         # lists that are still open hold documents that differ: more pivots end them in fewer rounds
         pivots_each *= 4
     out = rows.select("id", "n", "f1", "f2").join(sets, ["n", "f1", "f2"], "left")
