@@ -12,7 +12,7 @@ SF = "/root/testdata/sf0.001"
 
 def rows(df):
     def cell(x):
-        if x is None or x is pd.NaT or (isinstance(x, float) and x != x):
+        if pd.isna(x):
             return ""
         if hasattr(x, "isoformat"):
             return pd.Timestamp(x).isoformat()
