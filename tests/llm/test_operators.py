@@ -125,6 +125,42 @@ def test_passages(spark):
     assert passages.repeated_passages(docs(spark, texts).where("false"))[0].count() == 0
 
 
+def alike(a, b):
+    """Do two texts of the same length share a passage at the same place?"""
+    x, y = ([tuple(w[i : i + 5]) for i in range(len(w) - 4)] for w in (a.split(), b.split()))
+    return any(100 * len(p & q) >= 80 * len(p | q) for i in range(len(x) - 45) for p, q in [(set(x[i : i + 46]), set(y[i : i + 46]))])
+
+
+def edit(r, text, places):
+    w = text.split()
+    for i in places:
+        w[i] = "z" + prose(r, 1) + "z"
+    return " ".join(w)
+
+
+def test_passages_in_long_lists(spark):
+    r = random.Random(11)
+    base = prose(r, 54)
+    texts = [edit(r, base, r.sample(range(54), r.choice([0, 1, 1, 2]))) for _ in range(150)]
+    assert len(texts) > passages.HOT
+    want = {(i, j) for j in range(150) for i in range(j) if alike(texts[i], texts[j])}
+    got = {x.doc_id: x for x in passages.passage_table(docs(spark, texts)).collect()}
+    links = sum(x.n_links for x in got.values()) / 2
+    assert 0.992 * len(want) <= links <= len(want)
+    for i in range(150):
+        assert got[i].n_links <= sum(i in p for p in want)
+
+
+def test_all_starts():
+    r = np.random.default_rng(3)
+    for top in (40, 10**6):  # with and without repeated shingles
+        x = r.integers(0, top, 120).astype("u8")
+        y = x.copy()
+        y[[3, 20, 41, 60, 61, 62, 63, 64, 65, 100]] += np.uint64(top)
+        want = [100 * len(p & q) >= 80 * len(p | q) for i in range(75) for p, q in [(set(x[i : i + 46].tolist()), set(y[i : i + 46].tolist()))]]
+        assert passages.alike_starts(x, y).tolist() == want
+
+
 def test_mixing(spark):
     r = random.Random(9)
     texts = [None, "", " \n"] + [prose(r, r.choice([1, 3, 20, 400])) for _ in range(600)]
