@@ -151,6 +151,16 @@ def test_passages_in_long_lists(spark):
         assert got[i].n_links <= sum(i in p for p in want)
 
 
+def test_passages_in_a_chain(spark):
+    r = random.Random(12)
+    texts = [prose(r, 50)]
+    for i in range(8):
+        texts.append(edit(r, texts[-1], [5 + 5 * i]))  # each is like the one before and the one after only
+    texts += [texts[3], texts[3]]
+    got = {x.doc_id: (x.class_id, x.n_links, x.n_spans, x.repeats) for x in passages.passage_table(docs(spark, texts)).collect()}
+    assert got == {i: (0, sum(i != j and (texts[i] == texts[j] or alike(texts[i], texts[j])) for j in range(11)), 1, True) for i in range(11)}
+
+
 def test_all_starts():
     r = np.random.default_rng(3)
     for top in (40, 10**6):  # with and without repeated shingles
