@@ -20,8 +20,8 @@ def filter_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates stays, that with the smallest id. Rows that repeat an id become one; null ids stay."""
-    found = neardup.near_duplicates(docs)
+    """One document of each group of near-duplicates (five words, 0.8) stays, that with the smallest id. Rows that repeat an id become one; null ids stay."""
+    found = neardup.near_duplicates(docs, k=5, percent=80)
     kept = found.where("doc_id = component_id").select(F.col("doc_id").alias("__kept")).distinct()
     named = docs.join(kept, docs["doc_id"] == F.col("__kept"), "left_semi").dropDuplicates(["doc_id"])
     return _columns(named.unionByName(docs.where("doc_id is null")), docs)

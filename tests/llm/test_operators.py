@@ -335,3 +335,12 @@ def test_pipeline(spark):
     last = corpus_pipeline.STAGES[-1][1](spark, docs_, sf)
     assert last.count() == docs_.count()
     assert set(entry.queries()) >= {"pipeline", "op1_neighbours", "op10_pii"}
+
+
+def test_pipeline_drops_block_edits(spark):
+    corpus_pipeline = pytest.importorskip("corpus_pipeline")
+    r = random.Random(21)
+    base = prose(r, 100)
+    texts = [base, base + " " + prose(r, 20), base + " " + prose(r, 40), prose(r, 100)]  # 0.828 and 0.706 on five words, 0.831 on three
+    out = corpus_pipeline.drop_near_duplicates(spark, docs(spark, texts), "")
+    assert sorted(x.doc_id for x in out.collect()) == [0, 2, 3]
