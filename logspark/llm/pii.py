@@ -1,12 +1,14 @@
 """Surrogates for personal data (operator 10, DataFrame functions only).
 
-Entities are e-mail addresses, IPv4 addresses, card numbers, phone numbers, quoted secrets (token = "...") and names after a title.
+Entities are e-mail addresses, IPv4 addresses, card numbers, phone numbers, secrets (token = "...", quoted or not) and names after a title.
 One alternation finds them, left to right; the text between them is kept as it is. The surrogate of an entity is a keyed
 function of its kind and text: every digit becomes a digit, every letter a letter of the same case, separators stay, so
 format and length are kept; card numbers get a valid check digit, octets stay below 256, a name keeps its script and the
-gender that its title tells. The same entity has the same surrogate everywhere (coreference). A table of all distinct
-entities, grouped by surrogate, finds collisions: where two entities would share one, or one would equal a real entity, the
-later ones in order draw again with the next attempt number, until all differ (distinctness).
+gender that its title tells. The same entity has the same surrogate everywhere (coreference), however it is written: numbers
+go by their digits, addresses by lower case, secrets by their value, names without title and spacing. A name that is found in a text is
+replaced there without its title, too. A table of all distinct entities, grouped by surrogate, finds collisions: where two
+entities would share one, or one would equal a real entity, the later ones in order draw again with the next attempt number,
+until all differ (distinctness).
 
 Cases: null and empty texts come back unchanged with 0 entities; null ids, repeated rows and other columns pass through; an
 empty table gives an empty result. The entities of one text stay together in that row's arrays, as the text itself does.
@@ -40,10 +42,12 @@ MALE, FEMALE = "Mr|Herr|Monsieur|Señor|Sr|Господин|Κύριος", "Mrs|
 CYRILLIC, GREEK = r"\p{IsCyrillic}", r"\p{IsGreek}"
 
 OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
+#: What stands before a secret, up to its quote.
+SECRET = r"(?<![\p{L}\p{N}])(?i:token|secret|password|passwd|api_?key|access_?key)[\"']?\s{0,4}[=:]\s{0,4}"
 #: Kind and pattern, in order of preference at the same place.
 KINDS = (
     ("email", r"[A-Za-z0-9][A-Za-z0-9._%+\-]{0,63}@(?:[A-Za-z0-9\-]{1,63}\.){1,8}[A-Za-z]{2,24}"),
-    ("secret", r"(?i:\b(?:token|secret|password|passwd|api_?key|access_?key))\s{0,4}[=:]\s{0,4}\"[^\"\s]{6,200}\""),
+    ("secret", SECRET + r"(?:\"(?=(?:[^\s\"]*?[\p{L}\p{N}]){4})[^\s\"]{6,}\"|'(?=(?:[^\s']*?[\p{L}\p{N}]){4})[^\s']{6,}'|(?=(?:[^\s\"',;&]*?[\p{L}\p{N}]){4})[^\s\"',;&]{6,})"),
     ("ip", rf"(?<![\d.])(?:{OCTET}\.){{3}}{OCTET}(?![\d]|\.\d)"),
     ("phone", r"(?<![\w+])\+\d{1,3}[ .\-]?\(?\d{1,4}\)?(?:[ .\-]?\d{2,4}){2,4}(?!\d)"),
     ("card", r"(?<!\d)\d{4}([ \-]?)\d{4}\1\d{4}\1\d{4}(?!\d)"),
@@ -58,7 +62,7 @@ COUNTRY = r"^\+\d{1,3}(?=\D)"
 
 def entities(text: Column) -> Column:
     """The entities of a text in order. Null: an empty array."""
-    cheap = text.rlike(r"[0-9@\"]|" + f"{MALE}|{FEMALE}")  # most texts need one look only
+    cheap = text.rlike(r"[0-9@\"=:]|" + f"{MALE}|{FEMALE}")  # most texts need one look only
     return F.when(cheap, F.regexp_extract_all(text, F.lit(f"({ANY})"), F.lit(1))).otherwise(F.array().cast("array<string>"))
 
 
@@ -70,14 +74,38 @@ def pieces(text: Column) -> Column:
 def kind_of(entity: Column) -> Column:
     """The kind of an entity that entities() found."""
     out = F.lit("person")
-    for kind, test in reversed((("email", entity.contains("@") & ~entity.contains('"')), ("secret", entity.endswith('"')), ("phone", entity.startswith("+")), ("ip", entity.rlike(r"^[\d.]+$") & entity.contains(".")), ("card", entity.rlike(r"^\d")))):
+    for kind, test in reversed((("secret", entity.rlike("^" + SECRET)), ("email", entity.contains("@")), ("phone", entity.startswith("+")), ("ip", entity.rlike(r"^[\d.]+$") & entity.contains(".")), ("card", entity.rlike(r"^\d")))):
         out = F.when(test, F.lit(kind)).otherwise(out)
     return out
 
 
-def _stream(key: str, kind: Column, entity: Column, attempt: Column) -> Column:
-    """256 hexadecimal digits that follow from key, kind, entity and attempt."""
-    seed = F.concat_ws("\x1f", F.lit(key), kind, entity, attempt.cast("string"))
+TITLE = rf"^(?:{MALE}|{FEMALE})\.? +"
+
+
+def _gender(entity: Column) -> Column:
+    return F.when(entity.rlike(rf"^(?:{FEMALE})\b"), F.lit("f")).otherwise(F.lit("m"))
+
+
+def name_of(entity: Column) -> Column:
+    """A person's name without title and spacing."""
+    return F.regexp_replace(F.regexp_replace(entity, TITLE, ""), " +", " ")
+
+
+def _value(entity: Column) -> Column:
+    """A secret without its key and quotes."""
+    return F.regexp_replace(F.regexp_replace(entity, "^" + SECRET + "[\"']?", ""), "[\"']$", "")
+
+
+def normal(kind: Column, entity: Column) -> Column:
+    """What all spellings of an entity share. The gender belongs to names with a given name, whose surrogate tells it."""
+    name = name_of(entity)
+    return (F.when(kind == "email", F.lower(entity)).when(kind == "secret", _value(entity)).when(kind.isin("phone", "card"), F.regexp_replace(entity, r"[^0-9]", ""))
+            .when(kind == "ip", entity).when(name.contains(" "), F.concat(_gender(entity), F.lit(" "), name)).otherwise(name))
+
+
+def _stream(key: str, kind: Column, norm: Column, attempt: Column) -> Column:
+    """256 hexadecimal digits that follow from key, kind, normal form of the entity and attempt."""
+    seed = F.concat_ws("\x1f", F.lit(key), kind, norm, attempt.cast("string"))
     return F.concat(*[F.sha2(F.concat(seed, F.lit(f"\x1f{i}")), 256) for i in range(4)])
 
 
@@ -96,7 +124,7 @@ def _same_format(text: Column, stream: Column) -> Column:
         letter = F.substring(F.lit(LOWER), (_draw(stream, i, 26) + 1).cast("int"), F.lit(1))
         return (F.when(hexa, F.substring(F.lit("0123456789abcdef"), (_draw(stream, i, 16) + 1).cast("int"), F.lit(1)))
                 .when(c.rlike("^[0-9]$"), F.when((i == 0) & (c != "0"), _draw(stream, i, 9) + 1).when(i == 0, F.lit(0)).otherwise(_draw(stream, i, 10)).cast("string"))
-                .when(c.rlike("^[a-z]$"), letter).when(c.rlike("^[A-Z]$"), F.upper(letter)).otherwise(c))
+                .when(c.rlike(r"^\p{Lu}$"), F.upper(letter)).when(c.rlike(r"^\p{L}$"), letter).otherwise(c))
 
     return F.array_join(F.transform(chars, one), "")
 
@@ -129,10 +157,8 @@ def _pick(names: list[str], stream: Column, place: int) -> Column:
 
 def _person(text: Column, stream: Column, attempt: Column) -> Column:
     """The title, then a name of the same script, gender and number of parts."""
-    title = F.regexp_extract(text, rf"^(?:{MALE}|{FEMALE})\.? +", 0)
-    name = F.regexp_replace(text, rf"^(?:{MALE}|{FEMALE})\.? +", "")
+    title, name, gender = F.regexp_extract(text, TITLE, 0), name_of(text), _gender(text)
     script = F.when(name.rlike(CYRILLIC), F.lit("cyrillic")).when(name.rlike(GREEK), F.lit("greek")).otherwise(F.lit("latin"))
-    gender = F.when(title.rlike(rf"^(?:{FEMALE})\b"), F.lit("f")).otherwise(F.lit("m"))
 
     def by(rows):
         return reduce(lambda out, r: F.when(r[0], r[1]).otherwise(out), rows, F.lit(None).cast("string"))
@@ -147,52 +173,85 @@ def _person(text: Column, stream: Column, attempt: Column) -> Column:
     return F.concat(title, F.when(name.contains(" "), F.concat(given, F.lit(" "), family)).otherwise(family), more)
 
 
-def surrogate(entity: Column, attempt: Column, key: str) -> Column:
-    kind = kind_of(entity)
-    stream = _stream(key, kind, entity, attempt)
-    quoted = F.regexp_extract(entity, r'"([^"]*)"$', 1)
+def _phone(text: Column, stream: Column, country: Column) -> Column:
+    """New digits in the given grouping; the first ones, as many as the country code has, stay."""
+    digits = F.regexp_replace(text, r"[^0-9]", "")
+    new = F.concat(F.substring(digits, F.lit(1), country), _same_format(F.substring(digits, country + 1, F.length(digits)), stream))
+    place = lambda i: F.length(F.regexp_replace(F.substring(text, F.lit(1), (i + 1).cast("int")), r"[^0-9]", ""))
+    return F.array_join(F.transform(F.split(text, ""), lambda c, i: F.when(c.rlike("^[0-9]$"), F.substring(new, place(i), F.lit(1))).otherwise(c)), "")
+
+
+def surrogate(entity: Column, kind: Column, norm: Column, attempt: Column, key: str, country: Column) -> Column:
+    """kind and norm should be columns of a table: they stand in this expression very often."""
+    stream = _stream(key, kind, norm, attempt)
     host = F.regexp_extract(entity, r"@(.*)$", 1)
     mail = F.concat(_same_format(F.regexp_extract(entity, r"^(.*)@", 1), stream), F.lit("@"), _same_format(F.regexp_extract(host, r"^(.*)\.", 1), F.reverse(stream)), F.lit("."), F.regexp_extract(host, r"([^.]*)$", 1))
     return (F.when(kind == "email", mail)
-            .when(kind == "secret", F.concat(F.regexp_extract(entity, r'^(.*")[^"]*"$', 1), _same_format(quoted, stream), F.lit('"')))
+            .when(kind == "secret", F.concat(F.regexp_extract(entity, "^" + SECRET + "[\"']?", 0), _same_format(_value(entity), stream), F.regexp_extract(entity, "[\"']?$", 0)))
             .when(kind == "ip", _ip(entity, stream)).when(kind == "card", _card(entity, stream))
-            .when(kind == "phone", F.concat(F.regexp_extract(entity, COUNTRY, 0), _same_format(F.regexp_replace(entity, COUNTRY, ""), stream))).otherwise(_person(entity, stream, attempt)))
+            .when(kind == "phone", _phone(entity, stream, country)).otherwise(_person(entity, stream, attempt)))
 
 
 def surrogates(found: DataFrame, key: str) -> DataFrame:
-    """Distinct (entity) to (entity, surrogate): all surrogates differ from one another and from all entities.
+    """Distinct (entity) to (entity, surrogate): the surrogates of different entities differ in normal form from one another and from all entities.
 
     One round draws for the entities that have none yet and keeps the draws that are free: unlike any entity, unlike any
-    surrogate given before, and the first in order among equal draws.
+    surrogate given before, and the first in order among equal draws. One spelling draws for all.
     """
-    found = cut(found)
-    given, todo, attempt = None, found, 0
+    kind = kind_of(F.col("entity"))
+    found = cut(found.select("entity", kind.alias("kind"), normal(kind, F.col("entity")).alias("norm")))
+    # one spelling may tell the country code that another hides
+    code = F.greatest(F.length(F.regexp_extract("entity", COUNTRY, 0)) - 1, F.lit(0))
+    groups = cut(found.groupBy("kind", "norm").agg(F.min("entity").alias("entity"), F.max(code).alias("country")))
+    given, todo, attempt = None, groups, 0
     while True:
-        drawn = cut(todo.select("entity", surrogate(F.col("entity"), F.lit(attempt), key).alias("surrogate")))
-        first = drawn.groupBy("surrogate").agg(F.min("entity").alias("entity")).select("entity", "surrogate")
-        free = first.join(found.select(F.col("entity").alias("surrogate")), "surrogate", "left_anti")
+        draw = surrogate(F.col("entity"), F.col("kind"), F.col("norm"), F.lit(attempt), key, F.col("country"))
+        drawn = cut(todo.withColumn("drawn", draw))
+        drawn = drawn.withColumn("new", normal(F.col("kind"), F.col("drawn"))).drop("drawn")
+        first = drawn.groupBy("kind", "new").agg(F.min_by(F.struct("norm", "country"), "norm").alias("x")).select("kind", "new", "x.*")
+        free = first.join(groups.select("kind", F.col("norm").alias("new")), ["kind", "new"], "left_anti")
         if given is not None:
-            free = free.join(given.select("surrogate"), "surrogate", "left_anti")
-        free = cut(free.select("entity", "surrogate"))
+            free = free.join(given.select("kind", "new"), ["kind", "new"], "left_anti")
+        free = cut(free.select("kind", "norm", "country", "new", F.lit(attempt).alias("attempt")))
         given = free if given is None else given.union(free)
-        todo = drawn.join(free.select("entity"), "entity", "left_anti").select("entity")
+        todo = drawn.join(free.select("kind", "norm"), ["kind", "norm"], "left_anti").drop("new")
         if todo.isEmpty():
-            return given
+            return found.join(given, ["kind", "norm"]).select("entity", surrogate(F.col("entity"), F.col("kind"), F.col("norm"), F.col("attempt"), key, F.col("country")).alias("surrogate"))
         todo, attempt = cut(todo), attempt + 1
 
 
+def bare_names(entity: Column, new: Column) -> Column:
+    """Aggregate over the entities of a text: names without titles and their surrogates, longest first; the last part of a name is one, too."""
+    person = kind_of(entity) == "person"
+    last = lambda c: F.substring_index(c, " ", -1)
+    one = lambda c, s, whole: F.collect_list(F.when(person, F.struct(F.length(c).alias("n"), F.lit(whole).alias("whole"), c.alias("name"), s.alias("new"))))
+    return F.sort_array(F.concat(one(name_of(entity), name_of(new), 1), one(last(name_of(entity)), last(name_of(new)), 0)), False)
+
+
+def any_name(names: Column) -> Column:
+    return F.concat(F.lit(r"(?<![\p{L}\p{N}])(?:"), F.array_join(F.transform(names, lambda x: x["name"]), "|"), F.lit(r")(?![\p{L}\p{N}])"))
+
+
+def replace_bare(piece: Column, names: Column, pattern: Column) -> Column:
+    """A piece of a text with all names replaced, in one pass."""
+    new = F.transform(F.regexp_extract_all(piece, pattern, F.lit(0)), lambda h: F.element_at(F.filter(names, lambda x: x["name"] == h), 1)["new"])
+    return F.when(F.size(names) == 0, piece).otherwise(F.array_join(F.zip_with(F.split(piece, pattern, -1), new, lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), ""))
+
+
 def pseudonymise(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
     """docs with the entities in its text column replaced, and __pii_n, the number of entities. Other columns stay."""
     rows = docs.withColumn("__pii_e", entities(F.col(text)))
     names = rows.select(F.explode("__pii_e").alias("entity")).distinct()
-    given = surrogates(names, key)
+    given = cut(surrogates(names, key))
     # the entities of a text, by the text's hash: texts with the same hash and length are the same text
     tag = F.struct(F.xxhash64(text).alias("a"), F.xxhash64(F.lit(7), text).alias("b"), F.length(text).alias("n"))
     need = rows.where(F.size("__pii_e") > 0).select(tag.alias("t"), F.explode(F.array_distinct("__pii_e")).alias("entity")).distinct()
-    maps = need.join(given, "entity").groupBy("t").agg(F.map_from_entries(F.collect_list(F.struct("entity", "surrogate"))).alias("__pii_m"))
+    maps = need.join(given, "entity").groupBy("t").agg(F.map_from_entries(F.collect_list(F.struct("entity", "surrogate"))).alias("__pii_m"), bare_names(F.col("entity"), F.col("surrogate")).alias("__pii_b"))
+    maps = maps.withColumn("__pii_p", any_name(F.col("__pii_b")))
     # texts without entities stay out of the join
-    joined = rows.where(F.size("__pii_e") > 0).join(maps.select(F.col("t").alias("__pii_k"), "__pii_m"), tag == F.col("__pii_k"))
-    parts = F.zip_with(pieces(F.col(text)), F.transform(F.col("__pii_e"), lambda e: F.element_at(F.col("__pii_m"), e)), lambda a, b: F.concat(F.coalesce(a, F.lit("")), F.coalesce(b, F.lit(""))))
+    joined = rows.where(F.size("__pii_e") > 0).join(maps.select(F.col("t").alias("__pii_k"), "__pii_m", "__pii_b", "__pii_p"), tag == F.col("__pii_k"))
+    parts = F.zip_with(pieces(F.col(text)), F.transform(F.col("__pii_e"), lambda e: F.element_at(F.col("__pii_m"), e)),
+                       lambda a, b: F.concat(replace_bare(F.coalesce(a, F.lit("")), F.col("__pii_b"), F.col("__pii_p")), F.coalesce(b, F.lit(""))))
     new = joined.select(*[F.array_join(parts, "").alias(c) if c == text else F.col(f"`{c}`") for c in docs.columns], F.size("__pii_e").cast("long").alias("__pii_n"))
     same = rows.where(F.size("__pii_e") == 0).select(*[F.col(f"`{c}`") for c in docs.columns], F.lit(0).cast("long").alias("__pii_n"))
     return same.unionAll(new)

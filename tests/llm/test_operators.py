@@ -223,6 +223,21 @@ def test_surrogates(spark):
     assert pii.pseudonymise(df.where("false"), "k").count() == 0
 
 
+def test_secrets_and_spellings(spark):
+    jwt = "eyJ" + "aB3x" * 80
+    texts = [f'token = "{jwt}"', "password=hunter2abc and more", "api_key: 'abcd1234efgh'", '{"auth_token": "Qwerty123456"}', 'password = "********"',
+             "Mr Smith left.", "Mr. Smith left.", "Mr  Smith left. Then Smith and Smithson came.", "Frau Erika Muster. Muster slept.",
+             "4539578763621486", "4539 5787 6362 1486", "+1 (017) 555-7713", "+10175557713", "Ann.Lee@mail.example.com", "ann.lee@mail.example.com"]
+    t = [x.text for x in pii.pseudonymise(docs(spark, texts), "k").orderBy("doc_id").collect()]
+    assert jwt not in t[0] and len(t[0]) == len(texts[0]) and re.fullmatch(r"password=[a-z]{6}\d[a-z]{3} and more", t[1]) and "hunter" not in t[1]
+    assert re.fullmatch(r"api_key: '[a-z]{4}\d{4}[a-z]{4}'", t[2]) and t[2] != texts[2] and "Qwerty" not in t[3] and t[4] == texts[4]
+    name = re.fullmatch(r"Mr (\w+) left\.", t[5])[1]
+    assert name != "Smith" and t[6] == f"Mr. {name} left." and t[7] == f"Mr  {name} left. Then {name} and Smithson came."
+    assert re.fullmatch(r"Frau \w+ (\w+)\. \1 slept\.", t[8]) and "Muster" not in t[8]
+    assert t[9] == t[10].replace(" ", "") != texts[9] and t[12] == "+" + re.sub(r"\D", "", t[11]) != texts[12] and t[11].startswith("+1 (")
+    assert t[13].lower() == t[14] != texts[14]
+
+
 def test_bpe(spark):
     tiktoken, tokenizers = pytest.importorskip("tiktoken"), pytest.importorskip("public_tokenizers")
     ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(bpe.default_path(), "rb"))}
