@@ -5,7 +5,7 @@ A document is the set of its distinct k-word shingles; two documents are linked
 1. Each text becomes its set of shingle hashes, a fingerprint of the set, and its bottom-k sketch (the RETAIN smallest hashes).
    Documents with the same fingerprint are one class from here on, whatever their number.
 2. Inverted lists of retained values. A partner at the threshold has most of a sketch's values (all but 15 % of a whole set; of a sketch,
-   all but 15 % and four standard deviations), so a prefix that is one longer than what may differ holds a common one, in any order
+   what a binomial tail of LOSS leaves), so a prefix that is one longer than what may differ holds a common one, in any order
    that all documents share. The order is by how many sketches have a value, rarest first: values that nobody shares use the prefix up
    and need no list, and common lines or passages come last, where only documents that consist of them get that far.
 3. Lists are worked off in rounds, never as all pairs: a round takes a few pivots from each list (the same documents in all lists
@@ -23,6 +23,7 @@ repeat its text; all of them get its component. Other columns aren't read.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from math import comb
 
 import numpy as np
 import pyarrow as pa
@@ -35,6 +36,8 @@ from . import bytesops as B
 from .common import components, cut, table
 
 RETAIN, PIVOTS = 32, 1
+#: Chance that a link at the threshold has fewer common values in its sketches than least_common() asks for.
+LOSS = 1e-9
 
 
 def text_sets(column, k: int) -> Iterator[np.ndarray]:
@@ -105,6 +108,15 @@ def estimate(x: str, y: str, k: int) -> F.Column:
     return F.size(F.array_intersect(F.array_intersect(low, F.col(x)), F.col(y))) / F.size(low)
 
 
+def least_common(retain: int, share: float) -> int:
+    """The most common values that can be asked of two sketches, each value common with that probability, so that at most LOSS of them have fewer."""
+    tail, t = 0.0, 0
+    while t < retain and tail + comb(retain, t) * share**t * (1 - share) ** (retain - t) <= LOSS:
+        tail += comb(retain, t) * share**t * (1 - share) ** (retain - t)
+        t += 1
+    return t
+
+
 def classes(docs: DataFrame, k: int = 3, retain: int = RETAIN) -> DataFrame:
     """(id, text) to a table (id, n, f1, f2, low); the first three identify the set."""
     return cut(docs.mapInArrow(_sketch(k, retain), "id long, n long, f1 long, f2 long, low array<long>"))
@@ -125,8 +137,8 @@ def near_duplicates(docs: DataFrame, k: int = 3, percent: int = 85, retain: int
     ranked = every.join(shared, "key").groupBy("sid").agg(F.sort_array(F.collect_list(F.struct("df", "key"))).alias("v"))
     lists = ranked.join(reps.select("sid", "size", F.size("low").alias("m")), "sid")
     j = percent / 100
-    # values that a partner must have, of the m retained ones: exactly for whole sets, else four standard deviations below the mean
-    need = F.when(F.col("m") < retain, F.ceil(F.col("m") * F.lit(j))).otherwise(F.lit(max(1, int(j * retain - 4 * (j * (1 - j) * retain) ** 0.5))))
+    # values that a partner must have, of the m retained ones: exactly for whole sets, else what the binomial tail leaves
+    need = F.when(F.col("m") < retain, F.ceil(F.col("m") * F.lit(j))).otherwise(F.lit(max(1, least_common(retain, j))))
     first = (F.col("m") - need + 1 - (F.col("m") - F.size("v"))).cast("int")  # the prefix, less the values that nobody shares
     lists = lists.where(first > 0).select("sid", "size", F.explode(F.slice("v", F.lit(1), first)).alias("x")).select("sid", "size", "x.key")
     several = lists.groupBy("key").agg(F.count("*").alias("times")).where("times > 1").select("key")
@@ -149,8 +161,9 @@ def near_duplicates(docs: DataFrame, k: int = 3, percent: int = 85, retain: int
         if pairs.isEmpty():
             break
         near = pairs.join(lows.select(F.col("sid").alias("a"), F.col("low").alias("x")), "a").join(lows.select(F.col("sid").alias("b"), F.col("low").alias("y")), "b")
-        # four standard deviations of the estimate below the threshold
-        near = near.where(estimate("x", "y", retain) >= F.lit(j) - 4 * F.sqrt(F.lit(j * (1 - j)) / F.least(F.size("x"), F.size("y"), F.lit(retain)))).select("a", "b")
+        # whole sets are estimated exactly; of sketches, what the binomial tail leaves
+        size = F.size(F.array_union("x", "y"))
+        near = near.where(estimate("x", "y", retain) >= F.when(size < retain, F.lit(j - 1e-6)).otherwise(F.lit((least_common(retain, j) - 0.5) / retain))).select("a", "b")
         both = near.join(have.select(F.col("id").alias("b"), F.col("z").alias("zb")), "b").join(have.select(F.col("id").alias("a"), F.col("z").alias("za")), "a")
         found = cut(both.select("a", "b", "za", "zb").mapInArrow(_verify(k, percent), "a long, b long"))
         lists = lists.join(pivots.select("key", F.col("p").alias("sid")), ["key", "sid"], "left_anti")

@@ -359,3 +359,12 @@ def test_pipeline_drops_block_edits(spark):
     texts = [base, base + " " + prose(r, 20), base + " " + prose(r, 40), prose(r, 100)]  # 0.828 and 0.706 on five words, 0.831 on three
     out = corpus_pipeline.drop_near_duplicates(spark, docs(spark, texts), "")
     assert sorted(x.doc_id for x in out.collect()) == [0, 2, 3]
+
+
+@pytest.mark.parametrize("share", [0.85, 0.8])
+def test_sketches_lose_no_links(share):
+    from math import comb
+
+    t = neardup.least_common(neardup.RETAIN, share)
+    lost = lambda t: sum(comb(32, i) * share**i * (1 - share) ** (32 - i) for i in range(t))
+    assert lost(t) <= 1e-8 < lost(t + 2) and t >= 8
