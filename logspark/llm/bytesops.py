@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from functools import cache
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
@@ -109,6 +110,30 @@ def words(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, n
     return starts, ends, np.searchsorted(starts, offs)
 
 
+class Digests(dict):
+    """64-bit BLAKE2b digests of words; at most `most` of them are kept in a worker."""
+
+    def __init__(self, most: int = 1 << 19):
+        super().__init__()
+        self.most = most
+
+    def __missing__(self, word: bytes) -> int:
+        h = int.from_bytes(blake2b(word, digest_size=8).digest(), "little")
+        if len(self) >= self.most:
+            self.clear()
+        self[word] = h
+        return h
+
+
+_digests = Digests()
+
+
+def word_digests(text: bytes) -> np.ndarray:
+    """A digest of each word of a text, A-Z as a-z: bytes.lower() and bytes.split() know ASCII only, and split at the same six bytes as WORD."""
+    w = text.lower().split()
+    return np.fromiter(map(_digests.__getitem__, w), U, len(w))
+
+
 def shingles(word_hashes: np.ndarray, k: int) -> np.ndarray:
     """Hashes of all runs of k words."""
     n = len(word_hashes) - k + 1

@@ -2,27 +2,32 @@
 
 A document is the set of its distinct k-word shingles; two documents are linked if 100 * |A and B| >= percent * |A or B|.
 
-1. Each text becomes its set of shingle hashes, a fingerprint of the set, and its bottom-k sketch (the RETAIN smallest hashes).
-   Documents with the same fingerprint are one class from here on, whatever their number.
-2. Inverted lists of retained values. A partner at the threshold has most of a sketch's values (all but 15 % of a whole set; of a sketch,
-   what a binomial tail of LOSS leaves), so a prefix that is one longer than what may differ holds a common one, in any order
-   that all documents share. The order is by how many sketches have a value, rarest first: values that nobody shares use the prefix up
-   and need no list, and common lines or passages come last, where only documents that consist of them get that far.
-3. Lists are worked off in rounds, never as all pairs: a round takes a few pivots from each list (the same documents in all lists
-   where they stand, so that pairs coincide; one in the first round) and compares them with those
-   members that aren't in the pivot's component yet, if their sizes allow it. Union-sketch estimation drops pairs that are far below the threshold,
-   exact Jaccard on the full sets decides. Pivots have then met the whole list and leave it; a list ends
-   when its members are one component or none is left. Each round takes four times as many pivots as the one before. Nothing is
-   capped: rounds go on until all lists have ended.
+1. Each text becomes its set of shingle hashes (from BLAKE2b digests of its words), a 128-bit BLAKE2b fingerprint of the set, and its bottom-k sketch (the
+   RETAIN smallest hashes). Documents with the same fingerprint are one class from here on, whatever their number.
+2. Inverted lists of retained values. A partner at the threshold has most of a sketch's values (all but 100 - percent of a whole set; of a sketch,
+   what a binomial tail of LOSS leaves), so a prefix that is one longer than what may differ holds a common one, in any order that all documents
+   share. The order is by how many sketches have a value, rarest first: values that nobody shares use the prefix up and need no list, and
+   common lines or passages come last. Lists with one label (their member with most lists) are one group. Of groups of two, union-sketch estimation
+   drops those far below the threshold.
+3. Groups are never taken as all pairs. A group's core is the set of the shingles that more than half of its members have; a member A is
+   told by what it lacks of the core (M) and adds to it (E). Sizes of intersections follow from those: with w(A) = 100 |M| + percent |E| and
+   T = (100 - percent) * |core|, A and B are linked exactly if (100 + percent) * s >= w(A) + w(B) - T, s being how many elements their M and their E share.
+   The member with the smallest w is compared with all others (exact Jaccard); then only pairs are open in which one isn't linked
+   to it, and those must share some of their differences. Every difference is one of at most half of the members, so inverted lists of differences, again as
+   rarest-first prefixes by the least s that a partner can ask for, are at most half as large as the group. They are the groups of the next
+   round. So rounds are log2 of the largest group at most, and a group of n edited copies costs about n rows a round. Nothing is capped.
 
 Cases: null and empty texts, and texts of white space, have an empty set and no links; a text with fewer than k words has one
-shingle, the whole sequence. Null ids take no part in links and get a null component. Rows that repeat an id
-repeat its text; all of them get its component. Other columns aren't read.
+shingle, the whole sequence. Very long texts are sets like others, one text at a time. Null ids take no part in links and get a null component. Rows that
+repeat an id are versions of one document: with different texts they count as linked, so no link of any version is lost. Other columns aren't read. An empty
+table gives an empty result.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
+from hashlib import blake2b
 from math import comb
 
 import numpy as np
@@ -35,42 +40,38 @@ from ..session import ship
 from . import bytesops as B
 from .common import components, cut, table
 
-RETAIN, PIVOTS = 32, 1
+RETAIN = 64
 #: Chance that a link at the threshold has fewer common values in its sketches than least_common() asks for.
 LOSS = 1e-9
+_SIGN = B.U(1 << 63)
 
 
-def text_sets(column, k: int) -> Iterator[np.ndarray]:
-    """The sorted distinct shingle hashes of each text."""
-    data, offs = B.texts(column)
-    for i, j in B.slices(offs):
-        part, own = data[offs[i] : offs[j]], offs[i : j + 1] - offs[i]
-        starts, ends, first = B.words(part, own)
-        h = B.Rolling(part, lower=True).of(starts, ends)
-        sh = B.shingles(h, k)
-        for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True):
-            if b - a >= k:
-                yield np.unique(sh[a : b - k + 1])
-            elif b > a:
-                yield B.shingles(h[a:b], b - a) ^ B.U(b - a)
-            else:
-                yield h[:0]
+def shingle_set(text: bytes, k: int) -> np.ndarray:
+    """The sorted distinct shingle hashes of a text."""
+    h = B.word_digests(text)
+    if len(h) >= k:
+        return np.unique(B.shingles(h, k))
+    return B.shingles(h, len(h)) ^ B.U(len(h)) if len(h) else h
+
+
+def _longs(sets: list[np.ndarray]) -> pa.ListArray:
+    """Signed numbers in the order of the unsigned ones."""
+    offs = np.concatenate([[0], np.cumsum([len(x) for x in sets])]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(offs), pa.array((np.concatenate(sets) ^ _SIGN).view(np.int64) if sets else np.zeros(0, np.int64)))
 
 
 def _sketch(k: int, retain: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n, one, two, lows = [], [], [], []
-            for s in text_sets(batch.column("text"), k):
+            for t in batch.column("text"):
+                s = shingle_set((t.as_py() or "").encode(), k)
+                d = blake2b(s.tobytes(), digest_size=16).digest()
                 n.append(len(s))
-                one.append(int(s.sum(dtype=B.U)))
-                two.append(int(np.bitwise_xor.reduce(B.mix(s + B.U(99)))) if len(s) else 0)
-                lows.append((s[:retain] ^ B.U(1 << 63)).view(np.int64))  # signed, in the same order
-            offs = np.concatenate([[0], np.cumsum([len(x) for x in lows])]).astype(np.int32)
-            flat = np.concatenate(lows) if lows else np.zeros(0, np.int64)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("id"), pa.array(n, pa.int64()), pa.array(np.array(one, B.U).view(np.int64)), pa.array(np.array(two, B.U).view(np.int64)), pa.ListArray.from_arrays(pa.array(offs), pa.array(flat))],
-                names=["id", "n", "f1", "f2", "low"])
+                one.append(int.from_bytes(d[:8], "little", signed=True))
+                two.append(int.from_bytes(d[8:], "little", signed=True))
+                lows.append(s[:retain])
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(n, pa.int64()), pa.array(one, pa.int64()), pa.array(two, pa.int64()), _longs(lows)], names=["id", "n", "f1", "f2", "low"])
     return run
 
 
@@ -86,19 +87,17 @@ def packed(docs: DataFrame) -> DataFrame:
     return docs.select("id", "text").mapInArrow(_pack, "id long, z binary")
 
 
-def _verify(k: int, percent: int):
+def _sets(k: int):
+    """(z, want: fingerprints and classes of the row's id) to (c, els), a few rows at a time."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unpack = zstandard.ZstdDecompressor()
         for batch in batches:
-            a, b, za, zb = (batch.column(c).to_pylist() for c in ("a", "b", "za", "zb"))
-            keep, last = [], (None, None)
-            for i in range(len(a)):
-                if last[0] != a[i]:
-                    last = (a[i], next(text_sets(pa.array([unpack.decompress(za[i])], pa.binary()), k)))
-                other = next(text_sets(pa.array([unpack.decompress(zb[i])], pa.binary()), k))
-                both = len(np.intersect1d(last[1], other, assume_unique=True))
-                keep.append(100 * both >= percent * (len(last[1]) + len(other) - both))
-            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
+            for z, want in zip(batch.column("z"), batch.column("want").to_pylist(), strict=True):
+                s = shingle_set(unpack.decompress(z.as_py()), k)
+                f = int.from_bytes(blake2b(s.tobytes(), digest_size=16).digest()[:8], "little", signed=True)
+                c = [x["c"] for x in want if x["f1"] == f]  # another version of the document has another one
+                if c:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()), _longs([s] * len(c))], names=["c", "els"])
     return run
 
 
@@ -117,70 +116,109 @@ def least_common(retain: int, share: float) -> int:
     return t
 
 
-def classes(docs: DataFrame, k: int = 3, retain: int = RETAIN) -> DataFrame:
-    """(id, text) to a table (id, n, f1, f2, low); the first three identify the set."""
-    return cut(docs.mapInArrow(_sketch(k, retain), "id long, n long, f1 long, f2 long, low array<long>"))
-
-
-def near_duplicates(docs: DataFrame, k: int = 3, percent: int = 85, retain: int = RETAIN) -> DataFrame:
-    """docs with doc_id and text to (doc_id, n_shingles, component_id)."""
-    ship(docs.sparkSession)
-    ids = docs.select(F.col("doc_id").alias("id"), "text")
-    rows = classes(ids, k, retain)
-    full = rows.where("id is not null and n > 0")
-    sets = full.groupBy("n", "f1", "f2").agg(F.min("id").alias("sid"))
-    reps = cut(full.join(sets.withColumnRenamed("sid", "id"), ["id", "n", "f1", "f2"]).select(F.col("id").alias("sid"), F.col("n").alias("size"), "low").dropDuplicates(["sid"]))
-
-    # inverted lists, rarest values first
-    every = reps.select("sid", F.explode("low").alias("key"))
+def inverted_lists(reps: DataFrame, percent: int, retain: int) -> DataFrame:
+    """(c, low) to (key, c): rarest-first prefixes of the sketches, without lists of one."""
+    every = reps.select("c", F.explode("low").alias("key"))
     shared = every.groupBy("key").agg(F.count("*").alias("df")).where("df > 1")
-    ranked = every.join(shared, "key").groupBy("sid").agg(F.sort_array(F.collect_list(F.struct("df", "key"))).alias("v"))
-    lists = ranked.join(reps.select("sid", "size", F.size("low").alias("m")), "sid")
+    ranked = every.join(shared, "key").groupBy("c").agg(F.sort_array(F.collect_list(F.struct("df", "key"))).alias("v"))
+    lists = ranked.join(reps.select("c", F.size("low").alias("m")), "c")
     j = percent / 100
     # values that a partner must have, of the m retained ones: exactly for whole sets, else what the binomial tail leaves
-    need = F.when(F.col("m") < retain, F.ceil(F.col("m") * F.lit(j))).otherwise(F.lit(max(1, least_common(retain, j))))
+    need = F.when(F.col("m") < retain, F.ceil(F.col("m") * F.lit(percent) / F.lit(100))).otherwise(F.lit(max(1, least_common(retain, j))))
     first = (F.col("m") - need + 1 - (F.col("m") - F.size("v"))).cast("int")  # the prefix, less the values that nobody shares
-    lists = lists.where(first > 0).select("sid", "size", F.explode(F.slice("v", F.lit(1), first)).alias("x")).select("sid", "size", "x.key")
+    lists = cut(lists.where(first > 0).select("c", F.explode(F.slice("v", F.lit(1), first)).alias("x")).select("c", "x.key"))
     several = lists.groupBy("key").agg(F.count("*").alias("times")).where("times > 1").select("key")
-    lists = cut(lists.join(several, "key").select("key", "sid", "size", F.col("sid").alias("comp")))
-
-    # texts and sketches of the classes that stand in some list with others
-    members = cut(lists.select("sid").distinct())
-    have = cut(packed(ids.dropna(subset=["id"])).join(members.withColumnRenamed("sid", "id"), "id").dropDuplicates(["id"]))
-    lows = cut(reps.join(members, "sid"))
-    edges = comps = None
-    # sets whose sizes differ by more can't be similar enough
-    fits = F.least("size", "ps") * 100 >= F.greatest("size", "ps") * percent
-    pivots_each = PIVOTS
-    while True:
-        state = lists.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("key")
-        lists = cut(lists.join(state, "key").select("key", "sid", "size", "comp"))
-        pivots = (lists.groupBy("key", F.pmod(F.xxhash64("sid"), F.lit(pivots_each)).alias("part")).agg(F.min_by(F.struct("sid", "size", "comp"), F.xxhash64("sid")).alias("p"))
-                  .select("key", F.col("p.sid").alias("p"), F.col("p.comp").alias("pc"), F.col("p.size").alias("ps")))
-        pairs = cut(lists.join(pivots, "key").where("comp <> pc").where(fits).select(F.least("sid", "p").alias("a"), F.greatest("sid", "p").alias("b")).distinct())
-        if pairs.isEmpty():
-            break
-        near = pairs.join(lows.select(F.col("sid").alias("a"), F.col("low").alias("x")), "a").join(lows.select(F.col("sid").alias("b"), F.col("low").alias("y")), "b")
-        # whole sets are estimated exactly; of sketches, what the binomial tail leaves
-        size = F.size(F.array_union("x", "y"))
-        near = near.where(estimate("x", "y", retain) >= F.when(size < retain, F.lit(j - 1e-6)).otherwise(F.lit((least_common(retain, j) - 0.5) / retain))).select("a", "b")
-        both = near.join(have.select(F.col("id").alias("b"), F.col("z").alias("zb")), "b").join(have.select(F.col("id").alias("a"), F.col("z").alias("za")), "a")
-        found = cut(both.select("a", "b", "za", "zb").mapInArrow(_verify(k, percent), "a long, b long"))
-        lists = lists.join(pivots.select("key", F.col("p").alias("sid")), ["key", "sid"], "left_anti")
-        if not found.isEmpty():
-            edges = found if edges is None else edges.union(found)
-            comps = components(edges)
-            lists = lists.select("key", "sid", "size").join(comps, F.col("sid") == F.col("node"), "left").select("key", "sid", "size", F.coalesce("comp", "sid").alias("comp"))
-        # lists that are still open hold documents that differ: more pivots end them in fewer rounds
-        pivots_each *= 4
-    out = rows.select("id", "n", "f1", "f2").join(sets, ["n", "f1", "f2"], "left")
-    if comps is not None:
-        out = out.join(comps, F.col("sid") == F.col("node"), "left")
-    else:
-        out = out.withColumn("comp", F.lit(None).cast("long"))
-    return out.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.when(F.col("id").isNotNull(), F.coalesce("comp", "sid", "id")).alias("component_id"))
+    return cut(lists.join(several, "key").select("key", "c"))
+
+
+def first_groups(lists: DataFrame, lows: DataFrame, percent: int, retain: int) -> DataFrame:
+    """(key, c) and (c, low) to groups (g, c, known): lists with the same label are one; known is a component label."""
+    times = lists.groupBy("c").agg(F.count("*").alias("times"))
+    label = lists.join(times, "c").groupBy("key").agg(F.max(F.struct("times", "c"))["c"].alias("g"))
+    groups = cut(lists.join(label, "key").select("g", "c").distinct())
+    sizes = groups.groupBy("g").agg(F.count("*").alias("n"), F.min("c").alias("a"), F.max("c").alias("b"))
+    two = sizes.where("n = 2").join(lows.select(F.col("c").alias("a"), F.col("low").alias("x")), "a").join(lows.select(F.col("c").alias("b"), F.col("low").alias("y")), "b")
+    # whole sets are estimated exactly; of sketches, what the binomial tail leaves
+    whole = F.size(F.array_union("x", "y")) < retain
+    far = two.where(estimate("x", "y", retain) < F.when(whole, F.lit(percent / 100 - 1e-6)).otherwise(F.lit((least_common(retain, percent / 100) - 0.5) / retain))).select("g")
+    return groups.join(far, "g", "left_anti").select("g", "c", F.col("c").alias("known"))
+
+
+def differences(groups: DataFrame, sets: DataFrame) -> DataFrame:
+    """(g, c, known) and (c, els) to (g, c, known, k, m, e): the size of the group's core, and what a member lacks of it and adds to it."""
+    full = groups.join(sets, "c")
+    n = groups.groupBy("g").agg(F.count("*").alias("n"))
+    core = full.select("g", F.explode("els").alias("x")).groupBy("g", "x").agg(F.count("*").alias("df")).where("df > 1")
+    core = core.join(n, "g").where("2 * df > n").groupBy("g").agg(F.collect_list("x").alias("core"))
+    core = F.coalesce("core", F.array().cast("array<long>")), full.join(core, "g", "left")
+    return core[1].select("g", "c", "known", F.size(core[0]).alias("k"), F.array_except(core[0], "els").alias("m"), F.array_except("els", core[0]).alias("e"))
+
+
+def compared(told: DataFrame, percent: int) -> DataFrame:
+    """Members with the group's first one (smallest w): adds c0, known0, w, w0, t, and linked, the exact Jaccard test."""
+    told = told.withColumn("w", F.size("m") * F.lit(100).cast("long") + F.size("e") * F.lit(percent).cast("long"))
+    first = told.groupBy("g").agg(F.min(F.struct("w", "c")).alias("f")).select("g", F.col("f.c").alias("c0"))
+    first = told.join(first, "g").where("c = c0").select("g", "c0", F.col("known").alias("known0"), F.col("w").alias("w0"), F.col("m").alias("m0"), F.col("e").alias("e0"))
+    both = F.col("k") - F.size("m") - F.size("m0") + F.size(F.array_intersect("m", "m0")) + F.size(F.array_intersect("e", "e0"))
+    total = 2 * F.col("k") - F.size("m") + F.size("e") - F.size("m0") + F.size("e0")
+    return told.join(first, "g").select("g", "c", "c0", "known", "known0", "w", "w0", (F.col("k") * F.lit(100 - percent).cast("long")).alias("t"), "m", "e",
+                                        (F.lit(100 + percent) * both >= F.lit(percent) * total).alias("linked"))
+
+
+def next_groups(seen: DataFrame, percent: int) -> DataFrame:
+    """The open pairs of compared() as smaller groups (g, c, known): lists of differences that two members share, one of them not linked to the first."""
+    met = F.col("linked") | (F.col("known") == F.col("known0"))
+    each = seen.where("c <> c0").select("g", "c", F.when(met, F.col("known0")).otherwise(F.col("known")).alias("known"), met.alias("met"), "w", "w0", "t", F.explode(F.concat("m", "e")).alias("x"))
+    shared = each.groupBy("g", "x").agg(F.count("*").alias("df"), F.sum((~F.col("met")).cast("int")).alias("open")).where("df > 1 and open > 0").select("g", "x", "df")
+    own = each.join(shared, ["g", "x"]).groupBy("g", "c", "known", "met", "w", "w0", "t").agg(F.sort_array(F.collect_list(F.struct("df", "x"))).alias("v"))
+    over = lambda a, b: F.ceil(a / F.lit(float(b)) - F.lit(1e-9)).cast("long")
+    # the least number of shared differences that any partner asks for. A partner B of an open A has w(B) >= percent / 100 * (w(A) - T), since it can't share more than it has
+    least = F.greatest(F.lit(1), F.when(F.col("met"), F.lit(1)).otherwise(F.greatest(over(F.col("w") - F.col("t"), 100), over(F.col("w") + F.col("w0") - F.col("t"), 100 + percent))))
+    own = cut(own.withColumn("s", least).where(F.size("v") >= F.col("s")))
+    # with what is left in the group, once more: partners of those that are met are open
+    low = own.groupBy("g").agg(F.min("w").alias("any"), F.min(F.when(~F.col("met"), F.col("w"))).alias("open"))
+    own = own.join(low, "g").where("open is not null")
+    own = own.withColumn("s", F.greatest("s", over(F.col("w") + F.when(F.col("met"), F.col("open")).otherwise(F.col("any")) - F.col("t"), 100 + percent)))
+    lists = own.where(F.size("v") >= F.col("s")).select(F.col("g").alias("p"), "c", "known", "met", F.explode(F.slice("v", F.lit(1), (F.size("v") - F.col("s") + 1).cast("int"))).alias("y"))
+    lists = lists.select(F.xxhash64("p", "y.x").alias("g"), "c", "known")
+    still = lists.groupBy("g").agg(F.min("known").alias("lo"), F.max("known").alias("hi")).where("lo < hi").select("g")
+    return lists.join(still, "g")
+
+
+def links(groups: DataFrame, sets: DataFrame, percent: int) -> list[DataFrame]:
+    """Links (a, b) of groups (g, c, known), one table a round; their components are those of all links."""
+    found, groups = [], cut(groups)
+    while not groups.isEmpty():
+        seen = cut(compared(cut(differences(groups, sets)), percent))
+        found.append(seen.where("linked and c <> c0").select(F.col("c0").alias("a"), F.col("c").alias("b")))
+        groups = cut(next_groups(seen, percent))
+    return found
+
+
+def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, retain: int = RETAIN) -> DataFrame:
+    """docs with doc_id and text to (doc_id, n_shingles, component_id)."""
+    ship(docs.sparkSession)
+    ids = docs.select(F.col("doc_id").alias("id"), "text")
+    rows = cut(ids.mapInArrow(_sketch(k, retain), "id long, n long, f1 long, f2 long, low array<long>"))
+    # a class of equal sets: any of its sketches, and its smallest id; c numbers the classes, in a table that is written once
+    full = rows.where("id is not null and n > 0")
+    reps = cut(full.groupBy("n", "f1", "f2").agg(F.min("id").alias("sid"), F.first("low").alias("low")).withColumn("c", F.monotonically_increasing_id()))
+    named = cut(full.select("id", "n", "f1", "f2").join(reps.select("n", "f1", "f2", "sid", "c"), ["n", "f1", "f2"]).select("id", "c").distinct())
+    versions = named.groupBy("id").agg(F.min("c").alias("a"), F.max("c").alias("z")).where("a < z")
+    edges = [named.join(versions, "id").where("c <> a").select("a", F.col("c").alias("b"))]
+
+    lists = inverted_lists(reps, percent, retain)
+    members = reps.join(lists.select("c").distinct(), "c", "left_semi")
+    want = members.groupBy("sid").agg(F.collect_list(F.struct("f1", "c")).alias("want"))
+    sets = cut(packed(ids.where("id is not null")).join(want, F.col("id") == F.col("sid")).select("z", "want").mapInArrow(_sets(k), "c long, els array<long>").dropDuplicates(["c"]))
+    edges += links(first_groups(lists, members.select("c", "low"), percent, retain), sets, percent)
+    comps = components(reduce(DataFrame.union, edges))
+    own = reps.select("n", "f1", "f2", "sid", "c").join(comps, F.col("c") == F.col("node"), "left").withColumn("comp", F.coalesce("comp", "c"))
+    label = own.groupBy("comp").agg(F.min("sid").alias("component"))
+    out = rows.select("id", "n", "f1", "f2").join(own.join(label, "comp").select("n", "f1", "f2", "component"), ["n", "f1", "f2"], "left")
+    return out.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.when(F.col("id").isNotNull(), F.coalesce("component", "id")).alias("component_id"))
 
 
 def op7_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = near_duplicates(table(spark, sf_dir, "documents"))
+    out = near_duplicates(table(spark, sf_dir, "documents"), k=3, percent=85)
     return out.withColumn("kept", F.col("doc_id") == F.col("component_id"))

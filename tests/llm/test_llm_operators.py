@@ -72,12 +72,74 @@ def test_near_duplicates(spark):
                 x, y = find(i), find(j)
                 parent[max(x, y)] = min(x, y)
     df = docs(spark, texts).unionByName(docs(spark, texts).where("doc_id = 5")).unionByName(docs(spark, ["zz yy xx"]).withColumn("doc_id", F.lit(None).cast("long")))
-    got = [tuple(r) for r in neardup.near_duplicates(df).collect()]
+    got = [tuple(r) for r in neardup.near_duplicates(df, 3, 85).collect()]
     assert sorted(x for x in got if x[0] is not None) == sorted([(i, len(sets[i]), find(i)) for i in range(len(texts))] + [(5, 1, find(5))])
     assert [x for x in got if x[0] is None] == [(None, 1, None)]
     assert neardup.near_duplicates(df.where("false")).count() == 0
 
 
+def brute_components(texts, k, percent):
+    sets = []
+    for t in texts:
+        w = words((t or "").translate(LOW))
+        sets.append({tuple(w[i : i + k]) for i in range(len(w) - k + 1)} if len(w) >= k else {tuple(w)} if w else set())
+    parent = list(range(len(texts)))
+    find = lambda x: x if parent[x] == x else find(parent[x])
+    for i in range(len(texts)):
+        for j in range(i):
+            both = len(sets[i] & sets[j])
+            if both and 100 * both >= percent * len(sets[i] | sets[j]):
+                x, y = find(i), find(j)
+                parent[max(x, y)] = min(x, y)
+    return [find(i) for i in range(len(texts))]
+
+
+def test_large_groups_of_edited_copies(spark):
+    """Edits around the threshold, groups in groups, chains, and texts that only share a passage."""
+    r = random.Random(31)
+    base = prose(r, 90).split()
+
+    def edited(w, n):
+        w = list(w)
+        for _ in range(n):
+            i = r.randrange(len(w))
+            w[i : i + 1] = r.choice([[prose(r, 1)], [], [w[i], prose(r, 1)]])
+        return w
+
+    inner = [edited(base, 9) for _ in range(4)]
+    texts = [edited(base, r.randrange(14)) for _ in range(150)] + [edited(x, r.randrange(5)) for x in inner for _ in range(25)]
+    chain = [edited(base, 5)]
+    for _ in range(12):
+        chain.append(edited(chain[-1], 2))
+    texts = [" ".join(w) for w in texts + chain] + [" ".join(base[:60]) + " " + prose(r, r.randrange(5, 40)) for _ in range(60)]
+    r.shuffle(texts)
+    for k, percent in ((3, 85), (5, 80)):
+        got = {x.doc_id: x.component_id for x in neardup.near_duplicates(docs(spark, texts, False), k, percent).collect()}
+        want = brute_components(texts, k, percent)
+        assert len(set(want)) > 20 and [got[i] for i in range(len(texts))] == want
+
+
+def thue_morse(n):
+    a, b = "a", "b"
+    while len(a) < n:
+        a, b = a + b, b + a
+    return a, b
+
+
+def test_structured_words_are_told_apart(spark):
+    """Polynomial hashes modulo 2 ** 64 can't tell these words apart."""
+    a, b = thue_morse(4096)
+    got = neardup.near_duplicates(docs(spark, [f"w1 w2 {a} w3 w4", f"w1 w2 {b} w3 w4"], False), 3, 85).collect()
+    assert {x.doc_id: x.component_id for x in got} == {0: 0, 1: 1}
+
+
+def test_versions_of_a_document(spark):
+    r = random.Random(5)
+    x, y = prose(r, 40), prose(r, 40)
+    df = spark.createDataFrame([(7, x), (7, y), (3, x), (9, y), (8, prose(r, 40))], "doc_id long, text string")
+    assert {(g.doc_id, g.component_id) for g in neardup.near_duplicates(df).collect()} == {(3, 3), (7, 3), (9, 3), (8, 8)}
+
+
 @pytest.mark.parametrize("limit", [192, 3])
 def test_repeated_bytes(spark, monkeypatch, limit):
     monkeypatch.setattr(suffix, "BIN_CONTEXTS", limit)
@@ -223,6 +285,16 @@ def test_surrogates(spark):
     assert pii.pseudonymise(df.where("false"), "k").count() == 0
 
 
+def test_formats_without_freedom(spark):
+    """Secrets that hardly have a letter or digit to change, more of them than their format has values, and other scripts."""
+    rows = [f'password = "**{i:04d}"' for i in range(0, 10000, 3)] + ['password = "******"', 'password = "пароль"', 'password = "٣٤٥٦٧٨"', "token = '----1111'"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(rows)], "doc_id long, text string")
+    got = {x.doc_id: x.text for x in pii.pseudonymise(df, "k").collect()}
+    changed = [got[i] for i in range(len(rows)) if got[i] != rows[i]]
+    assert len(set(got.values())) == len(rows) and len(changed) == len(rows) - 1 and not set(changed) & set(rows)
+    assert "пароль" not in got[len(rows) - 3] and "٣" not in got[len(rows) - 2]
+
+
 def test_secrets_and_spellings(spark):
     jwt = "eyJ" + "aB3x" * 80
     texts = [f'token = "{jwt}"', "password=hunter2abc and more", "api_key: 'abcd1234efgh'", '{"auth_token": "Qwerty123456"}', 'password = "********"',
@@ -366,5 +438,5 @@ def test_sketches_lose_no_links(share):
     from math import comb
 
     t = neardup.least_common(neardup.RETAIN, share)
-    lost = lambda t: sum(comb(32, i) * share**i * (1 - share) ** (32 - i) for i in range(t))
-    assert lost(t) <= 1e-8 < lost(t + 2) and t >= 8
+    lost = lambda t: sum(comb(neardup.RETAIN, i) * share**i * (1 - share) ** (neardup.RETAIN - i) for i in range(t))
+    assert lost(t) <= neardup.LOSS < lost(t + 1) and t >= 8
