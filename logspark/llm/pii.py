@@ -8,7 +8,7 @@ gender that its title tells. The same entity has the same surrogate everywhere (
 go by their digits, addresses by lower case, secrets by their value, names without title and spacing. A name that is found in a text is
 replaced there without its title, too. A table of all distinct entities, grouped by surrogate, finds collisions: where two
 entities would share one, or one would equal a real entity, the later ones in order draw again with the next attempt number,
-until all differ (distinctness).
+until all differ (distinctness). After TRIES draws in its format a surrogate gets longer, so draws end whatever the format.
 
 Cases: null and empty texts come back unchanged with 0 entities; null ids, repeated rows and other columns pass through; an
 empty table gives an empty result. The entities of one text stay together in that row's arrays, as the text itself does.
@@ -56,6 +56,8 @@ KINDS = (
 #: The alternation; card's back reference becomes an explicit choice, since groups are counted over the whole pattern.
 ANY = "|".join(p.replace(r"([ \-]?)\d{4}\1\d{4}\1\d{4}", r"(?:\d{12}| \d{4} \d{4} \d{4}|-\d{4}-\d{4}-\d{4})") for _, p in KINDS)
 LOWER = "abcdefghijklmnopqrstuvwxyz"
+#: Attempts within the format; later ones make a surrogate longer.
+TRIES = 8
 #: The country code of a phone number; it stays.
 COUNTRY = r"^\+\d{1,3}(?=\D)"
 
@@ -124,7 +126,7 @@ def _same_format(text: Column, stream: Column) -> Column:
         letter = F.substring(F.lit(LOWER), (_draw(stream, i, 26) + 1).cast("int"), F.lit(1))
         return (F.when(hexa, F.substring(F.lit("0123456789abcdef"), (_draw(stream, i, 16) + 1).cast("int"), F.lit(1)))
                 .when(c.rlike("^[0-9]$"), F.when((i == 0) & (c != "0"), _draw(stream, i, 9) + 1).when(i == 0, F.lit(0)).otherwise(_draw(stream, i, 10)).cast("string"))
-                .when(c.rlike(r"^\p{Lu}$"), F.upper(letter)).when(c.rlike(r"^\p{L}$"), letter).otherwise(c))
+                .when(c.rlike(r"^\p{N}$"), _draw(stream, i, 10).cast("string")).when(c.rlike(r"^\p{Lu}$"), F.upper(letter)).when(c.rlike(r"^\p{L}$"), letter).otherwise(c))
 
     return F.array_join(F.transform(chars, one), "")
 
@@ -185,11 +187,13 @@ def surrogate(entity: Column, kind: Column, norm: Column, attempt: Column, key:
     """kind and norm should be columns of a table: they stand in this expression very often."""
     stream = _stream(key, kind, norm, attempt)
     host = F.regexp_extract(entity, r"@(.*)$", 1)
-    mail = F.concat(_same_format(F.regexp_extract(entity, r"^(.*)@", 1), stream), F.lit("@"), _same_format(F.regexp_extract(host, r"^(.*)\.", 1), F.reverse(stream)), F.lit("."), F.regexp_extract(host, r"([^.]*)$", 1))
+    # a format that leaves too little freedom for all entities of its kind gives way to distinctness: later attempts add digits
+    more = F.when(attempt > TRIES, F.array_join(F.transform(F.sequence(F.lit(1), F.least(attempt - TRIES, F.lit(24))), lambda i: _draw(stream, i * 3 + 1, 10).cast("string")), "")).otherwise(F.lit(""))
+    mail = F.concat(_same_format(F.regexp_extract(entity, r"^(.*)@", 1), stream), more, F.lit("@"), _same_format(F.regexp_extract(host, r"^(.*)\.", 1), F.reverse(stream)), F.lit("."), F.regexp_extract(host, r"([^.]*)$", 1))
     return (F.when(kind == "email", mail)
-            .when(kind == "secret", F.concat(F.regexp_extract(entity, "^" + SECRET + "[\"']?", 0), _same_format(_value(entity), stream), F.regexp_extract(entity, "[\"']?$", 0)))
-            .when(kind == "ip", _ip(entity, stream)).when(kind == "card", _card(entity, stream))
-            .when(kind == "phone", _phone(entity, stream, country)).otherwise(_person(entity, stream, attempt)))
+            .when(kind == "secret", F.concat(F.regexp_extract(entity, "^" + SECRET + "[\"']?", 0), _same_format(_value(entity), stream), more, F.regexp_extract(entity, "[\"']?$", 0)))
+            .when(kind == "ip", F.concat(_ip(entity, stream), F.when(more != "", F.concat(F.lit("-"), more)).otherwise(F.lit("")))).when(kind == "card", F.concat(_card(entity, stream), more))
+            .when(kind == "phone", F.concat(_phone(entity, stream, country), more)).otherwise(_person(entity, stream, attempt)))
 
 
 def surrogates(found: DataFrame, key: str) -> DataFrame:
@@ -241,11 +245,10 @@ def replace_bare(piece: Column, names: Column, pattern: Column) -> Column:
 def pseudonymise(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
     """docs with the entities in its text column replaced, and __pii_n, the number of entities. Other columns stay."""
     rows = docs.withColumn("__pii_e", entities(F.col(text)))
-    names = rows.select(F.explode("__pii_e").alias("entity")).distinct()
-    given = cut(surrogates(names, key))
     # the entities of a text, by the text's hash: texts with the same hash and length are the same text
     tag = F.struct(F.xxhash64(text).alias("a"), F.xxhash64(F.lit(7), text).alias("b"), F.length(text).alias("n"))
-    need = rows.where(F.size("__pii_e") > 0).select(tag.alias("t"), F.explode(F.array_distinct("__pii_e")).alias("entity")).distinct()
+    need = cut(rows.where(F.size("__pii_e") > 0).select(tag.alias("t"), F.explode(F.array_distinct("__pii_e")).alias("entity")).distinct())
+    given = cut(surrogates(need.select("entity").distinct(), key))
     maps = need.join(given, "entity").groupBy("t").agg(F.map_from_entries(F.collect_list(F.struct("entity", "surrogate"))).alias("__pii_m"), bare_names(F.col("entity"), F.col("surrogate")).alias("__pii_b"))
     maps = maps.withColumn("__pii_p", any_name(F.col("__pii_b")))
     # texts without entities stay out of the join
