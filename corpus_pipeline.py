@@ -20,11 +20,19 @@ def filter_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates (five words, 0.8) stays, that with the smallest id. Rows that repeat an id become one; null ids stay."""
+    """One document of each group of near-duplicates (five words, 0.8) stays, that with the smallest id. Null ids stay.
+
+    Rows that repeat an id are versions of one document: the one whose text comes first in byte order stays (of equal ones, any).
+    """
     found = neardup.near_duplicates(docs, k=5, percent=80)
     kept = found.where("doc_id = component_id").select(F.col("doc_id").alias("__kept")).distinct()
-    named = docs.join(kept, docs["doc_id"] == F.col("__kept"), "left_semi").dropDuplicates(["doc_id"])
-    return _columns(named.unionByName(docs.where("doc_id is null")), docs)
+    named = docs.join(kept, docs["doc_id"] == F.col("__kept"), "left_semi")
+    again = named.groupBy("doc_id").agg(F.count("*").alias("__n")).where("__n > 1").select(F.col("doc_id").alias("__again"))
+    once = named.join(again, F.col("doc_id") == F.col("__again"), "left_anti")
+    # a group holds the rows of one id: of them, the least stays
+    all_columns = F.struct(F.col("text"), *[F.col(f"`{c}`") for c in docs.columns if c != "text"])
+    first = named.join(again, F.col("doc_id") == F.col("__again")).groupBy("__again").agg(F.min(all_columns).alias("__row")).select("__row.*")
+    return _columns(once.unionByName(first).unionByName(docs.where("doc_id is null")), docs)
 
 
 def replace_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
