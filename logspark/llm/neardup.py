@@ -132,7 +132,7 @@ def inverted_lists(reps: DataFrame, percent: int, retain: int) -> DataFrame:
 
 
 def first_groups(lists: DataFrame, lows: DataFrame, percent: int, retain: int) -> DataFrame:
-    """(key, c) and (c, low) to groups (g, c, known): lists with the same label are one; known is a component label."""
+    """(key, c) and (c, low) to groups (g, p, c, known): lists with the same label p are one; known is a component label."""
     times = lists.groupBy("c").agg(F.count("*").alias("times"))
     label = lists.join(times, "c").groupBy("key").agg(F.max(F.struct("times", "c"))["c"].alias("g"))
     groups = cut(lists.join(label, "key").select("g", "c").distinct())
@@ -141,17 +141,25 @@ def first_groups(lists: DataFrame, lows: DataFrame, percent: int, retain: int) -
     # whole sets are estimated exactly; of sketches, what the binomial tail leaves
     whole = F.size(F.array_union("x", "y")) < retain
     far = two.where(estimate("x", "y", retain) < F.when(whole, F.lit(percent / 100 - 1e-6)).otherwise(F.lit((least_common(retain, percent / 100) - 0.5) / retain))).select("g")
-    return groups.join(far, "g", "left_anti").select("g", "c", F.col("c").alias("known"))
+    return groups.join(far, "g", "left_anti").select("g", F.col("g").alias("p"), "c", F.col("c").alias("known"))
 
 
 def differences(groups: DataFrame, sets: DataFrame) -> DataFrame:
-    """(g, c, known) and (c, els) to (g, c, known, k, m, e): the size of the group's core, and what a member lacks of it and adds to it."""
-    full = groups.join(sets, "c")
-    n = groups.groupBy("g").agg(F.count("*").alias("n"))
-    core = full.select("g", F.explode("els").alias("x")).groupBy("g", "x").agg(F.count("*").alias("df")).where("df > 1")
-    core = core.join(n, "g").where("2 * df > n").groupBy("g").agg(F.collect_list("x").alias("core"))
-    core = F.coalesce("core", F.array().cast("array<long>")), full.join(core, "g", "left")
-    return core[1].select("g", "c", "known", F.size(core[0]).alias("k"), F.array_except(core[0], "els").alias("m"), F.array_except("els", core[0]).alias("e"))
+    """(g, p, c, known) and (c, els) to (g, c, known, k, m, e): the size of the group's core, and what a member lacks of it and adds to it.
+
+    Members are told by their differences from one of them, p, first; what more than half of the members lack of p or add to it then changes sides.
+    Only differences are counted, never whole sets.
+    """
+    both = groups.join(sets, "c").join(sets.select(F.col("c").alias("p"), F.col("els").alias("of_p")), "p")
+    near = cut(both.select("g", "c", "known", F.size("of_p").alias("k"), F.array_except("of_p", "els").alias("m"), F.array_except("els", "of_p").alias("e")))
+    n = groups.groupBy("g").agg(F.count("*").alias("n")).where("n > 2")  # in a group of two no difference is that of more than half
+    each = near.select("g", F.explode(F.concat(F.transform("m", lambda x: F.struct(x.alias("x"), F.lit(True).alias("lack"))), F.transform("e", lambda x: F.struct(x.alias("x"), F.lit(False).alias("lack"))))).alias("d"))
+    most = each.join(n, "g").groupBy("g", "n", "d.x", "d.lack").agg(F.count("*").alias("df")).where("2 * df > n")
+    turn = most.groupBy("g").agg(F.collect_list(F.when(F.col("lack"), F.col("x"))).alias("out"), F.collect_list(F.when(~F.col("lack"), F.col("x"))).alias("new"))
+    out, new = (F.coalesce(x, F.array().cast("array<long>")) for x in ("out", "new"))
+    return near.join(turn, "g", "left").select(
+        "g", "c", "known", (F.col("k") - F.size(out) + F.size(new)).alias("k"),
+        F.concat(F.array_except("m", out), F.array_except(new, F.col("e"))).alias("m"), F.concat(F.array_except("e", new), F.array_except(out, F.col("m"))).alias("e"))
 
 
 def compared(told: DataFrame, percent: int) -> DataFrame:
@@ -166,7 +174,7 @@ def compared(told: DataFrame, percent: int) -> DataFrame:
 
 
 def next_groups(seen: DataFrame, percent: int) -> DataFrame:
-    """The open pairs of compared() as smaller groups (g, c, known): lists of differences that two members share, one of them not linked to the first."""
+    """The open pairs of compared() as smaller groups (g, p, c, known): lists of differences that two members share, one of them not linked to the first."""
     met = F.col("linked") | (F.col("known") == F.col("known0"))
     each = seen.where("c <> c0").select("g", "c", F.when(met, F.col("known0")).otherwise(F.col("known")).alias("known"), met.alias("met"), "w", "w0", "t", F.explode(F.concat("m", "e")).alias("x"))
     shared = each.groupBy("g", "x").agg(F.count("*").alias("df"), F.sum((~F.col("met")).cast("int")).alias("open")).where("df > 1 and open > 0").select("g", "x", "df")
@@ -179,17 +187,17 @@ def next_groups(seen: DataFrame, percent: int) -> DataFrame:
     low = own.groupBy("g").agg(F.min("w").alias("any"), F.min(F.when(~F.col("met"), F.col("w"))).alias("open"))
     own = own.join(low, "g").where("open is not null")
     own = own.withColumn("s", F.greatest("s", over(F.col("w") + F.when(F.col("met"), F.col("open")).otherwise(F.col("any")) - F.col("t"), 100 + percent)))
-    lists = own.where(F.size("v") >= F.col("s")).select(F.col("g").alias("p"), "c", "known", "met", F.explode(F.slice("v", F.lit(1), (F.size("v") - F.col("s") + 1).cast("int"))).alias("y"))
-    lists = lists.select(F.xxhash64("p", "y.x").alias("g"), "c", "known")
-    still = lists.groupBy("g").agg(F.min("known").alias("lo"), F.max("known").alias("hi")).where("lo < hi").select("g")
-    return lists.join(still, "g")
+    lists = own.where(F.size("v") >= F.col("s")).select("g", "c", "known", "w", F.explode(F.slice("v", F.lit(1), (F.size("v") - F.col("s") + 1).cast("int"))).alias("y"))
+    lists = lists.select(F.xxhash64("g", "y.x").alias("g"), "c", "known", "w")
+    still = lists.groupBy("g").agg(F.min("known").alias("lo"), F.max("known").alias("hi"), F.min(F.struct("w", "c"))["c"].alias("p")).where("lo < hi").select("g", "p")
+    return lists.join(still, "g").select("g", "p", "c", "known")
 
 
 def links(groups: DataFrame, sets: DataFrame, percent: int) -> list[DataFrame]:
-    """Links (a, b) of groups (g, c, known), one table a round; their components are those of all links."""
+    """Links (a, b) of groups (g, p, c, known), one table a round; their components are those of all links."""
     found, groups = [], cut(groups)
     while not groups.isEmpty():
-        seen = cut(compared(cut(differences(groups, sets)), percent))
+        seen = cut(compared(differences(groups, sets), percent))
         found.append(seen.where("linked and c <> c0").select(F.col("c0").alias("a"), F.col("c").alias("b")))
         groups = cut(next_groups(seen, percent))
     return found
