@@ -187,8 +187,14 @@ def next_groups(seen: DataFrame, percent: int) -> DataFrame:
     low = own.groupBy("g").agg(F.min("w").alias("any"), F.min(F.when(~F.col("met"), F.col("w"))).alias("open"))
     own = own.join(low, "g").where("open is not null")
     own = own.withColumn("s", F.greatest("s", over(F.col("w") + F.when(F.col("met"), F.col("open")).otherwise(F.col("any")) - F.col("t"), 100 + percent)))
-    lists = own.where(F.size("v") >= F.col("s")).select("g", "c", "known", "w", F.explode(F.slice("v", F.lit(1), (F.size("v") - F.col("s") + 1).cast("int"))).alias("y"))
-    lists = lists.select(F.xxhash64("g", "y.x").alias("g"), "c", "known", "w")
+    lists = own.where(F.size("v") >= F.col("s")).select("g", "c", "known", "met", "w", "t", F.size("v").alias("has"), F.explode(F.slice("v", F.lit(1), (F.size("v") - F.col("s") + 1).cast("int"))).alias("y"))
+    lists = cut(lists.withColumn("g", F.xxhash64("g", "y.x")).drop("y"))
+    # the same bounds with the partners that a list has, which are far fewer than a group's
+    for _ in range(2):
+        low = lists.groupBy("g").agg(F.min("w").alias("any"), F.min(F.when(~F.col("met"), F.col("w"))).alias("open"), F.min("known").alias("lo"), F.max("known").alias("hi"))
+        lists = lists.join(low.where("lo < hi and open is not null"), "g")
+        asked = over(F.col("w") + F.when(F.col("met"), F.col("open")).otherwise(F.col("any")) - F.col("t"), 100 + percent)
+        lists = lists.where(F.col("has") >= asked).drop("any", "open", "lo", "hi")
     still = lists.groupBy("g").agg(F.min("known").alias("lo"), F.max("known").alias("hi"), F.min(F.struct("w", "c"))["c"].alias("p")).where("lo < hi").select("g", "p")
     return lists.join(still, "g").select("g", "p", "c", "known")
 
