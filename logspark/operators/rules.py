@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.filters import VARIANT, FilterError, filter_expr, with_variant
-from ..functions.text import property_text, render_payload, segments, valid_json  # noqa: F401
+from ..functions.text import level_name, property_text, render_payload, segments, valid_json  # noqa: F401
 from ..schema import BY_RULE, EVERY_MATCH, FAILED, MANUAL, PENDING, TEST
 from .ids import event_id
 
@@ -51,7 +51,7 @@ def compile_rules(rules: list[dict]) -> tuple[list[tuple[dict, Column]], dict[st
 
 def dedupe_key(template: str) -> Column:
     """The key template as a Column; it has no filters, and unknown paths are empty."""
-    known = {"event.eventType": F.col("event_type").cast("string"), "event.level": F.col("level").cast("string"), "event.source": F.col("source"), "event.message": F.col("message"), "app.id": F.col("app_id")}
+    known = {"event.eventType": F.col("event_type").cast("string"), "event.level": level_name(F.col("level")), "event.source": F.col("source"), "event.message": F.col("message"), "app.id": F.col("app_id")}
     parts, at = [], 0
     while (start := template.find("{{", at)) >= 0 and (end := template.find("}}", start)) >= 0:
         path = template[start + 2 : end].split("|")[0].strip()
@@ -197,7 +197,7 @@ def apply_caps(folded: DataFrame, storms: DataFrame, rules: list[dict], destinat
 
 def payload_values(with_rule: bool = True) -> Column:
     """Values by path for payload templates, as a JSON object; event properties go by event.properties.X."""
-    known = {"event.timestamp": F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'"), "event.level": F.col("level").cast("string"), "event.message": F.col("message"), "event.template": F.col("template"), "event.exception": F.col("exception"),
+    known = {"event.timestamp": F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'"), "event.level": level_name(F.col("level")), "event.message": F.col("message"), "event.template": F.col("template"), "event.exception": F.col("exception"),
              "event.source": F.col("source"), "event.traceId": F.col("trace_id"), "event.id": event_id(F.col("day"), F.col("id")), "event.eventType": F.col("event_type").cast("string"), "app.id": F.col("app_id")}
     if with_rule:
         known |= {"rule.id": F.col("rule_id"), "occurrence.key": F.col("dedupe_key"), "occurrence.count": F.col("count").cast("string")}

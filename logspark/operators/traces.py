@@ -41,10 +41,10 @@ def limit_traces(events: DataFrame, limit: int = USUAL) -> DataFrame:
 
 
 def link_spans(events: DataFrame) -> DataFrame:
-    """Adds is_span and parent, the place of the parent span in its trace (null for roots)."""
-    e = events.withColumn("is_span", F.coalesce((F.col("start_ts") <= F.col("ts")), F.lit(False)) & (F.coalesce("span_id", F.lit("")) != ""))
+    """Adds is_span and parent, the place of the parent span in its trace (null for roots). A span needs a start; an id only to be a parent."""
+    e = events.withColumn("is_span", F.coalesce((F.col("start_ts") <= F.col("ts")), F.lit(False)))
     key = F.when(F.col("is_span"), F.col("parent_span_id")).otherwise(F.col("span_id"))
-    first = e.where("is_span").groupBy("trace_id", F.col("span_id").alias("__key")).agg(F.min("place").alias("parent"))
+    first = e.where("is_span and span_id <> ''").groupBy("trace_id", F.col("span_id").alias("__key")).agg(F.min("place").alias("parent"))
     joined = e.withColumn("__key", F.nullif(key, F.lit(""))).join(first, ["trace_id", "__key"], "left").drop("__key")
     return joined.withColumn("parent", F.when(F.col("parent") != F.col("place"), F.col("parent")))
 

@@ -34,7 +34,7 @@ def committed(spark, d):
 
 _MATCH = PROPS + """, m AS (
   SELECT 'r1' AS rule_id, app_id AS key, app_id, day, id, ts FROM p WHERE level >= 5
-  UNION ALL SELECT 'r2', level || '-' || tenant, app_id, day, id, ts FROM p WHERE region = 'us' AND tenant > 41
+  UNION ALL SELECT 'r2', ['Verbose', 'Debug', 'Information', 'Warning', 'Error', 'Fatal'][level + 1] || '-' || tenant, app_id, day, id, ts FROM p WHERE region = 'us' AND tenant > 41
   UNION ALL SELECT 'r3', coalesce(source, ''), app_id, day, id, ts FROM p WHERE level >= 4
   UNION ALL SELECT 'r4', 'k', app_id, day, id, ts FROM p WHERE level >= 3 AND app_id = 'app-2'
   UNION ALL SELECT 'r5', CAST(k AS VARCHAR), app_id, day, id, ts FROM p WHERE app_id = 'app-1')"""

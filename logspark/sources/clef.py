@@ -85,19 +85,21 @@ def parse_clef(lines: DataFrame, now) -> DataFrame:
     return _finish(out)
 
 
-PLAIN = "array<struct<timestamp:string,level:string,message:string,exception:string,template:string,traceId:string,spanId:string,source:string,properties:string>>"
+PLAIN = "struct<timestamp:string,level:string,message:string,exception:string,template:string,traceId:string,spanId:string,source:string,properties:string>"
 
 
 def parse_plain(bodies: DataFrame, now) -> DataFrame:
-    """Rows with body, one JSON object or an array of them, to events."""
+    """Rows with body, one JSON object or an array of them, to events. A body that isn't JSON, and an item that isn't an object, is an event with an error."""
     body = F.trim("body")
     as_list = F.when(body.startswith("["), body).otherwise(F.concat(F.lit("["), body, F.lit("]")))
-    e = bodies.select(*[c for c in bodies.columns if c != "body"], F.explode(F.from_json(as_list, PLAIN)).alias("e"))
+    others = [c for c in bodies.columns if c != "body"]
+    items = bodies.select(*others, F.from_json(as_list, "array<string>").alias("items")).where("items is null or size(items) > 0")
+    e = items.select(*others, F.explode_outer("items").alias("item")).select(*others, F.from_json("item", PLAIN).alias("e"), F.coalesce(F.trim("item").startswith("{"), F.lit(False)).alias("is_object"))
     stamp = F.when(F.col("e.timestamp").isNull(), at(now)).otherwise(F.try_to_timestamp("e.timestamp"))
     out = e.select(
         *[c for c in bodies.columns if c != "body"], stamp.alias("ts"), level_number(F.coalesce("e.level", F.lit(""))).alias("level"), F.col("e.template").alias("template"), F.col("e.message").alias("message"),
         F.col("e.exception").alias("exception"), F.col("e.traceId").alias("trace_id"), F.col("e.spanId").alias("span_id"), F.col("e.source").alias("source"), F.lit(None).cast("string").alias("machine"),
-        F.coalesce("e.properties", F.lit("{}")).alias("properties"), F.when(stamp.isNull(), F.lit("invalid timestamp")).alias("error"))
+        F.coalesce("e.properties", F.lit("{}")).alias("properties"), F.when(~F.col("is_object"), F.lit("not a JSON object")).when(stamp.isNull(), F.lit("invalid timestamp")).alias("error"))
     return _finish(out)
 
 

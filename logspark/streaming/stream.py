@@ -25,8 +25,11 @@ def ingest_batch(lines: DataFrame, path: str, ids_path: str, apps: DataFrame, no
     spark = lines.sparkSession
     try:
         known = spark.read.schema("app_id string, day date, max_id bigint, batch bigint").parquet(ids_path)
-        if not known.where(F.col("batch") == batch_id).isEmpty():
-            return store.read_events(spark, path)
+        again = known.where(F.col("batch") == batch_id)
+        if not again.isEmpty():  # what this batch stored: the ids above those of the batches before it
+            before = known.where(F.col("batch") < batch_id).groupBy("app_id", "day").agg(F.max("max_id").alias("low"))
+            own = again.groupBy("app_id", "day").agg(F.max("max_id").alias("high")).join(before, ["app_id", "day"], "left")
+            return store.read_events(spark, path).join(own, ["app_id", "day"]).where((F.col("id") > F.coalesce("low", F.lit(0))) & (F.col("id") <= F.col("high"))).drop("low", "high")
         top = known.groupBy("app_id", "day").agg(F.max("max_id").alias("max_id"))
     except Exception as e:  # the first batch finds no table
         if "PATH_NOT_FOUND" not in str(e):

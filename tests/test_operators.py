@@ -143,6 +143,33 @@ def test_stream_equals_batch(spark, tmp_path):
     assert [r.id for r in rows] == list(range(1, 11))
 
 
+def test_a_batch_that_runs_again_gives_its_own_rows(spark, tmp_path):
+    apps = spark.createDataFrame([("a", 0)], "app_id string, minimum_level int")
+    path, ids_path = str(tmp_path / "store"), str(tmp_path / "ids")
+    for k in (0, 1, 2, 1):
+        lines = spark.createDataFrame([("a", k, f'{{"@t":"2026-07-23T12:00:0{k}Z","@m":"m{k}"}}')], "app_id string, seq bigint, line string")
+        assert [r.message for r in stream.ingest_batch(lines, path, ids_path, apps, T0, k).collect()] == [f"m{k}"]
+    assert store.read_events(spark, path, ["a"], T0.date(), T0.date()).count() == 3
+
+
+def test_plain_bodies_are_rejected_by_item(spark):
+    bodies = spark.createDataFrame([("1", "not json"), ("2", '[{"message":"x","properties":{"K":[1,"a"]}},5]'), ("3", "[]"), ("4", None), ("5", '{"message":"y"}')], "key string, body string")
+    got = sorted((r.key, r.message, r.error) for r in clef.parse_plain(bodies, T0).collect() if not r.error)
+    assert got == [("2", "x", None), ("5", "y", None)]
+    assert sorted(r.key for r in clef.parse_plain(bodies, T0).collect() if r.error == "not a JSON object") == ["1", "2", "4"]
+
+
+def test_keys_hold_level_names(spark):
+    assert [r.key for r in log(spark, 1).select(R.dedupe_key("{{event.level}}-{{app.id}}").alias("key")).collect()] == ["Error-billing"]
+
+
+def test_a_span_needs_no_id(spark):
+    t = lambda s: T0 + dt.timedelta(seconds=s)
+    rows = [("t", 1, t(5), t(0), "p", None), ("t", 2, t(4), t(1), None, "p"), ("t", 3, t(6), None, "p", None)]
+    got = traces.link_spans(spark.createDataFrame(rows, "trace_id string, place int, ts timestamp, start_ts timestamp, span_id string, parent_span_id string")).orderBy("place").collect()
+    assert [(r.is_span, r.parent) for r in got] == [(True, None), (True, 1), (False, 1)]
+
+
 def test_frames_drop_the_oldest(spark):
     rows = [("s", T0, i) for i in range(500)]
     got = stream.frames(spark.createDataFrame(rows, "sub_id string, arrived timestamp, key bigint"), size=50, ring=100).orderBy("seq", "key").collect()
