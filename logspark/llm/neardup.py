@@ -15,7 +15,8 @@ A document is the set of its distinct k-word shingles; two documents are linked
    The member with the smallest w is compared with all others (exact Jaccard); then only pairs are open in which one isn't linked
    to it, and those must share some of their differences. Every difference is one of at most half of the members, so inverted lists of differences, again as
    rarest-first prefixes by the least s that a partner can ask for, are at most half as large as the group. They are the groups of the next
-   round. So rounds are log2 of the largest group at most, and a group of n edited copies costs about n rows a round. Nothing is capped.
+   round. So rounds are log2 of the largest group at most. Nothing is capped; a document may
+   stand in many lists of a round, so rows of differences can grow faster than the input where groups are large (README has the figures).
 
 Cases: null and empty texts, and texts of white space, have an empty set and no links; a text with fewer than k words has one
 shingle, the whole sequence. Very long texts are sets like others, one text at a time. Null ids take no part in links and get a null component. Rows that
