@@ -15,9 +15,9 @@ A byte is removed if it lies in a string of `width` bytes that also starts anywh
    every group holds the suffixes with one common longest Lyndon prefix. Then groups are read in ascending order: each suffix that is
    put out puts its previous-smaller position at the front of its own group. Nothing is renamed and nothing recurses.
 5. An anchor with more than BIN_CONTEXTS different contexts (a passage that very many documents share, with their own text
-   around) is never gathered. Its windows are told apart exactly by a count over hashes of the windows themselves, in steps
-   that halve: a run of windows whose union is found twice repeats as a whole, one whose common core is found once doesn't
-   repeat at all, any other is split. Hashes have 128 bits.
+   around) is never gathered. Its windows are told apart by counts over 128-bit BLAKE2b digests of runs of windows, in steps of
+   BLOCKS windows: a run whose union is found twice repeats as a whole, one whose common core is found once doesn't
+   repeat at all, any other is split. Wherever equality is told by digests, those are BLAKE2b or SHA-256; rolling hashes choose anchors only.
 
 Cases: null and empty texts have 0 bytes and the hash of nothing; a text shorter than width keeps all; rows that repeat
 an id are different starts, like any other rows; other columns aren't read; an empty table gives an empty result.
@@ -27,6 +27,8 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import reduce
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
@@ -41,10 +43,10 @@ from .common import cut, table
 WIDTH, GRAM = 400, 32
 #: Different contexts of one anchor that may meet in a bin, and about how many contexts a bin holds.
 BIN_CONTEXTS, BIN = 192, 800
-#: Windows that are told apart together where an anchor has more contexts.
-BLOCK = 32
-#: Bits of a position in a text, beside the hash bits that order anchors.
-POSITION = 28
+#: Windows that are told apart together where an anchor has more contexts, step by step.
+BLOCKS = (64, 8, 1)
+#: Windows of a text that are looked at together, and bits of a position among them, beside the hash bits that order anchors.
+CHUNK, POSITION = 1 << 22, 23
 
 
 def window_minima(h: np.ndarray, w: int) -> np.ndarray:
@@ -56,19 +58,32 @@ def window_minima(h: np.ndarray, w: int) -> np.ndarray:
     return np.minimum(right[:m], left[w - 1 : w - 1 + m])
 
 
-def contexts(text: np.ndarray, width: int, gram: int) -> tuple[np.ndarray, ...]:
-    """Of each run of windows with one anchor: anchor hash, first window, windows, anchor offset, two hashes of the bytes."""
-    if len(text) < width:
-        none = np.zeros(0, np.int64)
-        return none.astype(B.U), none, none, none, none.astype(B.U), none.astype(B.U)
-    roll = B.Rolling(text)
-    h = roll.fixed(gram)
+def anchored(text: np.ndarray, width: int, gram: int) -> tuple[np.ndarray, ...]:
+    """Of each run of windows with one anchor: anchor hash, first window, windows, anchor offset."""
+    h = B.Rolling(text).fixed(gram)
     low = window_minima((h >> B.U(POSITION) << B.U(POSITION)) | np.arange(len(h), dtype=B.U), width - gram + 1) & B.U((1 << POSITION) - 1)
     start = np.flatnonzero(np.concatenate([[True], low[1:] != low[:-1]]))
-    n = np.diff(np.append(start, len(low)))
     at = low[start].astype(np.int64)
-    end, mid = start + n + width - 1, start + width // 2
-    return h[at], start, n, at - start, roll.of(start, end), B.mix(roll.of(start, mid) * B.U(3) + roll.of(mid, end))
+    return h[at], start, np.diff(np.append(start, len(low))), at - start
+
+
+def contexts(text: np.ndarray, width: int, gram: int) -> tuple[np.ndarray, ...]:
+    """Of each run of windows with one anchor: anchor hash, first window, windows, anchor offset, two halves of a digest of the bytes.
+
+    Long texts go by chunks of windows; a run that crosses their border is two.
+    """
+    parts = []
+    for s in range(0, len(text) - width + 1, CHUNK):
+        key, start, n, at = anchored(text[s : s + CHUNK + width - 1], width, gram)
+        parts.append((key, start + s, n, at))
+    if not parts:
+        none = np.zeros(0, np.int64)
+        return none.astype(B.U), none, none, none, none.astype(B.U), none.astype(B.U)
+    key, start, n, at = (np.concatenate(x) for x in zip(*parts, strict=True))
+    raw = text.tobytes()
+    both = b"".join(blake2b(raw[a:b], digest_size=16).digest() for a, b in zip(start.tolist(), (start + n + width - 1).tolist(), strict=True))
+    c = np.frombuffer(both, B.U).reshape(-1, 2)
+    return key, start, n, at, c[:, 0], c[:, 1]
 
 
 def suffix_array(text: list[int]) -> list[int]:
@@ -251,18 +266,18 @@ def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _extract(width: int, gram: int):
-    """(z, need: array of (key, c1, m, hot)) to the bytes of the needed contexts."""
+    """(z, need: array of (key, c1, c2, m, hot)) to the bytes of the needed contexts."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unpack = zstandard.ZstdDecompressor()
-        kind = pa.schema([("key", pa.int64()), ("c1", pa.int64()), ("m", pa.int64()), ("hot", pa.bool_()), ("at", pa.int32()), ("body", pa.binary())])
+        kind = pa.schema([("key", pa.int64()), ("c1", pa.int64()), ("c2", pa.int64()), ("m", pa.int64()), ("hot", pa.bool_()), ("at", pa.int32()), ("body", pa.binary())])
         for batch in batches:
             for z, need in zip(batch.column("z"), batch.column("need").to_pylist(), strict=True):
                 raw = unpack.decompress(z.as_py())
-                key, start, n, at, c1, _ = contexts(np.frombuffer(raw, np.uint8), width, gram)
-                place = {x: i for i, x in enumerate(zip(key.view(np.int64).tolist(), c1.view(np.int64).tolist(), strict=True))}
+                key, start, n, at, c1, c2 = contexts(np.frombuffer(raw, np.uint8), width, gram)
+                place = {x: i for i, x in enumerate(zip(*(x.astype(B.U).view(np.int64).tolist() for x in (key, c1, c2)), strict=True))}
                 rows = []
                 for r in need:
-                    i = place.get((r["key"], r["c1"]))
+                    i = place.get((r["key"], r["c1"], r["c2"]))
                     if i is not None:
                         rows.append({**r, "at": int(at[i]), "body": raw[start[i] : start[i] + n[i] + width - 1]})
                 if rows:
@@ -270,69 +285,68 @@ def _extract(width: int, gram: int):
     return run
 
 
-_FOUND = "key long, c1 long, a int, b int"
+_FOUND = "key long, c1 long, c2 long, a int, b int"
 
 
 def _order(width: int):
     def run(group: pa.Table) -> pa.Table:
-        key, c1, at, body, m = (group.column(c).to_pylist() for c in ("key", "c1", "at", "body", "m"))
+        key, c1, c2, at, body, m = (group.column(c).to_pylist() for c in ("key", "c1", "c2", "at", "body", "m"))
         found = bin_repeats(list(zip(key, at, body, m, strict=True)), width)
-        flat = [(k, c, a, b) for k, c, s in zip(key, c1, found, strict=True) for a, b in s]
-        return pa.table({n: pa.array([r[i] for r in flat], t) for i, (n, t) in enumerate((("key", pa.int64()), ("c1", pa.int64()), ("a", pa.int32()), ("b", pa.int32())))})
+        flat = [(*own, a, b) for own, s in zip(zip(key, c1, c2, strict=True), found, strict=True) for a, b in s]
+        kinds = (("key", pa.int64()), ("c1", pa.int64()), ("c2", pa.int64()), ("a", pa.int32()), ("b", pa.int32()))
+        return pa.table({n: pa.array([r[i] for r in flat], t) for i, (n, t) in enumerate(kinds)})
     return run
 
 
 def _blocks(width: int, step: int, big: int):
-    """Hashes of runs of windows: for step > 1 of their common core, and of their union where the context has all of them."""
-    names = ("key", "c1", "m", "block", "a", "b", "u", "k")
+    """Digests of runs of `step` windows: of their common core, and of their union where the context has all of them.
+
+    `only` names the runs of `big` windows that are asked for (null: all) and those that surely repeat, which count twice at least.
+    """
+    kinds = pa.schema([("key", pa.int64()), ("c1", pa.int64()), ("c2", pa.int64()), ("m", pa.int64()), ("block", pa.int32()), ("a", pa.int32()), ("b", pa.int32()), ("u", pa.binary()), ("k", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for key, c1, m, at, body, only in zip(*(batch.column(c).to_pylist() for c in ("key", "c1", "m", "at", "body", "only")), strict=True):
-                roll = B.Rolling(np.frombuffer(body, np.uint8))
-                n = len(body) - width + 1
-                left = at - np.arange(n)  # bytes before the anchor, of each window: from at down
-                block = left // step
-                if only is not None:
-                    pick = np.isin(left // big, np.array(only))
-                    block, left, own = block[pick], left[pick], np.arange(n)[pick]
-                else:
-                    own = np.arange(n)
-                first = np.flatnonzero(np.concatenate([[True], block[1:] != block[:-1]])) if len(block) else np.zeros(0, np.int64)
-                size = np.diff(np.append(first, len(block)))
-                a = own[first] if len(first) else first
-                top = (block[first] + 1) * step - 1  # most bytes before the anchor that a window of the block has
-                core_a, core_b = at - (top - step + 1), at - top + width
-                core = np.stack([roll.of(core_a, core_b), B.mix(roll.of(core_a, (core_a + core_b) // 2) + B.U(5) * roll.of((core_a + core_b) // 2, core_b))]).view(np.int64)
-                ua, ub = a, a + size + width - 1
-                union = np.stack([roll.of(ua, ub), B.mix(roll.of(ua, (ua + ub) // 2) + B.U(5) * roll.of((ua + ub) // 2, ub))]).view(np.int64)
-                k = len(first)
-                pair = lambda x, ok: pa.StructArray.from_arrays([pa.array(x[0]), pa.array(x[1])], names=["x", "y"], mask=pa.array(~ok))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([key] * k, pa.int64()), pa.array([c1] * k, pa.int64()), pa.array([m] * k, pa.int64()), pa.array(block[first].astype(np.int32)), pa.array(a.astype(np.int32)), pa.array((a + size).astype(np.int32)), pair(union, size == step), pair(core, np.ones(k, bool))],
-                    names=list(names))
+            for key, c1, c2, m, at, body, only in zip(*(batch.column(c).to_pylist() for c in ("key", "c1", "c2", "m", "at", "body", "only")), strict=True):
+                n, only = len(body) - width + 1, None if only is None else dict(only)
+                rows = []
+                # windows by the bytes before the anchor: from `at` down
+                for block in range((at - n + 1) // step, at // step + 1):
+                    bottom, top = block * step, block * step + step - 1
+                    sure = False if only is None else only.get(bottom // big)
+                    if sure is None:
+                        continue
+                    a, b = max(0, at - top), min(n, at - bottom + 1)
+                    core = blake2b(body[at - bottom : at - top + width], digest_size=16).digest()
+                    union = blake2b(body[a : b + width - 1], digest_size=16).digest() if b - a == step else None
+                    rows.append((key, c1, c2, max(m, 2) if sure else m, block, a, b, union, core))
+                if rows:
+                    yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), kinds.types, strict=True)], schema=kinds)
     return run
 
 
-_BLOCK = "key long, c1 long, m long, block int, a int, b int, u struct<x:bigint,y:bigint>, k struct<x:bigint,y:bigint>"
+_BLOCK = "key long, c1 long, c2 long, m long, block int, a int, b int, u binary, k binary"
 
 
 def hot_repeats(hot: DataFrame, width: int) -> DataFrame:
-    """Contexts of anchors that have too many for a bin, (key, c1, m, at, body): their repeated windows (key, c1, a, b)."""
-    one = cut(hot.withColumn("only", F.lit(None).cast("array<int>")).mapInArrow(_blocks(width, BLOCK, BLOCK), _BLOCK))
-    union = one.where("u is not null").groupBy("key", "block", "u").agg(F.sum("m").alias("un"), F.min("c1").alias("rep"))
-    core = one.groupBy("key", "block", "k").agg(F.sum("m").alias("kn"))
-    told = cut(one.join(core, ["key", "block", "k"]).where("kn > 1").join(union, ["key", "block", "u"], "left").select("key", "c1", "m", "block", "a", "b", "un", "rep"))
-    whole = told.where("un > 1").select("key", "c1", "a", "b")
-    # what is open, and one context of each union that stands for its repeats
-    ask = told.where("un is null or un = 1 or rep = c1").select("key", "c1", "block")
-    ask = ask.groupBy("key", "c1").agg(F.collect_list("block").alias("only"))
-    two = cut(hot.join(ask, ["key", "c1"]).mapInArrow(_blocks(width, 1, BLOCK), _BLOCK))
-    sure = told.where("un > 1 and rep = c1").select("key", "c1", F.col("block").alias("big"), F.lit(True).alias("sure"))
-    two = two.withColumn("big", F.floor(F.col("block") / F.lit(BLOCK)).cast("int")).join(sure, ["key", "c1", "big"], "left")
-    two = two.withColumn("w", F.when(F.col("sure"), 2).otherwise(F.col("m")))
-    again = two.groupBy("key", "block", "k").agg(F.sum("w").alias("times")).where("times > 1")
-    return whole.union(two.join(again, ["key", "block", "k"]).select("key", "c1", "a", "b"))
+    """Contexts of anchors that have too many for a bin, (key, c1, c2, m, at, body): their repeated windows (key, c1, c2, a, b)."""
+    own = ["key", "c1", "c2"]
+    asked, found = hot.withColumn("only", F.lit(None).cast("map<int,boolean>")), []
+    steps = [x for x in BLOCKS if x == 1 or 2 * x <= width]  # windows that are told apart together have a common core
+    for step, big in zip(steps, (1, *steps), strict=False):
+        runs = cut(asked.mapInArrow(_blocks(width, step, big), _BLOCK))
+        core = runs.groupBy("key", "block", "k").agg(F.sum("m").alias("kn")).where("kn > 1")
+        if step == 1:
+            found.append(runs.join(core, ["key", "block", "k"]).select(*own, "a", "b"))
+            break
+        union = runs.where("u is not null").groupBy("key", "block", "u").agg(F.sum("m").alias("un"), F.min(F.struct("c1", "c2")).alias("first"))
+        told = runs.join(core, ["key", "block", "k"]).join(union, ["key", "block", "u"], "left")
+        told = cut(told.select(*own, "block", "a", "b", "kn", F.coalesce(F.col("un") > 1, F.lit(False)).alias("sure"), "un", (F.col("first") == F.struct("c1", "c2")).alias("stands")))
+        found.append(told.where("sure").select(*own, "a", "b"))
+        # what is open, and one context of each repeated union that stands for it where others share the core
+        still = told.where("not sure or (stands and kn > un)").groupBy(*own).agg(F.map_from_entries(F.collect_list(F.struct("block", "sure"))).alias("only"))
+        asked = hot.join(still, own)
+    return reduce(DataFrame.union, found)
 
 
 def _finish(width: int):
@@ -356,20 +370,20 @@ def _finish(width: int):
 
 
 def repeated_windows(scan: DataFrame, texts: DataFrame, width: int, gram: int) -> DataFrame:
-    """Runs of repeated windows (key, c1, a, b) of the contexts in scan; texts has (id, t1, z)."""
+    """Runs of repeated windows (key, c1, c2, a, b) of the contexts in scan; texts has (id, t1, z)."""
     each = scan.select("id", F.explode(F.arrays_zip("key", "c1", "c2")).alias("x")).select("id", "x.*")
     found = each.groupBy("key", "c1", "c2").agg(F.count("*").alias("m"), F.min("id").alias("id"))
     keys = found.groupBy("key").agg(F.count("*").alias("d"), F.sum("m").alias("total")).where("total > 1")
-    found = cut(found.join(keys, "key").select("key", "c1", "m", "id", "d"))
+    found = cut(found.join(keys, "key").select("key", "c1", "c2", "m", "id", "d"))
     # contexts that are found twice repeat from end to end; -1 stands for the end
-    whole = found.where("m > 1").select("key", "c1", F.lit(0).alias("a"), F.lit(-1).alias("b"))
-    need = found.where("d > 1").groupBy("id").agg(F.collect_list(F.struct("key", "c1", "m", (F.col("d") > BIN_CONTEXTS).alias("hot"))).alias("need"))
-    bodies = cut(texts.join(need, "id").select("z", "need").mapInArrow(_extract(width, gram), "key long, c1 long, m long, hot boolean, at int, body binary").dropDuplicates(["key", "c1"]))
+    whole = found.where("m > 1").select("key", "c1", "c2", F.lit(0).alias("a"), F.lit(-1).alias("b"))
+    need = found.where("d > 1").groupBy("id").agg(F.collect_list(F.struct("key", "c1", "c2", "m", (F.col("d") > BIN_CONTEXTS).alias("hot"))).alias("need"))
+    bodies = cut(texts.join(need, "id").select("z", "need").mapInArrow(_extract(width, gram), "key long, c1 long, c2 long, m long, hot boolean, at int, body binary").dropDuplicates(["key", "c1", "c2"]))
     n = bodies.where("not hot").count()
     bins = F.pmod(F.xxhash64("key"), F.lit(max(1, -(-n // BIN))))
     binned = bodies.where("not hot").withColumn("bin", bins).groupBy("bin").applyInArrow(_order(width), _FOUND)
     out = whole.union(binned)
-    hot = bodies.where("hot").select("key", "c1", "m", "at", "body")
+    hot = bodies.where("hot").select("key", "c1", "c2", "m", "at", "body")
     return cut(out if hot.isEmpty() else out.union(hot_repeats(hot, width)))
 
 
@@ -380,8 +394,8 @@ def remove_repeats(docs: DataFrame, width: int = WIDTH, gram: int = GRAM) -> Dat
                .withColumn("own", F.coalesce("id", "t1")))
     rows = docs.select(F.col("doc_id").alias("id"), "text").mapInArrow(_pack, "id long, t1 long, z binary").withColumn("id", F.coalesce("id", "t1"))
     wins = repeated_windows(scan.select(F.col("own").alias("id"), "key", "c1", "c2"), rows, width, gram)
-    each = scan.select(F.col("own").alias("id"), "t1", F.explode(F.arrays_zip("key", "c1", "start", "n")).alias("x")).select("id", "t1", "x.*")
-    run = each.join(wins, ["key", "c1"])
+    each = scan.select(F.col("own").alias("id"), "t1", F.explode(F.arrays_zip("key", "c1", "c2", "start", "n")).alias("x")).select("id", "t1", "x.*")
+    run = each.join(wins, ["key", "c1", "c2"])
     a, b = F.col("start") + F.col("a"), F.col("start") + F.when(F.col("b") < 0, F.col("n")).otherwise(F.col("b"))
     runs = run.select("id", "t1", (F.shiftleft(a.cast("long"), 32) + b).alias("r")).groupBy("id", "t1").agg(F.collect_set("r").alias("runs"))
     copies = scan.groupBy("t1", "t2").agg(F.count("*").alias("copies")).where("copies > 1")

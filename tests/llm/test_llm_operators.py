@@ -143,7 +143,8 @@ def test_versions_of_a_document(spark):
 @pytest.mark.parametrize("limit", [192, 3])
 def test_repeated_bytes(spark, monkeypatch, limit):
     monkeypatch.setattr(suffix, "BIN_CONTEXTS", limit)
-    monkeypatch.setattr(suffix, "BLOCK", 8)
+    monkeypatch.setattr(suffix, "BLOCKS", (8, 2, 1))
+    monkeypatch.setattr(suffix, "CHUNK", 60)
     r = random.Random(3)
     shared = [prose(r, 12) for _ in range(4)]
     texts = [None, "", "z" * 130, "ab" * 60] + ["".join(r.choice([prose(r, 6), shared[r.randrange(4)], shared[r.randrange(4)][5:60], "é" * r.randrange(30)]) for _ in range(r.randrange(5))) for _ in range(120)]
