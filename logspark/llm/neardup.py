@@ -200,6 +200,22 @@ def next_groups(seen: DataFrame, percent: int) -> DataFrame:
     return lists.join(still, "g").select("g", "p", "c", "known")
 
 
+def at_home(groups: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) of each class with the named member p of the largest group that it stands in: exact Jaccard, one comparison a class."""
+    n = groups.groupBy("g").agg(F.count("*").alias("n"))
+    home = groups.join(n, "g").groupBy("c").agg(F.max(F.struct("n", "p"))["p"].alias("p")).where("c <> p")
+    both = home.join(sets, "c").join(sets.select(F.col("c").alias("p"), F.col("els").alias("of_p")), "p")
+    common = F.size(F.array_intersect("els", "of_p"))
+    return both.where(F.lit(100 + percent) * common >= F.lit(percent) * (F.size("els") + F.size("of_p"))).select(F.col("p").alias("a"), F.col("c").alias("b"))
+
+
+def unsettled(groups: DataFrame, known: DataFrame) -> DataFrame:
+    """groups with the component labels (node, comp) that are known by now; those of one component need no more work."""
+    groups = groups.drop("known").join(known, F.col("c") == F.col("node"), "left").select("g", "p", "c", F.coalesce("comp", "c").alias("known"))
+    several = groups.groupBy("g").agg(F.min("known").alias("lo"), F.max("known").alias("hi")).where("lo < hi").select("g")
+    return groups.join(several, "g")
+
+
 def links(groups: DataFrame, sets: DataFrame, percent: int) -> list[DataFrame]:
     """Links (a, b) of groups (g, p, c, known), one table a round; their components are those of all links."""
     found, groups = [], cut(groups)
@@ -226,7 +242,9 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, retain: int
     members = reps.join(lists.select("c").distinct(), "c", "left_semi")
     want = members.groupBy("sid").agg(F.collect_list(F.struct("f1", "c")).alias("want"))
     sets = cut(packed(ids.where("id is not null")).join(want, F.col("id") == F.col("sid")).select("z", "want").mapInArrow(_sets(k), "c long, els array<long>").dropDuplicates(["c"]))
-    edges += links(first_groups(lists, members.select("c", "low"), percent, retain), sets, percent)
+    groups = cut(first_groups(lists, members.select("c", "low"), percent, retain))
+    near = cut(at_home(groups, sets, percent))
+    edges += [near, *links(unsettled(groups, components(near)), sets, percent)]
     comps = components(reduce(DataFrame.union, edges))
     own = reps.select("n", "f1", "f2", "sid", "c").join(comps, F.col("c") == F.col("node"), "left").withColumn("comp", F.coalesce("comp", "c"))
     label = own.groupBy("comp").agg(F.min("sid").alias("component"))
