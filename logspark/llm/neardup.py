@@ -151,11 +151,12 @@ def differences(groups: DataFrame, sets: DataFrame) -> DataFrame:
     Members are told by their differences from one of them, p, first; what more than half of the members lack of p or add to it then changes sides.
     Only differences are counted, never whole sets.
     """
-    both = groups.join(sets, "c").join(sets.select(F.col("c").alias("p"), F.col("els").alias("of_p")), "p")
-    near = cut(both.select("g", "c", "known", F.size("of_p").alias("k"), F.array_except("of_p", "els").alias("m"), F.array_except("els", "of_p").alias("e")))
-    n = groups.groupBy("g").agg(F.count("*").alias("n")).where("n > 2")  # in a group of two no difference is that of more than half
-    each = near.select("g", F.explode(F.concat(F.transform("m", lambda x: F.struct(x.alias("x"), F.lit(True).alias("lack"))), F.transform("e", lambda x: F.struct(x.alias("x"), F.lit(False).alias("lack"))))).alias("d"))
-    most = each.join(n, "g").groupBy("g", "n", "d.x", "d.lack").agg(F.count("*").alias("df")).where("2 * df > n")
+    n = groups.groupBy("g").agg(F.count("*").alias("n"))
+    both = groups.join(n, "g").join(sets, "c").join(sets.select(F.col("c").alias("p"), F.col("els").alias("of_p")), "p")
+    near = cut(both.select("g", "n", "c", "known", F.size("of_p").alias("k"), F.array_except("of_p", "els").alias("m"), F.array_except("els", "of_p").alias("e")))
+    # in a group of two no difference is that of more than half
+    each = near.where("n > 2").select("g", "n", F.explode(F.concat(F.transform("m", lambda x: F.struct(x.alias("x"), F.lit(True).alias("lack"))), F.transform("e", lambda x: F.struct(x.alias("x"), F.lit(False).alias("lack"))))).alias("d"))
+    most = each.groupBy("g", "n", "d.x", "d.lack").agg(F.count("*").alias("df")).where("2 * df > n")
     turn = most.groupBy("g").agg(F.collect_list(F.when(F.col("lack"), F.col("x"))).alias("out"), F.collect_list(F.when(~F.col("lack"), F.col("x"))).alias("new"))
     out, new = (F.coalesce(x, F.array().cast("array<long>")) for x in ("out", "new"))
     return near.join(turn, "g", "left").select(
