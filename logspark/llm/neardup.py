@@ -9,7 +9,8 @@ A document is the set of its distinct k-word shingles; two documents are linked
    share. The order is by how many sketches have a value, rarest first: values that nobody shares use the prefix up and need no list, and
    common lines or passages come last. Lists with one label (their member with most lists) are one group. Of groups of two, union-sketch estimation
    drops those far below the threshold.
-3. Groups are never taken as all pairs. A group's core is the set of the shingles that more than half of its members have; a member A is
+3. Each class meets the label of its largest group (exact Jaccard). Groups whose members are in one component by then need no more work.
+   The others are never taken as all pairs. A group's core is the set of the shingles that more than half of its members have; a member A is
    told by what it lacks of the core (M) and adds to it (E). Sizes of intersections follow from those: with w(A) = 100 |M| + percent |E| and
    T = (100 - percent) * |core|, A and B are linked exactly if (100 + percent) * s >= w(A) + w(B) - T, s being how many elements their M and their E share.
    The member with the smallest w is compared with all others (exact Jaccard); then only pairs are open in which one isn't linked
