@@ -7,13 +7,14 @@ answers keeps its place with null media columns.
 
 Payloads are stored without loss as PNG images of one 8-bit sample a pixel, WIDTH pixels a row.
 
-Cases: a null or empty page has an empty sequence; a null or empty text has the payload of WIDTH zero bytes; rows that repeat a
+Cases: a null or empty page has an empty sequence; malformed declarations are dropped; a null or empty text has the payload of WIDTH zero bytes; rows that repeat a
 digest count once; null ids, repeated rows and other columns pass through or aren't read; empty tables give empty results.
 """
 
 from __future__ import annotations
 
 import hashlib
+import re
 import struct
 import zlib
 from collections.abc import Iterator
@@ -135,9 +136,13 @@ ITEM = "struct<position:int,kind:string,text:string,ref:string,caption:string>"
 _ITEMS = pa.list_(pa.struct([("position", pa.int32()), ("kind", pa.string()), ("text", pa.string()), ("ref", pa.string()), ("caption", pa.string())]))
 
 
+#: Declarations that HTML doesn't know; like a comment, they end at the next >.
+_DECLARED = re.compile(r"<!\[(?!CDATA\[)[^>]*(?:>|$)")
+
+
 def sequence(html: str | None) -> list[dict]:
     p = _Sequence()
-    p.feed(html or "")
+    p.feed(_DECLARED.sub("", html or ""))
     p.close()
     p.flush()
     return p.items
