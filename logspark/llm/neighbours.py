@@ -60,12 +60,14 @@ class Codes:
         self.radius = self._radius(sample, total, k)
 
     def lift(self, x: np.ndarray) -> np.ndarray:
-        rest = np.maximum(0.0, self.norm**2 - np.einsum("ij,ij->i", x, x))
-        return np.concatenate([x, np.sqrt(rest)[:, None]], 1) / self.norm
+        x = x / self.norm  # before squaring: components may be as large as doubles are
+        rest = np.maximum(0.0, 1 - np.einsum("ij,ij->i", x, x))
+        return np.concatenate([x, np.sqrt(rest)[:, None]], 1)
 
     def of(self, x: np.ndarray, query: bool = False) -> np.ndarray:
         if query:
-            y = np.concatenate([x / np.maximum(np.linalg.norm(x, axis=1), 1e-300)[:, None], np.zeros((len(x), 1))], 1)
+            x = x / np.abs(x).max(1, keepdims=True)
+            y = np.concatenate([x / np.linalg.norm(x, axis=1)[:, None], np.zeros((len(x), 1))], 1)
         else:
             y = self.lift(x)
         bits = ((y - self.mean) @ self.axes > 0).astype(np.uint8)
@@ -79,7 +81,8 @@ class Codes:
             return self.bits
         near = min(n - 1, max(3, -(-k * n // max(total, 1))))
         some = np.arange(min(n, 512))
-        score = sample[some] @ sample.T
+        small = sample / self.norm
+        score = small[some] @ small.T
         score[some, some] = -np.inf
         best = np.argpartition(-score, near - 1, axis=1)[:, :near]
         code, ask = self.of(sample), self.of(sample[some], True)
@@ -171,8 +174,10 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20, key: str = "vec_
     """(query_id, rank, vec_id, score): for each query the k of vectors with the largest inner product, but for its own id."""
     ship(vectors.sparkSession)
     rows = usable(vectors, key, vector)
+    most = F.array_max(F.transform("v", F.abs))
+    norm = most * F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + (x / most) * (x / most)))
     # the usual length; a handful of distinct lengths, one row each
-    usual = rows.groupBy(F.size("v").alias("d")).agg(F.count("*").alias("n"), F.max(F.expr("aggregate(v, 0D, (a, x) -> a + x * x)")).alias("sq"))
+    usual = rows.groupBy(F.size("v").alias("d")).agg(F.count("*").alias("n"), F.max(norm).alias("norm"))
     usual = usual.orderBy(F.col("n").desc(), "d").first()
     if usual is None:
         return vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
@@ -180,7 +185,7 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20, key: str = "vec_
     rows = cut(rows.where(F.size("v") == d))
     asked = usable(queries, key, vector).where(F.size("v") == d).dropDuplicates(["id"])
     sample = rows.orderBy(F.xxhash64("id"), "id").limit(SAMPLE).toPandas()
-    codes = Codes(np.array(sample["v"].tolist()), float(usual["sq"]) ** 0.5, total, k)
+    codes = Codes(np.array(sample["v"].tolist()), min(float(usual["norm"]), np.finfo(float).max), total, k)
     blocks = -(-total // BLOCK)
     parts = max(1, -(-asked.count() // QUERIES))
     left = asked.withColumn("qb", F.pmod(F.xxhash64("id", F.lit(1)), F.lit(parts)).cast("int")).withColumn("vb", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
