@@ -8,6 +8,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -330,6 +331,44 @@ def test_bpe(spark):
     assert bpe.digests(df.where("false"), bpe.default_path()).count() == 0
 
 
+def test_long_and_structured_slices():
+    """A slice without a break against the library, long ones in time, and slices that rolling hashes can't tell apart."""
+    tiktoken, tokenizers = pytest.importorskip("tiktoken"), pytest.importorskip("public_tokenizers")
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(bpe.default_path(), "rb"))}
+    enc = tiktoken.Encoding("t", pat_str=tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    r = random.Random(2)
+    vocab = bpe.vocabulary(bpe.default_path())
+    letters = ["".join(r.choice("etaoinshrdlu中é") for _ in range(n)) for n in (500, 520, 3000, 20_000)] + ["ab" * 700, "=" * 4000, " " * 3000 + "x"]
+    for t in [*letters, " ".join(letters), *thue_morse(8192), " ".join(thue_morse(8192))]:
+        (ids, first, back, own), = bpe.encode_texts(pa.array([t]), vocab)
+        assert ids.tolist() == enc.encode_ordinary(t) and back.tobytes() == t.encode()
+    ids = [x[0] for x in bpe.encode_texts(pa.array(thue_morse(4096)), vocab)]
+    assert np.concatenate(ids).tolist() == [i for t in thue_morse(4096) for i in enc.encode_ordinary(t)]
+    whole = "".join(r.choice("etaoinshrdlu") for _ in range(1 << 20))
+    (_, _, back, _), = bpe.encode_texts(pa.array([whole]), vocab)
+    assert back.tobytes() == whole.encode()
+
+
+def test_media_query(spark, tmp_path):
+    """Columns of the query against plain Python."""
+    texts = [None, "", "a", "é" * 40, "x" * 64, "y" * 65, "a", "word " * 9000]
+    docs(spark, texts).write.parquet(str(tmp_path / "documents.parquet"))
+    got = {x.doc_id: x for x in media.op4_media(spark, str(tmp_path)).collect()}
+    assert len(got) == len(texts)
+    for i, t in enumerate(texts):
+        raw = (t or "").encode()
+        payload = raw + bytes(-len(raw) % 64 if raw else 64)
+        stored = media.to_png(payload)
+        assert (got[i].n_bytes, got[i].payload_bytes, got[i].payload_sha256) == (len(raw), len(payload), hashlib.sha256(payload).hexdigest())
+        assert (got[i].tail_crc32, got[i].media_bytes, got[i].media_sha256) == (zlib.crc32(payload[-64:]), len(stored), hashlib.sha256(stored).hexdigest())
+    assert got[0].feature == got[1].feature and got[2].feature == got[6].feature != got[4].feature
+
+
+def test_malformed_declarations():
+    got = media.sequence("<p>a</p><![foo[ y]]><p>b <![if !IE]>c<![")
+    assert [i["text"] for i in got] == ["a", "b c"]
+
+
 def test_media(spark):
     for n in (0, 1, 63, 64, 65, 1000):
         raw = bytes(random.Random(n).randrange(256) for _ in range(n))
@@ -379,6 +418,9 @@ def test_neighbours(spark):
         assert list(g["rank"]) == list(range(1, 11)) and np.allclose(g.score, s[np.searchsorted(ids, g.vec_id)], rtol=0, atol=0)
         hits += len(set(best) & set(g.vec_id))
     assert got.query_id.nunique() == 75 and hits >= 0.9 * 750
+    huge = spark.createDataFrame([(9010, [1e200] * 24), (9020, [-1.5e308] * 24)], "vec_id long, embedding array<double>")
+    wide = df.select("vec_id", "embedding").union(huge)
+    assert neighbours.search(wide, huge, 3).count() == 6
     few = df.where("vec_id < 5")
     assert neighbours.search(few, few.where("vec_id = 0"), 10).count() == 4 and neighbours.search(df.where("false"), df.where("false")).count() == 0
 
