@@ -10,11 +10,16 @@ from pathlib import Path
 from pyspark.sql import SparkSession
 
 _shipped: set[str] = set()
+#: Rows of an Arrow batch. Rows hold whole texts, so Spark's own 10,000 can take hundreds of megabytes in each of a few buffers.
+ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
 def ship(spark: SparkSession) -> SparkSession:
-    """Makes this package importable in Python workers, wherever they start. Once for each application."""
+    """Makes this package importable in Python workers, wherever they start (once for each application), with small Arrow batches where the session
+    has Spark's default."""
     sc = spark.sparkContext
+    if spark.conf.get(ROWS) == "10000":
+        spark.conf.set(ROWS, "500")
     if sc.applicationId in _shipped:
         return spark
     root = Path(__file__).resolve().parent
