@@ -113,7 +113,7 @@ def words(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, n
 class Digests(dict):
     """64-bit BLAKE2b digests of words; at most `most` of them are kept in a worker."""
 
-    def __init__(self, most: int = 1 << 19):
+    def __init__(self, most: int = 1 << 17):
         super().__init__()
         self.most = most
 
