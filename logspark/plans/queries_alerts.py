@@ -190,8 +190,18 @@ def stats_frames(spark, d):
     return out.select("sub_id", F.col("second").cast("timestamp_ntz").alias("second"), "total", "matched", F.col("level_4").alias("errors"))
 
 
-@query("frames")
+# The ring by counts, tick after tick; rows meet their frame by their place in the order of arrival.
+_FRAMES = """, r AS (SELECT sub_id, event_id AS key, epoch_us(ts) // 3600000000 AS slot, row_number() OVER (PARTITION BY sub_id ORDER BY ts, event_id) AS place FROM t WHERE matched),
+  c AS (SELECT sub_id, slot, count(*) AS n FROM r GROUP BY ALL), e AS (SELECT sub_id, min(slot) AS lo, max(slot) AS hi FROM c GROUP BY sub_id),
+  f AS (SELECT sub_id, lo - 1 AS tick, hi, 0::bigint AS waiting, 0::bigint AS head, 0::bigint AS sent, 0::bigint AS dropped FROM e UNION ALL
+    SELECT sub_id, tick, hi, least(w, 3) - least(w, 1), head + sent + greatest(w - 3, 0), least(w, 1), greatest(w - 3, 0) FROM (
+      SELECT f.sub_id, f.tick + 1 AS tick, f.hi, f.head, f.sent, f.waiting + coalesce(c.n, 0) AS w FROM f LEFT JOIN c ON c.sub_id = f.sub_id AND c.slot = f.tick + 1 WHERE f.tick < f.hi OR f.waiting > 0)),
+  g AS (SELECT *, row_number() OVER (PARTITION BY sub_id ORDER BY tick) AS seq FROM f WHERE sent > 0)
+  SELECT g.sub_id, CAST(seq AS INTEGER) AS seq, make_timestamp((tick + 1) * 3600000000) AS at, key, CAST(dropped AS INTEGER) AS dropped FROM g JOIN r ON r.sub_id = g.sub_id AND r.place BETWEEN head + 1 AND head + sent"""
+
+
+@query("frames", "WITH RECURSIVE " + _TAIL + _FRAMES)
 def frames(spark, d):
-    """Frames of a minute each, so that the sparse events of the table share some."""
+    """Frames of an hour each, so that the sparse events of the table share some."""
     t = stream.tail(log_events(spark, d), SUBSCRIPTIONS).where("matched").select("sub_id", F.col("ts").alias("arrived"), F.col("event_id").alias("key"))
-    return stream.frames(t, size=1, ring=3, ms=3_600_000)
+    return stream.frames(t, size=1, ring=3, ms=3_600_000).withColumn("at", F.col("at").cast("timestamp_ntz"))

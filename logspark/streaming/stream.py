@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import datetime as dt
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,9 +11,7 @@ from ..functions.filters import VARIANT, filter_expr, with_variant
 from ..operators import rules as R
 from ..operators.ids import assign_row_ids
 from ..sources import clef, store
-
-# Fixed values of live tails: milliseconds of a frame, events of a frame, rows of a ring.
-FRAME_MS, FRAME_ROWS, RING = 250, 200, 2000
+from .frames import frames, stream_frames  # noqa: F401
 
 
 def ingest_batch(lines: DataFrame, path: str, ids_path: str, apps: DataFrame, now: dt.datetime, batch_id: int) -> DataFrame:
@@ -68,38 +65,6 @@ def tail(events: DataFrame, subscriptions: list[dict]) -> DataFrame:
     return with_variant(events).withColumn("__s", F.explode(F.array_compact(F.array(*rows)))).select(*[c for c in events.columns if c != VARIANT], "__s.*")
 
 
-_FRAME = "sub_id string, seq int, at timestamp, key bigint, dropped int"
-
-
-def _frames(size: int, ring: int, ms: int):
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["arrived", "key"])
-        slot = rows["arrived"].astype("int64") // (ms * 1000 if str(rows["arrived"].dtype).endswith("us]") else ms * 1_000_000)
-        out, waiting, seq = [], [], 0
-        slots = {k: list(g["key"]) for k, g in rows.groupby(slot)}
-        t = min(slots)
-        while slots or waiting:
-            waiting += slots.pop(t, [])
-            dropped = max(0, len(waiting) - ring)  # the oldest go
-            waiting = waiting[dropped:]
-            send, waiting = waiting[:size], waiting[size:]
-            if send:
-                seq += 1
-                at = pd.Timestamp((int(t) + 1) * ms, unit="ms")
-                out += [(rows["sub_id"].iloc[0], seq, at, k, dropped) for k in send]
-            t = t + 1 if waiting or not slots else min(slots)
-        return pd.DataFrame(out, columns=[c.split()[0] for c in _FRAME.split(", ")])
-    return run
-
-
-def frames(matched: DataFrame, size: int = FRAME_ROWS, ring: int = RING, ms: int = FRAME_MS) -> DataFrame:
-    """(sub_id, arrived, key) to frames: the oldest size rows each ms, what doesn't fit waits in a ring whose oldest rows are dropped and counted.
-
-    A subscription's rows form one sequence, as its ring does; a batch holds what arrived since the last one.
-    """
-    return matched.select("sub_id", "arrived", "key").groupBy("sub_id").applyInPandas(_frames(size, ring, ms), _FRAME)
-
-
 def stats_frames(tailed: DataFrame, time: str = "ts") -> DataFrame:
     """(sub_id, second, total, matched, by_level): tumbling windows of one second; for streams with a watermark too."""
     w = F.window(time, "1 second")
