@@ -10,12 +10,14 @@ import datetime as dt
 from collections import deque
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.filters import VARIANT, FilterError, filter_expr, with_variant
 from ..functions.text import level_name, property_text, render_payload, segments, valid_json  # noqa: F401
 from ..schema import BY_RULE, EVERY_MATCH, FAILED, MANUAL, PENDING, TEST
+from ..shared import cut
 from .ids import event_id
 
 # Matches of a rule in a commit above which it is a storm; minutes that an event stays fresh; days of occurrences.
@@ -71,6 +73,21 @@ def match_rules(events: DataFrame, rules: list[dict], max_age_minutes: int = MAX
     return e.withColumn("__hit", F.explode(hits)).select(*events.columns, "__hit.rule_id", "__hit.dedupe_key")
 
 
+def narrow_matches(events: DataFrame, rules: list[dict], max_age_minutes: int = MAX_AGE_MINUTES) -> DataFrame:
+    """What the folds need of matches: (rule, commit, key, id)."""
+    return match_rules(events, rules, max_age_minutes).select(*COMMIT, "dedupe_key", "id")
+
+
+def unparsed_rules(events: DataFrame, rules: list[dict]) -> DataFrame:
+    """(rule_id, reason, commit_ts): enabled rules whose filter doesn't parse, disabled by the first commit of an app that they are for."""
+    _, bad = compile_rules(rules)
+    app = {r["id"]: r["app_id"] for r in rules}
+    first = F.array(*[F.struct(F.lit(k).alias("rule_id"), F.lit(why).alias("reason"), F.min(F.when(F.lit(app[k] is None) | (F.col("app_id") == app[k]), F.col("commit_ts"))).alias("commit_ts")) for k, why in bad.items()])
+    if not bad:
+        first = F.array().cast("array<struct<rule_id:string,reason:string,commit_ts:timestamp>>")
+    return events.agg(first.alias("x")).select(F.inline("x")).where("commit_ts is not null")
+
+
 def split_storms(matches: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Matches outside storms, and a row (rule, commit, n, id of the first match) for each storm."""
     counts = matches.groupBy(*COMMIT).agg(F.count("*").alias("n"), F.min("id").alias("id"))
@@ -130,60 +147,105 @@ def fold_occurrences(rows: DataFrame, rules: list[dict], occurrences: DataFrame
     return new.groupBy("rule_id", "dedupe_key").applyInPandas(_fold({r["id"]: r for r in rules}), _FOLD)
 
 
-_DECIDED = "rule_id string, commit_ts timestamp, app_id string, day date, id bigint, verdict string"
+_DECIDED = "destination_id string, hour bigint, rule_id string, at bigint, app_id string, day date, id bigint, verdict string"
+SENT = ("delivered", "storm")
+HOUR_MICROS = 3_600_000_000
 
 
 def _cap(rules: dict[str, dict], limits: dict[str, int]):
-    """The hourly caps of a destination and of its rules, over its commits in order."""
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        hour = pd.Timedelta(hours=1)
-        limit = limits.get(rows["destination_id"].iloc[0])
+    """The hourly caps of a destination and of its rules, over the commits of one hour in order. Times are microseconds.
+
+    before: what was sent in the hour before, as it counts until it is an hour old; off: rules that an earlier hour disabled.
+    """
+    def run(rows: pa.Table) -> pa.Table:
+        rows = rows.to_pylist()
+        destination, segment = rows[0]["destination_id"], rows[0]["hour"]
+        limit = limits.get(destination)
         sent: deque = deque()
         of: dict[str, deque] = {}
-        off: set[str] = set()
+        for x in rows[0]["before"]:
+            sent.append(x["at"])
+            of.setdefault(x["rule_id"], deque()).append(x["at"])
+        off = set(rows[0]["off"])
         out = []
-        for x in rows.sort_values(["commit_ts", "app_id", "day", "rule_id"]).itertuples():
-            now, rule = x.commit_ts, rules.get(x.rule_id)
-            own = of.setdefault(x.rule_id, deque())
+        for x in sorted(rows, key=lambda x: (x["at"], x["app_id"], x["day"], x["rule_id"])):
+            now, name, ids, is_storm = x["at"], x["rule_id"], x["ids"], x["kind"] == "storm"
+            rule, own = rules.get(name), of.setdefault(name, deque())
             for q in (sent, own):
-                while q and q[0] < now - hour:
+                while q and q[0] < now - HOUR_MICROS:
                     q.popleft()
-            if x.kind == "past":
+            if x["kind"] == "past":
                 sent.append(now)
                 own.append(now)
                 continue
-            if x.rule_id in off or rule is None:
-                continue
-            if len(own) >= rule["max_fires_per_hour"]:
-                off.add(x.rule_id)
-                out.append((x.rule_id, now, x.app_id, x.day, int(x.ids[0]), "disabled"))
+            if name in off or rule is None:
                 continue
-            fires, inside = set(x.fires), len(own)
-            for i in x.ids:
-                if x.kind != "storm" and inside >= rule["max_fires_per_hour"]:
-                    off.add(x.rule_id)
-                    out.append((x.rule_id, now, x.app_id, x.day, int(i), "disabled"))
+            fires, inside = set(x["fires"]), len(own)
+            # a commit finds the cap reached before its first match; a storm is asked then only
+            for k, i in enumerate(ids):
+                verdict = None
+                if inside >= rule["max_fires_per_hour"] and not (is_storm and k):
+                    off.add(name)
+                    verdict = "disabled"
+                elif i in fires:
+                    inside += 1
+                    verdict = "dry run" if rule["is_dry_run"] else "no destination" if limit is None else "rate limited" if len(sent) >= limit else "storm" if is_storm else "delivered"
+                    if verdict in SENT:
+                        sent.append(now)
+                        own.append(now)
+                if verdict:
+                    out.append({"destination_id": destination, "hour": segment, "rule_id": name, "at": now, "app_id": x["app_id"], "day": x["day"], "id": i, "verdict": verdict})
+                if verdict == "disabled":
                     break
-                if i not in fires:
-                    continue
-                inside += 1
-                if rule["is_dry_run"]:
-                    verdict = "dry run"
-                elif limit is None:
-                    verdict = "no destination"
-                elif len(sent) >= limit:
-                    verdict = "rate limited"
-                else:
-                    verdict = "storm" if x.kind == "storm" else "delivered"
-                    sent.append(now)
-                    own.append(now)
-                out.append((x.rule_id, now, x.app_id, x.day, int(i), verdict))
-        return pd.DataFrame(out, columns=[c.split()[0] for c in _DECIDED.split(", ")])
+        return pa.Table.from_pylist(out, schema=_DECIDED_ARROW)
     return run
 
 
+_DECIDED_ARROW = pa.schema([("destination_id", pa.string()), ("hour", pa.int64()), ("rule_id", pa.string()), ("at", pa.int64()), ("app_id", pa.string()), ("day", pa.date32()), ("id", pa.int64()), ("verdict", pa.string())])
+_BEFORE = "array<struct<at:bigint,rule_id:string>>"
+
+
+def _busy_hours(rows: DataFrame, rules: list[dict], limits: dict[str, int]) -> DataFrame:
+    """(destination_id, hour) of the hours in which a cap may be reached, whatever else happens: those with enough fires in them and in the hour before."""
+    fires = F.when(F.col("kind") == "past", F.lit(1)).otherwise(F.size("fires"))
+    by_rule = rows.groupBy("destination_id", "rule_id", "hour").agg(F.sum(fires).alias("n"))
+    by_destination = by_rule.groupBy("destination_id", "hour").agg(F.sum("n").alias("n"))
+
+    def with_before(df: DataFrame, *key: str) -> DataFrame:
+        w = Window.partitionBy(*key).orderBy("hour")
+        return df.withColumn("n", F.col("n") + F.when(F.lag("hour").over(w) == F.col("hour") - 1, F.lag("n").over(w)).otherwise(0))
+
+    most = F.create_map(*[F.lit(x) for r in rules for x in (r["id"], r["max_fires_per_hour"])])
+    limit = F.create_map(*[F.lit(x) for k, v in limits.items() for x in (k, v)]) if limits else F.create_map(F.lit(""), F.lit(0))
+    rule = with_before(by_rule, "destination_id", "rule_id").where(F.col("n") >= F.try_element_at(most, F.col("rule_id")))
+    destination = with_before(by_destination, "destination_id").where(F.col("n") > F.try_element_at(limit, F.col("destination_id")))
+    return rule.select("destination_id", "hour").union(destination.select("destination_id", "hour")).distinct()
+
+
+def _ends(decided: DataFrame) -> DataFrame:
+    """(destination_id, rule_id, end): the hour in which a rule is disabled."""
+    return decided.where("verdict = 'disabled'").groupBy("destination_id", "rule_id").agg(F.min("hour").alias("end"))
+
+
+def _entries(busy: DataFrame, past: DataFrame, decided: DataFrame) -> DataFrame:
+    """(destination_id, hour, before, off) for each busy hour: what was sent in the hour before it, and the rules that ended in any earlier one."""
+    sends = past.unionByName(decided.where(F.col("verdict").isin(*SENT)).select("destination_id", "hour", "at", "rule_id"))
+    # an hour's sends are as many as the destination's limit, besides those of earlier runs
+    before = sends.withColumn("hour", F.col("hour") + 1).join(busy, ["destination_id", "hour"], "left_semi").groupBy("destination_id", "hour").agg(F.sort_array(F.collect_list(F.struct("at", "rule_id"))).alias("before"))
+    ends = _ends(decided).groupBy("destination_id").agg(F.collect_list(F.struct("rule_id", "end")).alias("ends"))  # a destination's rules at most
+    gone = F.array_sort(F.transform(F.filter(F.coalesce("ends", F.array().cast("array<struct<rule_id:string,end:bigint>>")), lambda x: x["end"] < F.col("hour")), lambda x: x["rule_id"]))
+    out = busy.join(before, ["destination_id", "hour"], "left").join(ends, "destination_id", "left")
+    return out.select("destination_id", "hour", F.coalesce("before", F.array().cast(_BEFORE)).alias("before"), gone.alias("off"))
+
+
 def apply_caps(folded: DataFrame, storms: DataFrame, rules: list[dict], destinations: list[dict], deliveries: DataFrame | None = None) -> DataFrame:
-    """(rule, commit, id, verdict) for what fires and for the points where a rule is disabled. Groups hold commits, not events."""
+    """(rule, commit, id, verdict) for what fires and for the points where a rule is disabled.
+
+    In most hours of a destination the fires of the hour and of the one before are too few for any cap; there every fire is delivered. The other hours are folded side
+    by side. What an hour needs to know of those before it is what the hour before sent and which rules have ended. That is guessed at first, from the calm hours alone,
+    and hours whose guess turns out wrong are folded again with what the last round gave, until all agree. The first busy hour is right in the first round, and each
+    round settles at least one more of a run of busy hours; runs apart from each other are settled at once.
+    """
     names = F.create_map(*[F.lit(x) for r in rules for x in (r["id"], r["destination_id"])])
     normal = folded.groupBy(*COMMIT).agg(F.sort_array(F.flatten(F.collect_list("ids"))).alias("ids"), F.flatten(F.collect_list("fires")).alias("fires")).withColumn("kind", F.lit("commit"))
     storm = storms.select(*COMMIT, F.array("id").alias("ids"), F.array("id").alias("fires"), F.lit("storm").alias("kind"))
@@ -191,8 +253,33 @@ def apply_caps(folded: DataFrame, storms: DataFrame, rules: list[dict], destinat
     if deliveries is not None:
         none = F.array().cast("array<bigint>")
         rows = rows.unionByName(deliveries.select(F.coalesce("rule_id", F.lit("")).alias("rule_id"), F.col("created_ts").alias("commit_ts"), F.coalesce("app_id", F.lit("")).alias("app_id"), F.to_date("created_ts").alias("day"), none.alias("ids"), none.alias("fires"), F.lit("past").alias("kind"), "destination_id"))
+    rows = cut(rows.withColumn("at", F.unix_micros("commit_ts")).withColumn("hour", F.floor(F.col("at") / F.lit(HOUR_MICROS))).drop("commit_ts"))
     limits = {x["id"]: x.get("rate_limit_per_hour", 60) for x in destinations if x.get("is_enabled", True)}
-    return rows.groupBy("destination_id").applyInPandas(_cap({r["id"]: r for r in rules}, limits), _DECIDED)
+    key, names = ["destination_id", "hour"], [k.split()[0] for k in _DECIDED.split(", ")]
+    busy = cut(_busy_hours(rows, rules, limits))
+    verdict = F.when(F.col("rule_id").isin([r["id"] for r in rules if r["is_dry_run"]]), F.lit("dry run")).when(~F.col("destination_id").isin(list(limits)), F.lit("no destination")).otherwise(F.when(F.col("kind") == "storm", "storm").otherwise("delivered"))
+    calm = rows.where("kind <> 'past'").join(busy, key, "left_anti").withColumn("id", F.explode("fires")).withColumn("verdict", verdict).select(names)
+    past, of_busy = rows.where("kind = 'past'").select("destination_id", "hour", "at", "rule_id"), rows.join(busy, key, "left_semi")
+
+    def whole(folds: DataFrame) -> DataFrame:
+        """All verdicts: those of calm hours, but for rules that ended in a busy hour before."""
+        return calm.join(_ends(folds), ["destination_id", "rule_id"], "left").where("end is null or hour < end").select(names).unionByName(folds)
+
+    def folded_again(entries: DataFrame) -> DataFrame:
+        return of_busy.join(entries, key).groupBy(*key).applyInArrow(_cap({r["id"]: r for r in rules}, limits), _DECIDED)
+
+    decided, used = calm, None
+    if not busy.isEmpty():
+        folds = None
+        while True:
+            entries = cut(_entries(busy, past, decided))
+            wrong = entries if used is None else entries.join(used, [*key, "before", "off"], "left_anti")
+            if wrong.isEmpty():
+                break
+            again = folded_again(wrong)
+            folds = cut(again if folds is None else folds.join(wrong.select(*key), key, "left_anti").unionByName(again))
+            decided, used = whole(folds), entries
+    return decided.withColumn("commit_ts", F.timestamp_micros("at")).drop(*key, "at")
 
 
 def payload_values(with_rule: bool = True) -> Column:
@@ -229,27 +316,35 @@ def manual_deliveries(chosen: DataFrame, destination: dict, user: str, title: st
 
 
 def evaluate_rules(events: DataFrame, rules: list[dict], destinations: list[dict], occurrences: DataFrame | None = None, deliveries: DataFrame | None = None, max_age_minutes: int = MAX_AGE_MINUTES) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Events with commit_ts to (occurrences, fired matches, disabled rules).
+    """Events with commit_ts to (occurrences, fired matches, disabled rules with their reason).
 
-    Without caps first: a fold by key gives the fires. Then the caps, by destination, over commits in order: they tell what is delivered and where a rule
-    ends. Occurrences are folded again over the matches before that point.
+    Without caps first: a fold by key gives the fires. Then the caps, by destination and hour: they tell what is delivered and where a rule ends. Occurrences are folded
+    again over the matches before that point. Matches are written once, as (rule, commit, key, id); events are read again for what is fired only.
     """
-    matches = match_rules(events, rules, max_age_minutes)
+    matches = cut(narrow_matches(events, rules, max_age_minutes))
     calm, storms = split_storms(matches)
-    rows = reduced(calm)
-    folded = fold_occurrences(rows, rules, occurrences)
-    decided = apply_caps(folded.join(rows.select(*COMMIT, "dedupe_key", "ids"), [*COMMIT, "dedupe_key"]), storms, rules, destinations, deliveries)
+    rows = cut(reduced(calm))
+    folded = cut(fold_occurrences(rows, rules, occurrences))
+    decided = cut(apply_caps(folded.join(rows.select(*COMMIT, "dedupe_key", "ids"), [*COMMIT, "dedupe_key"]), storms, rules, destinations, deliveries))
     off = decided.where("verdict = 'disabled'").groupBy("rule_id").agg(F.min(F.struct("commit_ts", "app_id", "day", "id")).alias("end"))
     before = F.col("end").isNull() | (F.struct("commit_ts", "app_id", "day", "id") < F.col("end"))
-    kept = calm.join(off, "rule_id", "left").where(before).drop("end")
-    again = fold_occurrences(reduced(kept), rules, occurrences)
+    again = folded
+    if not off.isEmpty():  # rules that ended: over their matches before that
+        again = cut(folded.join(off, "rule_id", "left_anti").unionByName(fold_occurrences(reduced(calm.join(off, "rule_id").where(before).drop("end")), rules, occurrences)))
     last = again.groupBy("rule_id", "dedupe_key").agg(F.max_by(F.struct("count", "window_start_ts", "first_seen_ts", F.col("commit_ts").alias("last_seen_ts"), "last_fired_ts"), F.struct("commit_ts", "app_id", "day")).alias("o")).select("rule_id", "dedupe_key", "o.*")
     storm = storms.join(off, "rule_id", "left").where(before).groupBy("rule_id").agg(F.max_by("n", "commit_ts").cast("int").alias("count"), F.max("commit_ts").alias("window_start_ts"), F.min("commit_ts").alias("first_seen_ts"), F.max("commit_ts").alias("last_seen_ts"), F.max("commit_ts").alias("last_fired_ts"))
+    if occurrences is not None:  # a storm that is known keeps when it was seen first
+        known = occurrences.where("dedupe_key = 'storm'").select("rule_id", F.col("first_seen_ts").alias("__seen"))
+        storm = storm.join(known, "rule_id", "left").withColumn("first_seen_ts", F.least("first_seen_ts", "__seen")).drop("__seen")
     state = last.unionByName(storm.withColumn("dedupe_key", F.lit("storm")))
-    fired = decided.where("verdict in ('delivered', 'storm')").join(matches, ["rule_id", "commit_ts", "app_id", "day", "id"])
-    counts = again.select(*COMMIT, "dedupe_key", "count")
-    fired = fired.join(counts, [*COMMIT, "dedupe_key"], "left").withColumn("dedupe_key", F.when(F.col("verdict") == "storm", F.lit("storm")).otherwise(F.col("dedupe_key")))
-    return state, fired, off.select("rule_id", "end.commit_ts")
+    sent = decided.where(F.col("verdict").isin(*SENT)).join(matches, [*COMMIT, "id"])
+    sent = sent.join(again.select(*COMMIT, "dedupe_key", "count"), [*COMMIT, "dedupe_key"], "left").join(storms.select(*COMMIT, F.col("n").alias("__n")), list(COMMIT), "left")
+    is_storm = F.col("verdict") == "storm"
+    sent = sent.withColumn("dedupe_key", F.when(is_storm, F.lit("storm")).otherwise(F.col("dedupe_key"))).withColumn("count", F.when(is_storm, F.col("__n").cast("int")).otherwise(F.col("count"))).drop("__n")
+    fired = sent.join(events, ["commit_ts", "app_id", "day", "id"])
+    reason = F.concat(F.lit("exceeded "), F.element_at(F.create_map(*[F.lit(x) for r in rules for x in (r["id"], r["max_fires_per_hour"])]), F.col("rule_id")).cast("string"), F.lit(" fires/hour"))
+    ended = off.select("rule_id", reason.alias("reason"), "end.commit_ts")
+    return state, fired, ended.unionByName(unparsed_rules(events, rules))
 
 
 def prune_occurrences(occurrences: DataFrame, now: dt.datetime, days: int = OCCURRENCE_DAYS) -> DataFrame:

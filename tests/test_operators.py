@@ -137,19 +137,19 @@ def test_stream_equals_batch(spark, tmp_path):
         (tmp_path / f"in/{k}.json").write_text("".join(f'{{"app_id":"a","seq":{10 * k + i},"line":"{{\\"@t\\":\\"2026-07-23T12:00:0{i}Z\\",\\"@m\\":\\"m{i}\\"}}"}}\n' for i in range(5)))
     apps = spark.createDataFrame([("a", 0)], "app_id string, minimum_level int")
     lines = spark.readStream.schema("app_id string, seq bigint, line string").option("maxFilesPerTrigger", 1).json(str(tmp_path / "in"))
-    q = stream.stream_ingest(lines, str(tmp_path / "store"), str(tmp_path / "ids"), apps, str(tmp_path / "cp"), clock=lambda: T0)
+    q = stream.stream_ingest(lines, str(tmp_path / "store"), apps, str(tmp_path / "cp"), clock=lambda: T0)
     q.awaitTermination(120)
-    rows = store.read_events(spark, str(tmp_path / "store"), ["a"], T0.date(), T0.date()).orderBy("id").collect()
+    rows = store.read_ingested(spark, str(tmp_path / "store"), ["a"], T0.date(), T0.date()).orderBy("id").collect()
     assert [r.id for r in rows] == list(range(1, 11))
 
 
 def test_a_batch_that_runs_again_gives_its_own_rows(spark, tmp_path):
     apps = spark.createDataFrame([("a", 0)], "app_id string, minimum_level int")
-    path, ids_path = str(tmp_path / "store"), str(tmp_path / "ids")
+    path = str(tmp_path / "store")
     for k in (0, 1, 2, 1):
         lines = spark.createDataFrame([("a", k, f'{{"@t":"2026-07-23T12:00:0{k}Z","@m":"m{k}"}}')], "app_id string, seq bigint, line string")
-        assert [r.message for r in stream.ingest_batch(lines, path, ids_path, apps, T0, k).collect()] == [f"m{k}"]
-    assert store.read_events(spark, path, ["a"], T0.date(), T0.date()).count() == 3
+        assert [r.message for r in stream.ingest_batch(lines, path, apps, T0, k).collect()] == [f"m{k}"]
+    assert store.read_ingested(spark, path, ["a"], T0.date(), T0.date()).count() == 3
 
 
 def test_plain_bodies_are_rejected_by_item(spark):

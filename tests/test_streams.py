@@ -7,6 +7,10 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from logspark.operators import rules as R
+from logspark.schema import LOG_EVENT
+from logspark.shared import Versions
+from logspark.sources import store
 from logspark.streaming import frames as fr
 from logspark.streaming import stream
 
@@ -120,3 +124,122 @@ def test_live_frames_follow_the_clock(rocks, tmp_path):
 def test_frames_need_rocksdb(spark):
     with pytest.raises(ValueError, match="RocksDB"):
         stream.stream_frames(spark.createDataFrame([], TAILED))
+
+
+# ---- ingest
+
+APPS = "app_id string, minimum_level int"
+
+
+def lines(spark, k):
+    return spark.createDataFrame([(a, 10 * k + i, json.dumps({"@t": f"2026-07-23T12:00:{10 * k + i:02d}Z", "@m": f"{a}{k}.{i}"})) for a in "ab" for i in range(3)], "app_id string, seq bigint, line string")
+
+
+class Killed(Exception):
+    pass
+
+
+@pytest.mark.parametrize("table", ["events", "ids", "commit"])
+def test_ingest_that_dies_gives_each_row_once(spark, tmp_path, monkeypatch, table):
+    """The job dies right after, or right before, it writes a table of batch 1, and the batch runs again with another clock."""
+    apps, path = spark.createDataFrame([("a", 0), ("b", 0)], APPS), str(tmp_path / "store")
+    stream.ingest_batch(lines(spark, 0), path, apps, T0, 0)
+    write = Versions.write
+
+    def dies(self, name, version, df, **options):
+        write(self, name, version, df, **options)
+        if name == table:
+            raise Killed
+
+    with monkeypatch.context() as m:
+        m.setattr(Versions, "write", dies)
+        if table == "commit":
+            m.setattr(Versions, "commit", lambda self, version: (_ for _ in ()).throw(Killed()))
+        with pytest.raises(Killed):
+            stream.ingest_batch(lines(spark, 1), path, apps, T0, 1)
+    assert store.read_ingested(spark, path).count() == 6
+    stream.ingest_batch(lines(spark, 1), path, apps, T0 + dt.timedelta(hours=1), 1)
+    stream.ingest_batch(lines(spark, 1), path, apps, T0, 1)
+    stream.ingest_batch(lines(spark, 2), path, apps, T0, 2)
+    rows = store.read_ingested(spark, path, ["a"], T0.date()).orderBy("id").collect()
+    assert [(r.id, r.message) for r in rows] == [(3 * k + i + 1, f"a{k}.{i}") for k in range(3) for i in range(3)]
+    assert store.read_ingested(spark, path, ["a"], T0.date() + dt.timedelta(days=1)).count() == 0
+
+
+def test_settled_batches(spark, tmp_path, monkeypatch):
+    apps, path, to = spark.createDataFrame([("a", 0), ("b", 0)], APPS), str(tmp_path / "store"), str(tmp_path / "settled")
+    assert store.settle(spark, path, to) is None
+    for k in range(2):
+        stream.ingest_batch(lines(spark, k), path, apps, T0, k)
+    with monkeypatch.context() as m:  # the first move dies before its commit
+        m.setattr(Versions, "commit", lambda self, version: (_ for _ in ()).throw(Killed()))
+        with pytest.raises(Killed):
+            store.settle(spark, path, to)
+    assert store.read_ingested(spark, to).count() == 0
+    stream.ingest_batch(lines(spark, 2), path, apps, T0, 2)
+    assert store.settle(spark, path, to, batches=1) == 0 and store.settle(spark, path, to) == 2 and store.settle(spark, path, to) == 2
+    assert sorted((r.app_id, r.id, r.message) for r in store.read_ingested(spark, to).collect()) == sorted((r.app_id, r.id, r.message) for r in store.read_ingested(spark, path).collect())
+
+
+# ---- rules
+
+
+DEST = [{"id": "d", "body_template": '{"m":"{{event.message}}"}', "rate_limit_per_hour": 30, "is_enabled": True}]
+
+
+def rule_events():
+    """Three batches: distinct keys over the cap of 20, a storm, and events half an hour apart."""
+    rows, i = [], 0
+    for batch, (n, minutes, app) in enumerate([(12, 0, "a"), (14, 10, "a"), (150, 20, "b"), (6, 50, "b"), (3, 20 + 24 * 60 * 8, "b")]):
+        for k in range(n):
+            i += 1
+            at = T0 + dt.timedelta(minutes=minutes)
+            rows.append((batch, (app, at.date(), i, at, 4, "T", f"m{i}", None, 1, None, None, None, None, json.dumps({"K": i if app == "a" else k % 2}), at)))
+    return rows
+
+
+RULES = [R.default_rule(id="many", app_id="a", dedupe_key_template="{{event.properties.K}}"), R.default_rule(id="b", app_id="b", cooldown_minutes=30, dedupe_key_template="{{event.properties.K}}"), R.default_rule(id="bad", filter="Level >>> 5")]
+
+
+def test_rules_on_a_stream_equal_one_batch(spark, tmp_path):
+    rows, schema = rule_events(), LOG_EVENT + ", commit_ts timestamp"
+    path, state = str(tmp_path / "rules"), Versions(spark, str(tmp_path / "rules"))
+    for batch in (0, 1, 2, 1, 3, 2):  # two of them run again
+        stream.rules_batch(spark.createDataFrame([r for b, r in rows if b == batch], schema), batch, RULES, DEST, state)
+    whole, fired, off = R.evaluate_rules(spark.createDataFrame([r for b, r in rows if b < 4], schema), RULES, DEST)
+    columns = ["rule_id", "dedupe_key", "count", "window_start_ts", "first_seen_ts", "last_seen_ts", "last_fired_ts"]
+    assert sorted(map(str, state.read("occurrences", 3).select(columns).collect())) == sorted(map(str, whole.select(columns).collect()))
+    made = stream.rule_deliveries(spark, path)
+    assert sorted(r.id for r in made.select("id").collect()) == sorted(r.id for r in R.enqueue_deliveries(fired, RULES, DEST).select("id").collect())
+    assert made.where("rule_id = 'many'").count() == 20 and made.where("rule_id = 'b'").count() == 3
+    assert sorted(map(tuple, state.read("disabled", 3).collect())) == sorted(map(tuple, off.collect())) and state.read("disabled", 3).count() == 2
+    assert state.read("recent", 3).count() == made.where("created_ts >= timestamp'2026-07-23 11:50:00'").count()
+    # eight days later, what was seen then is forgotten
+    stream.rules_batch(spark.createDataFrame([r for b, r in rows if b == 4], schema), 4, RULES, DEST, state)
+    assert state.read("occurrences", 4).count() == 2 and state.read("recent", 4).count() == 2
+    stream.rules_batch(spark.createDataFrame([], schema), 5, RULES, DEST, state)
+    assert state.committed() == 5 and state.read("occurrences", 5).count() == 2
+
+
+def test_rules_that_die_leave_no_half(spark, tmp_path, monkeypatch):
+    rows, schema = rule_events(), LOG_EVENT + ", commit_ts timestamp"
+    state = Versions(spark, str(tmp_path / "rules"))
+    batch = spark.createDataFrame([r for b, r in rows if b == 0], schema)
+    with monkeypatch.context() as m:
+        m.setattr(Versions, "commit", lambda self, version: (_ for _ in ()).throw(Killed()))
+        with pytest.raises(Killed):
+            stream.rules_batch(batch, 0, RULES, DEST, state)
+    assert stream.rule_deliveries(spark, str(tmp_path / "rules")) is None
+    stream.rules_batch(batch, 0, RULES, DEST, state)
+    assert stream.rule_deliveries(spark, str(tmp_path / "rules")).count() == 12
+
+
+def test_rules_on_a_stream_source(spark, tmp_path):
+    rows, names = rule_events(), [c.split()[0] for c in (LOG_EVENT + ", commit_ts timestamp").split(", ")]
+    (tmp_path / "in").mkdir()
+    for b in range(3):
+        (tmp_path / f"in/{b}.json").write_text("".join(json.dumps(dict(zip(names, [x.isoformat() if isinstance(x, (dt.datetime, dt.date)) else x for x in r], strict=True))) + "\n" for k, r in rows if k == b))
+    source = spark.readStream.schema(LOG_EVENT + ", commit_ts timestamp").option("maxFilesPerTrigger", 1).json(str(tmp_path / "in"))
+    q = stream.stream_rules(source, RULES, DEST, str(tmp_path / "rules"), str(tmp_path / "cp"))
+    q.awaitTermination(180)
+    assert stream.rule_deliveries(spark, str(tmp_path / "rules")).count() == 21
