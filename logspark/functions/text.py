@@ -150,14 +150,40 @@ def property_text(variant: str, name: str) -> Column:
     return F.when(variant_kind(variant, name).rlike("^(DOUBLE|DECIMAL|FLOAT)"), F.regexp_replace(text, r"\.0$", "")).otherwise(F.coalesce(text, F.lit("")))
 
 
-def json_path(document: Column, path: str) -> Column:
-    """Text at a path like $.a.b[0]; the leading $ may be missing. A miss, a JSON null or bad JSON: null."""
-    full = path if path.startswith("$") else f"$.{path}"
-    return F.get_json_object(document, full)
+def json_path(document: Column, path: str | Column) -> Column:
+    """Text at a path like $.a.b[0]; the leading $ may be missing. A miss, a JSON null, bad JSON or a blank path: null. The path may be a column."""
+    if isinstance(path, str):
+        full = path if path.startswith("$") else f"$.{path}"
+        return F.get_json_object(document, full)
+    # names and [n] in order; what follows the brackets of a part isn't read
+    parts = F.filter(F.split(F.regexp_replace(path, r"^\$\.?", ""), r"\."), lambda x: x != "")
+    steps = F.flatten(F.transform(parts, lambda x: F.concat(
+        F.filter(F.array(F.regexp_extract(x, r"^[^\[]*", 0)), lambda y: y != ""), F.regexp_extract_all(F.regexp_extract(x, r"^[^\[]*((?:\[[^\]]*\])*)", 1), F.lit(r"\[\s*([+-]?\d+)\s*\]"), 0))))
+
+    def step(value: Column, name: Column) -> Column:
+        index = F.regexp_extract(name, r"[+-]?\d+", 0).try_cast("int")
+        item = F.when(index >= 0, F.try_element_at(F.try_variant_get(value, "$", "array<variant>"), index + 1))
+        return F.when(name.startswith("["), item).otherwise(F.try_element_at(F.try_variant_get(value, "$", "map<string,variant>"), name))
+
+    found = F.aggregate(steps, whole_json(document), step)
+    kind = F.schema_of_variant(found)
+    text = F.when(kind == "STRING", F.try_variant_get(found, "$", "string")).when(kind != "VOID", F.to_json(found))
+    return F.when(F.trim(path) != "", text)
+
+
+def whole_json(text: Column) -> Column:
+    """A text that is one JSON value and nothing else, as a variant; null for any other.
+
+    Spark's parsers stop after the first value. In a list with the text's own hash after it, anything that follows the value shows: the hash is missing, or not
+    the second item.
+    """
+    mark = F.xxhash64(text)
+    both = F.try_parse_json(F.concat(F.lit("["), text, F.lit(","), mark.cast("string"), F.lit("]")))
+    return F.when(F.try_variant_get(both, "$[1]", "bigint") == mark, F.try_variant_get(both, "$[0]", "variant"))
 
 
 def valid_json(text: Column) -> Column:
-    return F.try_parse_json(text).isNotNull()
+    return F.coalesce(whole_json(text).isNotNull(), F.lit(False))
 
 
 # --- payloads ---------------------------------------------------------------------------------------------------

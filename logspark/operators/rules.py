@@ -282,27 +282,44 @@ def apply_caps(folded: DataFrame, storms: DataFrame, rules: list[dict], destinat
     return decided.withColumn("commit_ts", F.timestamp_micros("at")).drop(*key, "at")
 
 
-def payload_values(with_rule: bool = True) -> Column:
+def round_trip(ts: Column) -> Column:
+    """A time as payloads show it: seven decimals and the offset."""
+    return F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'0+00:00'")
+
+
+def payload_values(with_rule: bool = True, app_names: dict[str, str] | None = None, rule_names: dict[str, str] | None = None, base_url: str = "") -> Column:
     """Values by path for payload templates, as a JSON object; event properties go by event.properties.X."""
-    known = {"event.timestamp": F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'"), "event.level": level_name(F.col("level")), "event.message": F.col("message"), "event.template": F.col("template"), "event.exception": F.col("exception"),
-             "event.source": F.col("source"), "event.traceId": F.col("trace_id"), "event.id": event_id(F.col("day"), F.col("id")), "event.eventType": F.col("event_type").cast("string"), "app.id": F.col("app_id")}
+    key = event_id(F.col("day"), F.col("id"))
+    name = lambda names, c: F.try_element_at(F.create_map(*[F.lit(x) for k, v in names.items() for x in (k, v)]), F.col(c)) if names else F.lit(None).cast("string")
+    app = F.concat(F.lit(f"{base_url}/apps/"), F.col("app_id"))
+    known = {"event.timestamp": round_trip(F.col("ts")), "event.level": level_name(F.col("level")), "event.message": F.col("message"), "event.template": F.col("template"), "event.exception": F.col("exception"),
+             "event.source": F.col("source"), "event.traceId": F.col("trace_id"), "event.id": key, "event.eventType": F.col("event_type").cast("string"), "app.id": F.col("app_id"), "app.name": name(app_names, "app_id"),
+             "link.event": F.concat(app, F.lit("/events/"), key), "link.search": F.concat(app, F.lit("/search?eventType="), F.col("event_type").cast("string"))}
     if with_rule:
-        known |= {"rule.id": F.col("rule_id"), "occurrence.key": F.col("dedupe_key"), "occurrence.count": F.col("count").cast("string")}
+        known |= {"rule.id": F.col("rule_id"), "rule.name": name(rule_names, "rule_id"), "occurrence.key": F.col("dedupe_key"), "occurrence.count": F.col("count").cast("string"),
+                  "occurrence.firstSeen": round_trip(F.col("first_seen_ts")), "occurrence.lastSeen": round_trip(F.col("commit_ts"))}
     fixed = F.map_from_arrays(F.array(*[F.lit(k) for k in known]), F.array(*known.values()))
     own = F.transform_keys(F.from_json(F.coalesce("properties", F.lit("{}")), "map<string,string>"), lambda k, v: F.concat(F.lit("event.properties."), k))
     return F.to_json(F.map_concat(fixed, own))
 
 
-def enqueue_deliveries(fired: DataFrame, rules: list[dict], destinations: list[dict]) -> DataFrame:
-    """Deliveries for fired matches (event columns, rule_id, dedupe_key, count, commit_ts): rendered bodies, Pending, or Failed where a body isn't JSON."""
-    body = {d["id"]: d["body_template"] for d in destinations}
-    template = F.create_map(*[F.lit(x) for r in rules for x in (r["id"], r["body_template_override"] or body.get(r["destination_id"]) or "")])
-    names = F.create_map(*[F.lit(x) for r in rules for x in (r["id"], r["destination_id"])])
-    rendered = fired.withColumn("request_body", render_payload(F.element_at(template, F.col("rule_id")), payload_values()))
+def enqueue_deliveries(fired: DataFrame, rules: list[dict], destinations: list[dict], app_names: dict[str, str] | None = None, base_url: str = "") -> DataFrame:
+    """Deliveries for fired matches (event columns, rule_id, dedupe_key, count, first_seen_ts, commit_ts): rendered bodies, Pending, or Failed where a body isn't JSON.
+
+    A destination with a subject_template (mail) gets a subject, which is plain text.
+    """
+    body, subjects = {d["id"]: d["body_template"] for d in destinations}, {d["id"]: d.get("subject_template") for d in destinations}
+    by_rule = lambda value: F.create_map(*[F.lit(x) for r in rules for x in (r["id"], value(r))])[F.col("rule_id")]
+    values = payload_values(True, app_names, {r["id"]: r.get("name") or r["id"] for r in rules}, base_url)
+    rendered = fired.withColumn("__values", values).withColumn("request_body", render_payload(by_rule(lambda r: r["body_template_override"] or body.get(r["destination_id"]) or ""), F.col("__values")))
+    if any(subjects.values()):
+        rendered = rendered.withColumn("subject", render_payload(by_rule(lambda r: subjects.get(r["destination_id"])).cast("string"), F.col("__values"), json_mode=False))
+    else:
+        rendered = rendered.withColumn("subject", F.lit(None).cast("string"))
     ok = valid_json(F.col("request_body"))
     return rendered.select(
-        F.sha2(F.concat_ws("\x1f", "rule_id", "dedupe_key", F.col("commit_ts").cast("string"), "app_id", F.col("id").cast("string")), 256).substr(1, 32).alias("id"), F.element_at(names, F.col("rule_id")).alias("destination_id"), "rule_id", "app_id",
-        F.lit(BY_RULE).alias("source"), "event_type", F.col("commit_ts").alias("created_ts"), F.lit(0).alias("attempt"), F.col("commit_ts").alias("next_attempt_ts"), F.when(ok, PENDING).otherwise(FAILED).alias("status"), "request_body",
+        F.sha2(F.concat_ws("\x1f", "rule_id", "dedupe_key", F.col("commit_ts").cast("string"), "app_id", F.col("id").cast("string")), 256).substr(1, 32).alias("id"), by_rule(lambda r: r["destination_id"]).alias("destination_id"), "rule_id", "app_id",
+        F.lit(BY_RULE).alias("source"), "event_type", F.col("commit_ts").alias("created_ts"), F.lit(0).alias("attempt"), F.col("commit_ts").alias("next_attempt_ts"), F.when(ok, PENDING).otherwise(FAILED).alias("status"), "request_body", "subject",
         F.when(~ok, F.lit("rendered body is not valid JSON")).alias("error"))
 
 
@@ -338,9 +355,9 @@ def evaluate_rules(events: DataFrame, rules: list[dict], destinations: list[dict
         storm = storm.join(known, "rule_id", "left").withColumn("first_seen_ts", F.least("first_seen_ts", "__seen")).drop("__seen")
     state = last.unionByName(storm.withColumn("dedupe_key", F.lit("storm")))
     sent = decided.where(F.col("verdict").isin(*SENT)).join(matches, [*COMMIT, "id"])
-    sent = sent.join(again.select(*COMMIT, "dedupe_key", "count"), [*COMMIT, "dedupe_key"], "left").join(storms.select(*COMMIT, F.col("n").alias("__n")), list(COMMIT), "left")
+    sent = sent.join(again.select(*COMMIT, "dedupe_key", "count", "first_seen_ts"), [*COMMIT, "dedupe_key"], "left").join(storms.select(*COMMIT, F.col("n").alias("__n")), list(COMMIT), "left")
     is_storm = F.col("verdict") == "storm"
-    sent = sent.withColumn("dedupe_key", F.when(is_storm, F.lit("storm")).otherwise(F.col("dedupe_key"))).withColumn("count", F.when(is_storm, F.col("__n").cast("int")).otherwise(F.col("count"))).drop("__n")
+    sent = sent.withColumn("dedupe_key", F.when(is_storm, F.lit("storm")).otherwise(F.col("dedupe_key"))).withColumn("count", F.when(is_storm, F.col("__n").cast("int")).otherwise(F.col("count"))).withColumn("first_seen_ts", F.when(is_storm, F.col("commit_ts")).otherwise(F.col("first_seen_ts"))).drop("__n")
     fired = sent.join(events, ["commit_ts", "app_id", "day", "id"])
     reason = F.concat(F.lit("exceeded "), F.element_at(F.create_map(*[F.lit(x) for r in rules for x in (r["id"], r["max_fires_per_hour"])]), F.col("rule_id")).cast("string"), F.lit(" fires/hour"))
     ended = off.select("rule_id", reason.alias("reason"), "end.commit_ts")

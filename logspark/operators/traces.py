@@ -1,6 +1,7 @@
 """Traces over all apps: assembly, span links, rings, tree order, waterfall and summary.
 
-Events have trace_id, app_id, event_id (text), ts, start_ts (null for log lines), span_id, parent_span_id, level.
+Events have trace_id, app_id, event_id (text), ts, start_ts (null for log lines), span_id, parent_span_id, level; log events as they are stored get what they lack from
+with_spans().
 """
 
 from __future__ import annotations
@@ -9,13 +10,23 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ids import event_id
 from .search import at, newest_days
 
 ORDER = ("ts", "app_id", "event_id")
+SPAN = ("start_ts", "parent_span_id", "event_id")
 #: Most events of a trace that are kept, and the default.
 MOST, USUAL = 2000, 500
 
 
+def with_spans(events: DataFrame) -> DataFrame:
+    """Log events with start_ts and parent_span_id, from the bag's _spanStart and _parentSpanId, and with event_id as text. What is there already stays."""
+    start = F.get_json_object("properties", "$._spanStart")
+    # a time without a date is no start: the clock isn't asked
+    made = {"start_ts": F.when(start.rlike(r"^\s*[+-]?\d{4,}-"), F.try_to_timestamp(start)), "parent_span_id": F.get_json_object("properties", "$._parentSpanId"), "event_id": event_id(F.col("day"), F.col("id")) if "id" in events.columns else None}
+    return events.withColumns({k: v for k, v in made.items() if k not in events.columns and v is not None})
+
+
 def assemble_traces(events: DataFrame, ids: DataFrame | None = None, apps: list[str] | None = None, near=None, days: int = 7) -> DataFrame:
     """Events of each trace: on the days around near, or on each app's newest days. Blank trace ids are no traces."""
     rows = events.where(F.coalesce(F.trim("trace_id"), F.lit("")) != "")
@@ -32,6 +43,7 @@ def assemble_traces(events: DataFrame, ids: DataFrame | None = None, apps: list[
 
 def limit_traces(events: DataFrame, limit: int = USUAL) -> DataFrame:
     """The oldest events of each trace, with place (from 1) and truncated."""
+    events = with_spans(events) if not set(SPAN) <= set(events.columns) else events
     limit = max(1, min(MOST, limit))
     place = F.row_number().over(Window.partitionBy("trace_id").orderBy(*ORDER))
     # a rank bound below the window's own filter keeps a runaway trace from being sorted whole
@@ -42,6 +54,7 @@ def limit_traces(events: DataFrame, limit: int = USUAL) -> DataFrame:
 
 def link_spans(events: DataFrame) -> DataFrame:
     """Adds is_span and parent, the place of the parent span in its trace (null for roots). A span needs a start; an id only to be a parent."""
+    events = with_spans(events) if not {"start_ts", "parent_span_id"} <= set(events.columns) else events
     e = events.withColumn("is_span", F.coalesce((F.col("start_ts") <= F.col("ts")), F.lit(False)))
     key = F.when(F.col("is_span"), F.col("parent_span_id")).otherwise(F.col("span_id"))
     first = e.where("is_span and span_id <> ''").groupBy("trace_id", F.col("span_id").alias("__key")).agg(F.min("place").alias("parent"))

@@ -3,13 +3,16 @@
 from __future__ import annotations
 
 import datetime as dt
+import uuid
 from functools import reduce
 
 from pyspark.sql import functions as F
 
 from ..functions.filters import add_clause, filter_expr, with_variant
+from ..functions.stem import StemIndex, stem_search
 from ..functions.text import level_name, level_number
 from ..operators import ids, search, stats
+from ..shared import shared_dir
 from .adapters import LOG_SQL, load, log_events
 
 QUERIES, SQL = {}, {}
@@ -111,7 +114,12 @@ def context_window(spark, d):
     return search.context_window(log, anchors, minutes=20).select("app_id", "anchor_id", "event_id", F.col("rank").cast("long").alias("rank"))
 
 
-@query("discover_properties")
+_NAMES = "['UserId', 'Value', 'K', CASE WHEN k % 5 < 3 THEN 'TenantId' END, CASE WHEN k % 2 = 0 THEN 'Region' END, CASE WHEN k % 5 < 3 THEN 'Machine' END, 'Flag', CASE WHEN k % 11 = 0 THEN 'Nothing' END]"
+
+
+@query("discover_properties", f"""WITH {LOG_SQL}, e AS (SELECT row_number() OVER (ORDER BY day DESC, id DESC, app_id) AS rn, list_filter({_NAMES}, lambda x: x IS NOT NULL) AS names FROM log),
+  u AS (SELECT rn, unnest(names) AS name, generate_subscripts(names, 1) AS i FROM e), f AS (SELECT name, min(rn * 100 + i) AS first FROM u GROUP BY name)
+  SELECT name, CAST(row_number() OVER (ORDER BY first) AS INTEGER) AS position FROM f ORDER BY first LIMIT 20""")
 def discover_properties(spark, d):
     return search.discover_properties(log_events(spark, d))
 
@@ -229,13 +237,24 @@ def event_ids(spark, d):
     return log_events(spark, d).select("event_id", "app_id", eid.alias("eid"), ids.parse_event_id(eid).alias("p")).select("event_id", "app_id", "eid", "p.day", "p.id")
 
 
-@query("stem_search")
-def stem_search_query(spark, d):
-    from ..functions.stem import stem_search
+# What the stems of the query's words stand for in the messages and exceptions of the table: the words with their endings.
+_STEMMED = "regexp_matches(lower(message || ' ' || coalesce(exception, '')), '(^|[^a-z0-9])payments?([^a-z0-9]|$)') AND regexp_matches(lower(message || ' ' || coalesce(exception, '')), '(^|[^a-z0-9])fail(s|ed|ing)?([^a-z0-9]|$)')"
+
 
+@query("stem_search", f"WITH {LOG_SQL} SELECT app_id, count(*) AS n FROM log WHERE {_STEMMED} GROUP BY app_id")
+def stem_search_query(spark, d):
     return log_events(spark, d).where(stem_search("payments failing")).groupBy("app_id").agg(F.count("*").alias("n"))
 
 
+@query("stem_index", f"WITH {LOG_SQL} SELECT app_id, day, id FROM log WHERE day BETWEEN DATE '2024-01-10' AND DATE '2024-01-20' AND {_STEMMED}", days=True)
+def stem_index(spark, d):
+    """The same words by an index that is filled in two steps."""
+    index, log = StemIndex(spark, f"{shared_dir(spark)}/stems-{uuid.uuid4().hex}"), log_events(spark, d)
+    index.add(log.where("app_id <= 'app-1'"))
+    index.add(log.where("app_id > 'app-1'"))
+    return index.search("payments failing", start="2024-01-10", end="2024-01-20")
+
+
 @query("tail_backfill", f"WITH {PROPS} SELECT day, id FROM p WHERE app_id = 'app-1' AND level >= 2 AND region = 'us' ORDER BY day DESC, id DESC LIMIT 101", days=True)
 def tail_backfill(spark, d):
     """The newest events of a tail's condition, one more than a page."""

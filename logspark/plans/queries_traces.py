@@ -6,7 +6,9 @@ import datetime as dt
 
 from pyspark.sql import functions as F
 
+from ..functions.text import level_name
 from ..operators import ids, traces
+from ..sources import clef
 from .adapters import CONVERSATION_SQL, LOG_SQL, ORDER_SQL, conversation_events, log_events, order_events
 from .queries_search import registry
 
@@ -48,15 +50,29 @@ def span_tree(spark, d):
 _WIN = "CASE WHEN is_span THEN epoch_us(start_ts) ELSE epoch_us(ts) END"
 
 
-@query("waterfall", f"""WITH {ORDER_SQL}, {_LINKED}, g AS (SELECT *, {_WIN} AS b, min({_WIN}) OVER t AS s, greatest(max(epoch_us(ts)) OVER t, min({_WIN}) OVER t) AS e FROM ln WINDOW t AS (PARTITION BY trace_id)),
+_WATERFALL = f"""WITH {ORDER_SQL}, {_LINKED}, g AS (SELECT *, {_WIN} AS b, min({_WIN}) OVER t AS s, greatest(max(epoch_us(ts)) OVER t, min({_WIN}) OVER t) AS e FROM ln WINDOW t AS (PARTITION BY trace_id)),
   h AS (SELECT *, CASE WHEN e > s THEN (e - s) / 1000.0 ELSE 1.0 END AS total FROM g),
   i AS (SELECT *, least(100.0, greatest(0.0, (b - s) / 1000.0 * 100 / total)) AS l FROM h)
-  SELECT trace_id, place, CAST(round((b - s) / 1000.0, 3) AS DOUBLE) AS offset_ms, CAST(round(l, 4) AS DOUBLE) AS left_pct, CAST(round(greatest(0.0, least(CASE WHEN is_span THEN (epoch_us(ts) - b) / 1000.0 ELSE 0.0 END * 100 / total, 100.0 - l)), 4) AS DOUBLE) AS width_pct FROM i""")
+  SELECT trace_id, place, CAST(round((b - s) / 1000.0, 3) AS DOUBLE) AS offset_ms, CAST(round(l, 4) AS DOUBLE) AS left_pct, CAST(round(greatest(0.0, least(CASE WHEN is_span THEN (epoch_us(ts) - b) / 1000.0 ELSE 0.0 END * 100 / total, 100.0 - l)), 4) AS DOUBLE) AS width_pct FROM i"""
+
+
+@query("waterfall", _WATERFALL)
 def waterfall(spark, d):
     out = traces.waterfall(traces.link_spans(traces.limit_traces(order_events(spark, d))))
     return out.select("trace_id", "place", F.round("offset_ms", 3).alias("offset_ms"), F.round("left_pct", 4).alias("left_pct"), F.round("width_pct", 4).alias("width_pct"))
 
 
+@query("stored_waterfall", _WATERFALL)
+def stored_waterfall(spark, d):
+    """The same spans as lines of compact JSON: parsed to log events, whose bags hold the starts and parents."""
+    e = order_events(spark, d)
+    stamp = lambda c: F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'")
+    line = F.to_json(F.struct(stamp("ts").alias("@t"), F.lit("span").alias("@m"), level_name(F.col("level")).alias("@l"), F.col("trace_id").alias("@tr"), F.col("span_id").alias("@sp"), F.col("parent_span_id").alias("@ps"), stamp("start_ts").alias("@st")))
+    log = clef.parse_clef(e.select("app_id", F.col("event_id").cast("bigint").alias("id"), line.alias("line")), dt.datetime(2024, 1, 1)).withColumn("day", F.to_date("ts"))
+    out = traces.waterfall(traces.link_spans(traces.limit_traces(log.drop("line"))))
+    return out.select("trace_id", "place", F.round("offset_ms", 3).alias("offset_ms"), F.round("left_pct", 4).alias("left_pct"), F.round("width_pct", 4).alias("width_pct"))
+
+
 @query("trace_summary", f"""WITH {ORDER_SQL}, {_PLACED} SELECT trace_id, CAST(greatest(max(epoch_us(ts)), min({_WIN})) - min({_WIN}) AS DOUBLE) / 1000 AS duration_ms, count_if(is_span) AS spans, count(DISTINCT app_id) AS apps,
   count_if(level >= 4) AS errors, count(*) AS events FROM pl GROUP BY trace_id""")
 def trace_summary(spark, d):

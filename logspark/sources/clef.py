@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import event_type_hash, level_lookup, level_name, level_number, render_template
+from ..functions.text import event_type_hash, level_lookup, level_name, level_number, render_template, valid_json, whole_json
 from ..operators.search import at
 
 # Limits of admission.
@@ -14,42 +14,68 @@ LINE_LIMIT, PROPERTY_LIMIT, OLDEST_DAYS, NEWEST_HOURS = 262_144, 100, 30, 1
 RESERVED = ("@t", "@mt", "@m", "@l", "@x", "@i", "@r", "@tr", "@sp", "@ps", "@st")
 
 
+def _lines(spark: SparkSession, path: str) -> DataFrame:
+    """Lines end at a line feed alone, as they are counted."""
+    return spark.read.option("lineSep", "\n").text(path)
+
+
 def read_clef(spark: SparkSession, path: str) -> DataFrame:
     """(line, file): the lines that aren't blank, without a trailing carriage return. Numbers of lines come from number_lines()."""
-    lines = spark.read.text(path).select(F.regexp_replace("value", r"\r$", "").alias("line"), F.col("_metadata.file_path").alias("file"))
+    lines = _lines(spark, path).select(F.regexp_replace("value", r"\r$", "").alias("line"), F.col("_metadata.file_path").alias("file"))
     return lines.where(F.trim("line") != "")
 
 
 def number_lines(spark: SparkSession, path: str) -> DataFrame:
-    """(line, file, number): blank lines count, but aren't there. A file is one row here, so this is for files of a batch, not for archives."""
-    whole = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), F.posexplode(F.split("value", "\n")).alias("at", "line"))
-    rows = whole.select(F.regexp_replace("line", r"\r$", "").alias("line"), "file", (F.col("at") + 1).alias("number"))
-    return rows.where(F.trim("line") != "")
+    """(line, file, number): as read_clef(), with the number of each line in its file, for files of any number of splits. Blank lines count, but aren't there.
+
+    A split of a file (path and first byte) is read by one task from its first line to its last, so a line's number is its place in the split after the lines of the
+    splits before, which are prefix sums over counts: a row for each split. Lines aren't shuffled; the files are read twice.
+    """
+    at = F.monotonically_increasing_id()
+    lines = _lines(spark, path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("split"), at.alias("at"))
+    counts = lines.groupBy("file", "split").agg(F.count("*").alias("n"), F.min("at").alias("first"), F.max("at").alias("last"))
+    before = Window.partitionBy("file").orderBy("split").rowsBetween(Window.unboundedPreceding, -1)
+    base = counts.select("file", "split", "first", "last", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
+    # both reads see the same splits in the same order; were it otherwise, a wrong number would be worse than none
+    same = F.assert_true(F.col("at").between(F.col("first"), F.col("last")), F.lit("the splits of a file changed between two reads"))
+    rows = lines.join(base, ["file", "split"], "left").select(F.regexp_replace("value", r"\r$", "").alias("line"), "file", (F.col("before") + F.col("at") - F.col("first") + 1).alias("number"), same.alias("same"))
+    return rows.where(F.col("same").isNull()).where(F.trim("line") != "").drop("same")
+
 
+def reject_messages(events: DataFrame) -> DataFrame:
+    """Rejected events of parse_clef() over numbered lines, or of parse_plain(), with message: `line N: reason` or `item N: reason`; the reason alone where a body is none."""
+    place = [F.when(F.col(c).isNotNull(), F.concat(F.lit(f"{word} "), F.col(c).cast("string"), F.lit(": "))) for c, word in (("number", "line"), ("item", "item")) if c in events.columns]
+    return events.where("error is not null").withColumn("message", F.concat(F.coalesce(*place, F.lit("")), F.col("error")))
 
-def _kind(name: str) -> Column:
-    return F.expr(f"""schema_of_variant(variant_get(__v, '$["{name}"]'))""")
 
+def _is(value: Column, kind: str) -> Column:
+    return F.schema_of_variant(value) == kind
 
-def _raw(name: str) -> Column:
-    """A member as text: strings as they are, anything else as JSON."""
-    text = F.expr(f"""try_variant_get(__v, '$["{name}"]', 'string')""")
-    other = F.expr(f"""to_json(variant_get(__v, '$["{name}"]'))""")
-    return F.when(_kind(name) == "STRING", text).when(_kind(name).isNotNull(), other)
 
+def _text(value: Column) -> Column:
+    """A variant as text: strings as they are, anything else as JSON; null if missing."""
+    return F.when(_is(value, "STRING"), F.try_variant_get(value, "$", "string")).when(value.isNotNull(), F.to_json(value))
 
-def _string(name: str) -> Column:
-    """A member if it is a string."""
-    return F.when(_kind(name) == "STRING", F.expr(f"""try_variant_get(__v, '$["{name}"]', 'string')"""))
 
+def _string(value: Column) -> Column:
+    """A variant if it is a string."""
+    return F.when(_is(value, "STRING"), F.try_variant_get(value, "$", "string"))
 
-def _member(name: Column, raw_json: Column) -> Column:
-    return F.concat(F.to_json(F.array(name)).substr(F.lit(2), F.length(F.to_json(F.array(name))) - 2), F.lit(":"), raw_json)
 
+def _members(document: str, variant: str) -> tuple[Column, Column]:
+    """The distinct member names of a JSON object in order, and a map of their values; null where it isn't one. Of equal names the last value counts."""
+    return F.array_distinct(F.expr(f"json_object_keys({document})")), F.try_variant_get(F.col(variant), "$", "map<string,variant>")
 
-def _quoted(text: Column) -> Column:
-    whole = F.to_json(F.array(text))
-    return whole.substr(F.lit(2), F.length(whole) - 2)
+
+def _object(entries: Column) -> Column:
+    """JSON text of an object from an array of (k, v variant); of equal names the last one counts, in the place of the first."""
+    names = F.transform(entries, lambda e: e["k"])
+    distinct = F.transform(F.array_distinct(names), lambda k: F.struct(k.alias("k"), F.element_at(F.filter(entries, lambda e: e["k"] == k), -1)["v"].alias("v")))
+    return F.to_json(F.map_from_entries(F.when(F.size(F.array_distinct(names)) < F.size(names), distinct).otherwise(entries)))
+
+
+def _entry(name: str, value: Column) -> Column:
+    return F.struct(F.lit(name).alias("k"), value.cast("variant").alias("v"))
 
 
 def _finish(df: DataFrame) -> DataFrame:
@@ -60,28 +86,34 @@ def _finish(df: DataFrame) -> DataFrame:
 
 
 def parse_clef(lines: DataFrame, now) -> DataFrame:
-    """Adds the event's columns, and error for lines that are rejected. Other columns of lines stay."""
-    v = lines.withColumn("__v", F.try_parse_json("line"))
-    is_object = F.coalesce(F.expr("schema_of_variant(__v)").startswith("OBJECT"), F.lit(False))
-    stamp = F.when(_kind("@t").isNull(), at(now)).otherwise(F.try_to_timestamp(_string("@t")))
-    error = F.when(~is_object, F.lit("not a JSON object")).when(stamp.isNull(), F.lit("invalid @t"))
-    raw_level = _raw("@l")
+    """Adds the event's columns, and error for lines that are rejected. Other columns of lines stay.
+
+    A line is parsed once, to a map of variants; columns and the bag of properties are read from that map, so a name may hold any character. A time without a date
+    is no timestamp: the clock is an argument.
+    """
+    own = [F.col(f"`{c}`") for c in lines.columns]
+    names, values = _members("line", "__v")
+    v = lines.withColumn("__v", whole_json(F.col("line"))).select(*own, names.alias("__k"), values.alias("__m"))
+    member = lambda name: F.try_element_at("__m", F.lit(name))
+    read = {"t": "@t", "l": "@l", "mt": "@mt", "msg": "@m", "x": "@x", "tr": "@tr", "sp": "@sp", "ps": "@ps", "st": "@st", "source": "SourceContext", "machine": "MachineName"}
+    v = v.select(*own, "__k", "__m", *[member(n).alias(f"__{k}") for k, n in read.items()])
+    c = {k: F.col(f"__{k}") for k in read}
+    stamp = F.when(c["t"].isNull(), at(now)).when(_string(c["t"]).rlike(r"^\s*[+-]?\d{4,}-"), F.try_to_timestamp(_string(c["t"])))
+    raw_level = _text(c["l"])
     known = level_lookup(raw_level)
-    keys = F.expr("json_object_keys(line)")
-    # members in order, with typed values: strings quoted, nested values as JSON strings, reserved names left out
-    entries = F.expr("transform(json_object_keys(line), k -> struct(k as k, try_variant_get(__v, concat('$[\"', k, '\"]'), 'variant') as v))")
-    bag = F.transform(
-        F.filter(entries, lambda e: ~F.array_contains(F.array(*[F.lit(x) for x in RESERVED]), e["k"])),
-        lambda e: _member(F.when(e["k"].startswith("@@"), F.substring(e["k"], 2, 1_000_000)).otherwise(e["k"]), F.coalesce(
-            F.when(F.schema_of_variant(e["v"]).rlike("^(OBJECT|ARRAY)"), _quoted(F.to_json(e["v"]))).otherwise(F.to_json(e["v"])), F.lit("null"))))
-    unknown = F.when(raw_level.isNotNull() & known.isNull(), _member(F.lit("_rawLevel"), _quoted(raw_level)))
+    # members in order: nested values as JSON strings, reserved names left out, @@ as @
+    nested = lambda x: F.schema_of_variant(x).rlike("^(OBJECT|ARRAY)")
+    found = F.transform(F.filter("__k", lambda k: ~k.isin(*RESERVED)), lambda k: F.struct(k.alias("k"), F.try_element_at("__m", k).alias("v")))  # one lookup a member
+    bag = F.transform(found, lambda e: F.struct(
+        F.when(e["k"].startswith("@@"), F.substring(e["k"], 2, 1_000_000)).otherwise(e["k"]).alias("k"), F.when(nested(e["v"]), F.to_json(e["v"]).cast("variant")).otherwise(e["v"]).alias("v")))
     extra = F.array_compact(F.array(
-        F.when(_string("@ps").isNotNull(), _member(F.lit("_parentSpanId"), _quoted(_string("@ps")))), F.when(_string("@st").isNotNull(), _member(F.lit("_spanStart"), _quoted(_string("@st")))), unknown))
-    properties = F.concat(F.lit("{"), F.array_join(F.concat(bag, extra), ","), F.lit("}"))
+        F.when(_is(c["ps"], "STRING"), _entry("_parentSpanId", _string(c["ps"]))), F.when(_is(c["st"], "STRING"), _entry("_spanStart", _string(c["st"]))),
+        F.when(raw_level.isNotNull() & known.isNull(), _entry("_rawLevel", raw_level))))
+    error = F.when(F.col("__m").isNull(), F.lit("not a JSON object")).when(stamp.isNull(), F.lit("invalid @t"))
     out = v.select(
-        *lines.columns, F.when(error.isNull(), stamp).alias("ts"), F.coalesce(known, F.lit(2)).alias("level"), _raw("@mt").alias("template"), _raw("@m").alias("message"), _raw("@x").alias("exception"),
-        _string("@tr").alias("trace_id"), _string("@sp").alias("span_id"), _string("SourceContext").alias("source"), _string("MachineName").alias("machine"),
-        F.when(keys.isNotNull(), properties).alias("properties"), error.alias("error"))
+        *own, F.when(error.isNull(), stamp).alias("ts"), F.coalesce(known, F.lit(2)).alias("level"), _text(c["mt"]).alias("template"), _text(c["msg"]).alias("message"), _text(c["x"]).alias("exception"),
+        _string(c["tr"]).alias("trace_id"), _string(c["sp"]).alias("span_id"), _string(c["source"]).alias("source"), _string(c["machine"]).alias("machine"),
+        F.when(F.col("__m").isNotNull(), _object(F.concat(bag, extra))).alias("properties"), error.alias("error"))
     return _finish(out)
 
 
@@ -89,17 +121,24 @@ PLAIN = "struct<timestamp:string,level:string,message:string,exception:string,te
 
 
 def parse_plain(bodies: DataFrame, now) -> DataFrame:
-    """Rows with body, one JSON object or an array of them, to events. A body that isn't JSON, and an item that isn't an object, is an event with an error."""
+    """Rows with body, one JSON object or an array of them, to events with the number of their item (from 1).
+
+    A body that isn't JSON as a whole is one event with an error (item null), and so is an item that isn't an object. Properties that aren't an object are none.
+    """
+    others = [F.col(f"`{c}`") for c in bodies.columns if c != "body"]
+    valid = valid_json(F.col("body"))
     body = F.trim("body")
-    as_list = F.when(body.startswith("["), body).otherwise(F.concat(F.lit("["), body, F.lit("]")))
-    others = [c for c in bodies.columns if c != "body"]
+    as_list = F.when(valid, F.when(body.startswith("["), body).otherwise(F.concat(F.lit("["), body, F.lit("]"))))
     items = bodies.select(*others, F.from_json(as_list, "array<string>").alias("items")).where("items is null or size(items) > 0")
-    e = items.select(*others, F.explode_outer("items").alias("item")).select(*others, F.from_json("item", PLAIN).alias("e"), F.coalesce(F.trim("item").startswith("{"), F.lit(False)).alias("is_object"))
+    e = items.select(*others, F.posexplode_outer("items").alias("pos", "item"))
+    is_object = F.coalesce(F.trim("item").startswith("{"), F.lit(False))
+    e = e.select(*others, (F.col("pos") + 1).alias("item"), F.from_json("item", PLAIN).alias("e"), is_object.alias("is_object"))
     stamp = F.when(F.col("e.timestamp").isNull(), at(now)).otherwise(F.try_to_timestamp("e.timestamp"))
+    bag = F.coalesce(F.when(F.trim("e.properties").startswith("{"), F.col("e.properties")), F.lit("{}"))
+    error = F.when(~F.col("is_object"), F.lit("not a JSON object")).when(stamp.isNull(), F.lit("invalid timestamp"))
     out = e.select(
-        *[c for c in bodies.columns if c != "body"], stamp.alias("ts"), level_number(F.coalesce("e.level", F.lit(""))).alias("level"), F.col("e.template").alias("template"), F.col("e.message").alias("message"),
-        F.col("e.exception").alias("exception"), F.col("e.traceId").alias("trace_id"), F.col("e.spanId").alias("span_id"), F.col("e.source").alias("source"), F.lit(None).cast("string").alias("machine"),
-        F.coalesce("e.properties", F.lit("{}")).alias("properties"), F.when(~F.col("is_object"), F.lit("not a JSON object")).when(stamp.isNull(), F.lit("invalid timestamp")).alias("error"))
+        *others, "item", stamp.alias("ts"), level_number(F.coalesce("e.level", F.lit(""))).alias("level"), F.col("e.template").alias("template"), F.col("e.message").alias("message"),
+        F.col("e.exception").alias("exception"), F.col("e.traceId").alias("trace_id"), F.col("e.spanId").alias("span_id"), F.col("e.source").alias("source"), F.lit(None).cast("string").alias("machine"), bag.alias("properties"), error.alias("error"))
     return _finish(out)
 
 
@@ -144,14 +183,14 @@ def ingest_summary(events: DataFrame, keys: tuple[str, ...] = ("app_id",), examp
 
 def to_clef(events: DataFrame) -> DataFrame:
     """(line): events as compact JSON; empty fields are left out, names that begin with @ are escaped, reserved names skipped."""
-    e = events.withColumn("__v", F.try_parse_json("properties"))
-    field = lambda name, c: F.when(F.coalesce(c, F.lit("")) != "", F.concat(F.lit(f'"{name}":'), _quoted(c)))
+    names, values = _members("properties", "__v")
+    e = events.withColumn("__v", F.try_parse_json("properties")).withColumn("__k", F.coalesce(names, F.array().cast("array<string>"))).withColumn("__m", values)
+    field = lambda name, c: F.when(F.coalesce(c, F.lit("")) != "", _entry(name, c))
     stamp = F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'")
     head = F.array_compact(F.array(field("@t", stamp), field("@mt", F.col("template")), F.when(F.coalesce("template", F.lit("")) == "", field("@m", F.col("message"))), field("@l", level_name(F.col("level"))),
                                    field("@x", F.col("exception")), field("@tr", F.col("trace_id")), field("@sp", F.col("span_id")), field("SourceContext", F.col("source"))))
-    entries = F.expr("transform(coalesce(json_object_keys(properties), array()), k -> struct(k as k, try_variant_get(__v, concat('$[\"', k, '\"]'), 'variant') as v))")
-    rest = F.transform(F.filter(entries, lambda x: x["k"] != "SourceContext"), lambda x: _member(F.when(x["k"].startswith("@"), F.concat(F.lit("@"), x["k"])).otherwise(x["k"]), F.coalesce(F.to_json(x["v"]), F.lit("null"))))
-    return e.select(F.concat(F.lit("{"), F.array_join(F.concat(head, rest), ","), F.lit("}")).alias("line"))
+    rest = F.transform(F.filter("__k", lambda k: k != "SourceContext"), lambda k: F.struct(F.when(k.startswith("@"), F.concat(F.lit("@"), k)).otherwise(k).alias("k"), F.try_element_at("__m", k).alias("v")))
+    return e.select(_object(F.concat(head, rest)).alias("line"))
 
 
 def write_clef(events: DataFrame, path: str) -> None:

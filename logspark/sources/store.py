@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.filters import VARIANT
 from ..functions.text import property_text
+from ..operators.traces import with_spans
 from ..schema import LOG_EVENT
 from ..shared import Versions
 
@@ -18,8 +19,10 @@ def dealt(events: DataFrame, salt: int = 8) -> DataFrame:
     return events.repartition("app_id", "day", F.pmod(F.xxhash64("id"), F.lit(salt))).sortWithinPartitions("app_id", "day", "id")
 
 
-def write_events(events: DataFrame, path: str, promoted: tuple[str, ...] = (), mode: str = "append", salt: int = 8, rows_a_file: int = 5_000_000) -> None:
-    """Stores events; promoted properties become real columns p_<name>. A hot app-day goes to several files."""
+def write_events(events: DataFrame, path: str, promoted: tuple[str, ...] = (), mode: str = "append", salt: int = 8, rows_a_file: int = 5_000_000, spans: bool = False) -> None:
+    """Stores events; promoted properties become real columns p_<name>, and with spans the start and the parent of a span do, as traces read them. A hot app-day goes to several files."""
+    if spans:
+        events = with_spans(events).drop("event_id")
     if promoted:
         bag = events.withColumn(VARIANT, F.try_parse_json("properties"))
         events = bag.select(*events.columns, *[property_text(VARIANT, p).alias(f"p_{p}") for p in promoted])
