@@ -101,15 +101,21 @@ def app_links(links: DataFrame, limit: int = 100) -> DataFrame:
     return links.withColumn("rank", rank).where(F.col("rank") <= limit)
 
 
-# Presets of destinations, (name, content type, body, ticket id path, ticket url path).
+# What the bodies say: a title, and the event with where it came from, how often it was seen and where to read on. Tokens inside JSON strings are escaped by render_payload().
+_TITLE = "[{{event.level}}] {{event.message | truncate:120}}"
+_ABOUT = "App: {{app.name | default:\"unnamed\"}} ({{app.id}})\\nSource: {{event.source | default:\"none\"}}\\nTime: {{event.timestamp}}\\nTrace: {{event.traceId | default:\"none\"}}\\nSeen: {{occurrence.count | default:\"1\"}} since {{occurrence.firstSeen | default:\"now\"}}"
+_LINKS = "Event: {{link.event}}\\nAll of this kind: {{link.search}}"
+_ISSUE = f"{_ABOUT}\\n\\n{{{{event.exception | md}}}}\\n\\n{_LINKS}"
+_TEXT = f"{_ABOUT}\\n\\n{{{{event.exception | truncate:2000}}}}\\n\\n{_LINKS}"
+# Names of presets and the paths of tickets in their answers, (name, content type, body, ticket id path, ticket url path).
 PRESETS = [
-    ("gitea", "application/json", '{"title":"{{event.message | truncate:120}}","body":"{{event.exception | md}}"}', "$.number", "$.html_url"),
-    ("github", "application/json", '{"title":"{{event.message | truncate:120}}","body":"{{event.exception | md}}"}', "$.number", "$.html_url"),
-    ("jira", "application/json", '{"fields":{"summary":"{{event.message | truncate:120}}","description":"{{event.exception}}"}}', "$.key", "$.self"),
-    ("zendesk", "application/json", '{"ticket":{"subject":"{{event.message | truncate:120}}","comment":{"body":"{{event.exception}}"}}}', "$.ticket.id", "$.ticket.url"),
-    ("slack", "application/json", '{"text":"{{app.id}}: {{event.message}}"}', None, None),
-    ("teams", "application/json", '{"text":"{{app.id}}: {{event.message}}"}', None, None),
-    ("generic", "application/json", '{"app":"{{app.id}}","level":"{{event.level}}","message":"{{event.message}}"}', "$.id", "$.url"),
+    ("gitea", "application/json", f'{{"title":"{_TITLE}","body":"{_ISSUE}"}}', "$.number", "$.html_url"),
+    ("github", "application/json", f'{{"title":"{_TITLE}","body":"{_ISSUE}","labels":["{{{{app.id}}}}"]}}', "$.number", "$.html_url"),
+    ("jira", "application/json", f'{{"fields":{{"summary":"{_TITLE}","description":"{_TEXT}","issuetype":{{"name":"Bug"}}}}}}', "$.key", "$.self"),
+    ("zendesk", "application/json", f'{{"ticket":{{"subject":"{_TITLE}","comment":{{"body":"{_TEXT}"}},"external_id":"{{{{event.id}}}}"}}}}', "$.ticket.id", "$.ticket.url"),
+    ("slack", "application/json", f'{{"text":"*{_TITLE}*\\n{_ABOUT}\\n{_LINKS}"}}', None, None),
+    ("teams", "application/json", f'{{"title":"{_TITLE}","text":"{_ABOUT}\\n{_LINKS}"}}', None, None),
+    ("generic", "application/json", '{"rule":{"id":"{{rule.id}}","name":"{{rule.name}}"},"app":{"id":"{{app.id}}","name":"{{app.name}}"},"event":{"id":"{{event.id}}","time":"{{event.timestamp}}","level":"{{event.level}}","type":"{{event.eventType}}","message":"{{event.message}}","template":"{{event.template}}","exception":"{{event.exception}}","source":"{{event.source}}","trace":"{{event.traceId}}"},"occurrence":{"key":"{{occurrence.key}}","count":"{{occurrence.count}}","first":"{{occurrence.firstSeen}}","last":"{{occurrence.lastSeen}}"},"links":{"event":"{{link.event}}","search":"{{link.search}}"}}', "$.id", "$.url"),
 ]
 
 

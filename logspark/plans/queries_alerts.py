@@ -6,6 +6,7 @@ import datetime as dt
 
 from pyspark.sql import functions as F
 
+from ..functions.text import valid_json
 from ..operators import deliveries as D
 from ..operators import maintain
 from ..operators import rules as R
@@ -52,26 +53,88 @@ def storms(spark, d):
     return R.split_storms(R.match_rules(daily, rule, max_age_minutes=1440))[1].select("app_id", "day", "n", "id")
 
 
-# Occurrences of rules that fire rarely: windows restart once they are older than an hour, which SQL follows match by match.
-_STATE = """, o AS (SELECT rule_id, key, ts, date_trunc('second', ts) + INTERVAL 1 SECOND AS c, row_number() OVER (PARTITION BY rule_id, key ORDER BY date_trunc('second', ts), app_id, day, id) AS n FROM m WHERE rule_id IN ('r1', 'r3')),
-  f AS (SELECT rule_id, key, n, c, c AS start, 1 AS count FROM o WHERE n = 1 UNION ALL
-    SELECT o.rule_id, o.key, o.n, o.c, CASE WHEN o.c - f.start > INTERVAL 60 MINUTE THEN o.c ELSE f.start END, CASE WHEN o.c - f.start > INTERVAL 60 MINUTE THEN 1 ELSE f.count + 1 END FROM f JOIN o ON o.rule_id = f.rule_id AND o.key = f.key AND o.n = f.n + 1)
-  SELECT rule_id, key AS dedupe_key, CAST(arg_max(count, n) AS INTEGER) AS count, arg_max(start, n) AS window_start_ts, min(c) AS first_seen_ts, max(c) AS last_seen_ts FROM f GROUP BY rule_id, key"""
+# Windows of occurrences restart once they are older than the rule's (r4 has none), which SQL follows match by match; a match fires where the rule's cooldown is over and, for r3, three are counted.
+_STATE = """, o AS (SELECT *, date_trunc('second', ts) + INTERVAL 1 SECOND AS c, CASE WHEN rule_id = 'r4' THEN INTERVAL 0 MINUTE ELSE INTERVAL 60 MINUTE END AS wide, CASE WHEN rule_id = 'r3' THEN 3 ELSE 1 END AS least,
+    row_number() OVER (PARTITION BY rule_id, key ORDER BY date_trunc('second', ts), app_id, day, id) AS n FROM m),
+  f AS (SELECT rule_id, key, n, c, app_id, day, id, c AS start, 1 AS count, least = 1 AS fire, CASE WHEN least = 1 THEN c END AS fired FROM o WHERE n = 1 UNION ALL
+    SELECT rule_id, key, n, c, app_id, day, id, start, count, count >= least AND (fired IS NULL OR c - fired >= wide), CASE WHEN count >= least AND (fired IS NULL OR c - fired >= wide) THEN c ELSE fired END FROM (
+      SELECT o.*, f.fired, CASE WHEN o.c - f.start > o.wide THEN o.c ELSE f.start END AS start, CASE WHEN o.c - f.start > o.wide THEN 1 ELSE f.count + 1 END AS count FROM f JOIN o ON o.rule_id = f.rule_id AND o.key = f.key AND o.n = f.n + 1))"""
 
 
-@query("occurrences", "WITH RECURSIVE " + _MATCH + _STATE)
+@query("occurrences", "WITH RECURSIVE " + _MATCH + _STATE + "SELECT rule_id, key AS dedupe_key, CAST(arg_max(count, n) AS INTEGER) AS count, arg_max(start, n) AS window_start_ts, min(c) AS first_seen_ts, max(c) AS last_seen_ts FROM f GROUP BY rule_id, key")
 def occurrences(spark, d):
-    rules = [r for r in RULES if r["id"] in ("r1", "r3")]
-    state, _, _ = R.evaluate_rules(committed(spark, d), [r | {"max_fires_per_hour": 10_000} for r in rules], DESTINATIONS)
+    """All rules, without caps: none ends early."""
+    state, _, _ = R.evaluate_rules(committed(spark, d), [r | {"max_fires_per_hour": 1_000_000} for r in RULES], DESTINATIONS)
     times = ("window_start_ts", "first_seen_ts", "last_seen_ts")
     return state.select("rule_id", "dedupe_key", "count", *[F.col(c).cast("timestamp_ntz").alias(c) for c in times])
 
 
-@query("rule_deliveries")
+# The caps as one sequence for each destination: what was sent in the last hour, the rules that have ended, and the fires of the commit at hand. (The table has no storms.)
+_CAPS = """, d AS (SELECT *, CASE WHEN rule_id IN ('r1', 'r2') THEN 'd0' WHEN rule_id = 'r5' THEN 'd2' ELSE 'd1' END AS dest, CASE WHEN rule_id = 'r4' THEN 1000 ELSE 20 END AS most FROM f),
+  q AS (SELECT *, row_number() OVER (PARTITION BY dest ORDER BY c, app_id, day, rule_id, id) AS place, row_number() OVER (PARTITION BY dest, c, app_id, day, rule_id ORDER BY id) = 1 AS opens FROM d),
+  s AS (SELECT dest, 0::bigint AS place, NULL::varchar AS verdict, []::STRUCT(t TIMESTAMP, r VARCHAR)[] AS sent, []::varchar[] AS gone, 0::bigint AS inside FROM (SELECT DISTINCT dest FROM d) UNION ALL
+    SELECT dest, place, verdict, CASE WHEN verdict = 'delivered' THEN list_append(live, {'t': c, 'r': rule_id}) ELSE live END, CASE WHEN verdict = 'disabled' THEN list_append(gone, rule_id) ELSE gone END, CASE WHEN verdict <> 'disabled' THEN inside + 1 ELSE inside END FROM (
+      SELECT *, CASE WHEN list_contains(gone, rule_id) THEN NULL WHEN inside >= most THEN 'disabled' WHEN NOT fire THEN NULL WHEN rule_id = 'r5' THEN 'dry run' WHEN len(live) >= 60 THEN 'rate limited' ELSE 'delivered' END AS verdict FROM (
+        SELECT * REPLACE (CASE WHEN opens THEN len(list_filter(live, lambda x: x.r = rule_id)) ELSE inside END AS inside) FROM (
+          SELECT q.dest, q.place, q.rule_id, q.c, q.most, q.fire, q.opens, s.gone, s.inside, list_filter(s.sent, lambda x: x.t >= q.c - INTERVAL 1 HOUR) AS live FROM s JOIN q ON q.dest = s.dest AND q.place = s.place + 1))))
+  SELECT left(sha256(concat_ws(chr(31), rule_id, key, strftime(c, '%Y-%m-%d %H:%M:%S'), app_id, id)), 32) AS id, q.dest AS destination_id, rule_id, app_id, c AS created_ts, 0 AS status,
+    '{"m":"' || message || '","k":"' || key || '","app":"' || app_id || '"}' AS request_body FROM s JOIN q ON q.dest = s.dest AND q.place = s.place JOIN log USING (app_id, day, id) WHERE verdict = 'delivered'"""
+
+
+@query("rule_deliveries", "WITH RECURSIVE " + _MATCH + _STATE + _CAPS)
 def rule_deliveries(spark, d):
     """All rules with their caps, rendered."""
     _, fired, _ = R.evaluate_rules(committed(spark, d), RULES, DESTINATIONS)
-    return R.enqueue_deliveries(fired, RULES, DESTINATIONS)
+    return R.enqueue_deliveries(fired, RULES, DESTINATIONS).select("id", "destination_id", "rule_id", "app_id", F.col("created_ts").cast("timestamp_ntz").alias("created_ts"), "status", "request_body")
+
+
+@query("capped_deliveries", "WITH RECURSIVE " + _MATCH + _STATE + _CAPS.replace("WHEN rule_id = 'r4' THEN 1000 ELSE 20 END AS most", "WHEN rule_id = 'r4' THEN 1000 ELSE 3 END AS most").replace(">= 60", ">= 4"))
+def capped_deliveries(spark, d):
+    """The same rules with caps that the table's events reach: rules end, and destinations refuse."""
+    rules = [r if r["id"] == "r4" else r | {"max_fires_per_hour": 3} for r in RULES]
+    destinations = [x | {"rate_limit_per_hour": 4} for x in DESTINATIONS]
+    _, fired, _ = R.evaluate_rules(committed(spark, d), rules, destinations)
+    return R.enqueue_deliveries(fired, rules, destinations).select("id", "destination_id", "rule_id", "app_id", F.col("created_ts").cast("timestamp_ntz").alias("created_ts"), "status", "request_body")
+
+
+@query("disabled_rules", "WITH RECURSIVE " + _MATCH + _STATE + _CAPS[: _CAPS.index("  SELECT left(")].replace("WHEN rule_id = 'r4' THEN 1000 ELSE 20 END AS most", "WHEN rule_id = 'r4' THEN 1000 ELSE 3 END AS most").replace(">= 60", ">= 4")
+       + "SELECT rule_id, 'exceeded 3 fires/hour' AS reason, c AS commit_ts FROM s JOIN q ON q.dest = s.dest AND q.place = s.place WHERE verdict = 'disabled' UNION ALL SELECT 'r6', 'filter does not parse', min(date_trunc('second', ts) + INTERVAL 1 SECOND) FROM log")
+def disabled_rules(spark, d):
+    """Why and when rules end: a cap, or a filter that doesn't parse."""
+    rules = [r if r["id"] == "r4" else r | {"max_fires_per_hour": 3} for r in RULES]
+    _, _, off = R.evaluate_rules(committed(spark, d), rules, [x | {"rate_limit_per_hour": 4} for x in DESTINATIONS])
+    return off.select("rule_id", F.regexp_replace("reason", "(does not parse).*", "$1").alias("reason"), F.col("commit_ts").cast("timestamp_ntz").alias("commit_ts"))
+
+
+@query("pruned_occurrences", "WITH RECURSIVE " + _MATCH + _STATE + "SELECT rule_id, key AS dedupe_key, max(c) AS last_seen_ts FROM f GROUP BY rule_id, key HAVING max(c) >= TIMESTAMP '2024-01-30' - INTERVAL 7 DAY AND rule_id <> 'r2'")
+def pruned_occurrences(spark, d):
+    """What is left a week later, once one rule was reset."""
+    state, _, _ = R.evaluate_rules(committed(spark, d), [r | {"max_fires_per_hour": 1_000_000} for r in RULES], DESTINATIONS)
+    left = R.reset_rule(R.prune_occurrences(state, dt.datetime(2024, 1, 30)), "r2")
+    return left.select("rule_id", "dedupe_key", F.col("last_seen_ts").cast("timestamp_ntz").alias("last_seen_ts"))
+
+
+@query("fresh_matches", f"WITH {LOG_SQL}, c AS (SELECT *, ts + to_minutes(CAST(k % 31 AS INTEGER)) AS commit_ts FROM log WHERE level >= 3) SELECT 'all' AS rule_id, count(*) AS n FROM c WHERE k % 31 <= 15 UNION ALL SELECT 'edited', count(*) FROM c WHERE k % 31 <= 15 AND ts >= TIMESTAMP '2024-01-15'")
+def fresh_matches(spark, d):
+    """Backfill protection: commits up to half an hour after their events, and a rule that was edited in between."""
+    late = log_events(spark, d).withColumn("commit_ts", F.col("ts") + F.make_interval(mins=F.get_json_object("properties", "$.K").cast("int") % 31))
+    rules = [R.default_rule(id="all", minimum_level=3), R.default_rule(id="edited", minimum_level=3, scope_changed_ts=dt.datetime(2024, 1, 15))]
+    return R.match_rules(late, rules).groupBy("rule_id").agg(F.count("*").alias("n"))
+
+
+@query("purge_destination", f"WITH {_MATCH} SELECT 'occurrences' AS part, count(*) AS n FROM (SELECT DISTINCT rule_id, key FROM m WHERE rule_id NOT IN ('r1', 'r2')) UNION ALL SELECT 'rules', 4")
+def purge_destination(spark, d):
+    rules = spark.createDataFrame([(r["id"], r["destination_id"]) for r in RULES], "id string, destination_id string")
+    seen = R.narrow_matches(committed(spark, d), RULES).select("rule_id", "dedupe_key").distinct()
+    left, known = maintain.purge_destination("d0", rules, seen)
+    return known.agg(F.count("*").alias("n")).select(F.lit("occurrences").alias("part"), "n").union(left.agg(F.count("*").alias("n")).select(F.lit("rules").alias("part"), "n"))
+
+
+@query("valid_bodies", "SELECT event_id, event_id % 4 IN (0, 3) AS valid FROM events")
+def valid_bodies(spark, d):
+    """One JSON value is a body; a value with something after it, or two of them, is none."""
+    body = F.when(F.col("event_id") % 4 == 0, F.col("props")).when(F.col("event_id") % 4 == 1, F.concat("props", F.lit("}"))).when(F.col("event_id") % 4 == 2, F.concat_ws(",", "props", "props")).otherwise(F.concat(F.lit("["), "props", F.lit("]")))
+    return load(spark, d, "events").select("event_id", valid_json(body).alias("valid"))
 
 
 @query("manual_deliveries", f"WITH {LOG_SQL} SELECT app_id, '{{\"u\":\"ann\",\"t\":\"T\",\"m\":\"' || message || '\"}}' AS request_body FROM log WHERE level = 5")
@@ -100,23 +163,23 @@ _QUEUE = """q AS (SELECT CAST(o_orderkey AS VARCHAR) AS id, CAST(o_custkey % 7 A
   CAST(o_orderkey % 6 AS INTEGER) AS attempt, CASE o_orderstatus WHEN 'F' THEN 1 WHEN 'O' THEN 0 ELSE 2 END AS status FROM orders)"""
 
 
-@query("due_deliveries", f"WITH {_QUEUE} SELECT id, destination_id FROM (SELECT * FROM q WHERE status = 0 AND created_ts <= TIMESTAMP '1997-01-01' ORDER BY created_ts, id LIMIT 16) WHERE (SELECT count(*) FROM q WHERE created_ts >= TIMESTAMP '1998-12-31') < 500")
+@query("due_deliveries", f"WITH {_QUEUE} SELECT id, destination_id FROM (SELECT * FROM q WHERE status = 0 AND created_ts <= TIMESTAMP '2001-07-31' ORDER BY created_ts, id LIMIT 16) WHERE (SELECT count(*) FROM q WHERE created_ts >= TIMESTAMP '2001-07-30 23:00:00') < 500")
 def due_deliveries(spark, d):
-    q = queue(spark, d).where("created_ts <= timestamp'1997-01-01' or created_ts >= timestamp'1998-12-31'")
-    return D.due_deliveries(q, dt.datetime(1997, 1, 1)).select("id", "destination_id")
+    return D.due_deliveries(queue(spark, d), dt.datetime(2001, 7, 31)).select("id", "destination_id")
 
 
 def _destinations(spark):
     return spark.createDataFrame([(str(i), 6 if i else 3, dt.datetime(1999, 1, 1) if i == 5 else None) for i in range(6)], "id string, max_attempts int, circuit_open_until_ts timestamp")
 
 
-@query("apply_outcomes", f"""WITH {_QUEUE}, l AS (SELECT CAST(l_orderkey AS VARCHAR) AS id, CASE l_linenumber WHEN 1 THEN 200 WHEN 2 THEN 400 WHEN 3 THEN 408 WHEN 4 THEN 429 WHEN 5 THEN 500 END AS code, l_linenumber AS ln FROM lineitem),
-  x AS (SELECT q.*, code, ln, destination_id = '6' AS missing, destination_id = '5' AS held, CASE destination_id WHEN '0' THEN 3 ELSE 6 END AS most FROM q JOIN l USING (id) WHERE ln = CAST(q.id AS BIGINT) % 7 + 1),
+@query("apply_outcomes", f"""WITH {_QUEUE}, l AS (SELECT CAST(l_orderkey AS VARCHAR) AS id, CASE max(l_linenumber) WHEN 1 THEN 200 WHEN 2 THEN 400 WHEN 3 THEN 408 WHEN 4 THEN 429 WHEN 5 THEN 500 END AS code FROM lineitem GROUP BY l_orderkey),
+  x AS (SELECT q.*, code, destination_id = '6' AS missing, destination_id = '5' AS held, CASE destination_id WHEN '0' THEN 3 ELSE 6 END AS most FROM q JOIN l USING (id)),
   y AS (SELECT *, coalesce(code BETWEEN 200 AND 299, false) AS ok, coalesce(code BETWEEN 400 AND 499 AND code NOT IN (408, 429), false) AS final, attempt + 1 >= most AS spent FROM x)
   SELECT id, CASE WHEN missing THEN 3 WHEN held THEN 0 WHEN ok THEN 1 WHEN final THEN 3 WHEN spent THEN 3 ELSE 0 END AS status, CASE WHEN missing OR held OR ok OR final THEN attempt ELSE attempt + 1 END AS attempt,
     CASE WHEN missing THEN NULL WHEN held THEN TIMESTAMP '1999-01-01' WHEN ok OR final OR spent THEN NULL ELSE TIMESTAMP '1998-01-01' + to_seconds([1, 5, 30, 120, 600, 3600][least(attempt + 1, 5) + 1]) END AS next_attempt_ts FROM y""")
 def apply_outcomes(spark, d):
-    one = attempts(spark, d).where("l_linenumber = cast(id as bigint) % 7 + 1")
+    # the last of an order's lines tells how its delivery went
+    one = attempts(spark, d).groupBy("id").agg(F.max_by(F.struct("response_status", "response_body"), "l_linenumber").alias("a")).select("id", "a.*")
     out = D.apply_outcomes(queue(spark, d), one, _destinations(spark), dt.datetime(1998, 1, 1))
     return out.select("id", "status", "attempt", F.col("next_attempt_ts").cast("timestamp_ntz").alias("next_attempt_ts"))
 

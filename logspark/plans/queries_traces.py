@@ -47,6 +47,17 @@ def span_tree(spark, d):
     return traces.span_tree(linked).select("trace_id", "place", "depth", "row")
 
 
+@query("broken_rings", f"""WITH {CONVERSATION_SQL}, p AS (SELECT trace_id, turn, row_number() OVER (PARTITION BY trace_id ORDER BY ts, app_id, event_id) AS place, count(*) OVER (PARTITION BY trace_id) AS n FROM ev),
+  j AS (SELECT trace_id, turn AS first FROM p WHERE place = 1)
+  SELECT trace_id, CAST(place AS INTEGER) AS place, CAST((turn - first + n) % n AS INTEGER) AS depth, CAST((turn - first + n) % n + 1 AS INTEGER) AS row FROM p JOIN j USING (trace_id)""")
+def broken_rings(spark, d):
+    """Conversations whose first turn follows from the last one: each is a ring, which is cut at its first event."""
+    e = conversation_events(spark, d)
+    last = e.groupBy("trace_id").agg(F.max_by("span_id", "event_id").alias("last"))
+    rings = e.join(last, "trace_id").withColumn("parent_span_id", F.coalesce("parent_span_id", "last")).drop("last")
+    return traces.span_tree(traces.link_spans(traces.limit_traces(rings))).select("trace_id", "place", "depth", "row")
+
+
 _WIN = "CASE WHEN is_span THEN epoch_us(start_ts) ELSE epoch_us(ts) END"
 
 

@@ -106,3 +106,14 @@ def test_payload_paths_and_subjects(spark):
 @pytest.mark.parametrize("body, ok", [('{"a":1}', True), ("[1]", True), ('{"a":1}}', False), ('{"a":1} {"b":2}', False), ("", False), ('{"a":1},{"b":2}', False), ('"s"', True), (" 5 ", True), ("5],[", False)])
 def test_valid_json_is_one_value(spark, body, ok):
     assert spark.createDataFrame([(body,)], "b string").select(T.valid_json(F.col("b"))).first()[0] is ok
+
+
+def test_presets_render_to_json(spark):
+    from logspark.operators.deliveries import presets
+
+    values = json.dumps({"event.message": 'quote " and\nline', "event.exception": "at x\n\tat \\y", "event.level": "Error", "app.id": "a", "link.event": "https://logs/apps/a/events/1"})
+    rows = presets(spark).withColumn("body", T.render_payload(F.col("body_template"), F.lit(values))).collect()
+    assert len(rows) == 7
+    for r in rows:
+        body = json.dumps(json.loads(r["body"]))
+        assert "https://logs/apps/a/events/1" in body and 'quote \\" and\\nline' in body, r["name"]
