@@ -14,7 +14,6 @@ digest count once; null ids, repeated rows and other columns pass through or are
 from __future__ import annotations
 
 import hashlib
-import re
 import struct
 import zlib
 from collections.abc import Iterator
@@ -127,6 +126,12 @@ class _Sequence(HTMLParser):
         if tag in BREAKS:
             self.flush()
 
+    def parse_marked_section(self, i, report=1):
+        """Declarations that HTML doesn't know end at the next > like a comment, character data at its own mark, or both with the page; the parser's own way fails on some."""
+        mark = "]]>" if self.rawdata.startswith("<![CDATA[", i) else ">"
+        end = self.rawdata.find(mark, i + 3)
+        return end + len(mark) if end >= 0 else len(self.rawdata)
+
     def handle_data(self, data):
         if not self.hidden:
             (self.words if self.caption is None else self.caption).append(data)
@@ -136,13 +141,9 @@ ITEM = "struct<position:int,kind:string,text:string,ref:string,caption:string>"
 _ITEMS = pa.list_(pa.struct([("position", pa.int32()), ("kind", pa.string()), ("text", pa.string()), ("ref", pa.string()), ("caption", pa.string())]))
 
 
-#: Declarations that HTML doesn't know; like a comment, they end at the next >.
-_DECLARED = re.compile(r"<!\[(?!CDATA\[)[^>]*(?:>|$)")
-
-
 def sequence(html: str | None) -> list[dict]:
     p = _Sequence()
-    p.feed(_DECLARED.sub("", html or ""))
+    p.feed(html or "")
     p.close()
     p.flush()
     return p.items

@@ -242,3 +242,14 @@ def test_sort_with_ties(spark):
     rows = [(i % 700, random.choice([5, 5, 5, random.randrange(50)])) for i in range(2000)]
     got = importance.sort_ranks(spark.createDataFrame(rows, "doc_id long, score long").repartition(6), samples=60).orderBy("rank").collect()
     assert [r["rank"] for r in got] == list(range(1, 2001)) and [(r["doc_id"], r["score"]) for r in got] == sorted(rows, key=lambda r: (-r[1], r[0]))
+
+
+def test_no_markup_stops_a_sequence():
+    from logspark.llm import media
+
+    assert [x["text"] for x in media.sequence("<p>a<![if x]>b<![endif]>c<![CDATA[ > ]]>d<![bad[ x>e</p>")] == ["abcde"]
+    assert media.sequence("<!<![]]>[xpCDATA[</") is not None
+    rng = random.Random(12)
+    parts = ["<!", "[", "]", "]]>", ">", "CDATA[", "<![", "<!--", "--", "if x", "</", "<p", "<img src=a", "<?", "&#", "&amp", "x", " ", "\n", '"', "'", "=", "<script>", "</script", "<!doctype", "<figure>", "<figcaption>"]
+    for _ in range(30_000):
+        media.sequence("".join(rng.choices(parts, k=rng.randrange(1, 14))))
