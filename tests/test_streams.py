@@ -2,6 +2,7 @@
 
 import datetime as dt
 import json
+import os
 import random
 
 import pytest
@@ -38,9 +39,11 @@ def arrivals(seed=4):
 
 
 def write_parts(path, parts, cells):
+    """A file a part. A stream takes files by their time of change, so each is a minute younger than the one before."""
     path.mkdir()
     for k, part in enumerate(parts):
-        (path / f"{k}.json").write_text("".join(json.dumps(dict(zip(cells, [x.isoformat() + "Z" if isinstance(x, dt.datetime) else x for x in row], strict=True))) + "\n" for row in part))
+        (path / f"{k}.json").write_text("".join(json.dumps(dict(zip(cells, [x.isoformat() + "Z" * isinstance(x, dt.datetime) if isinstance(x, dt.date) else x for x in row], strict=True))) + "\n" for row in part))
+        os.utime(path / f"{k}.json", (1_700_000_000 + 60 * k,) * 2)
 
 
 def replay(spark, tmp_path, rows, parts=3, size=7, ring=30, subscriptions=None):
@@ -236,9 +239,7 @@ def test_rules_that_die_leave_no_half(spark, tmp_path, monkeypatch):
 
 def test_rules_on_a_stream_source(spark, tmp_path):
     rows, names = rule_events(), [c.split()[0] for c in (LOG_EVENT + ", commit_ts timestamp").split(", ")]
-    (tmp_path / "in").mkdir()
-    for b in range(3):
-        (tmp_path / f"in/{b}.json").write_text("".join(json.dumps(dict(zip(names, [x.isoformat() if isinstance(x, (dt.datetime, dt.date)) else x for x in r], strict=True))) + "\n" for k, r in rows if k == b))
+    write_parts(tmp_path / "in", [[r for k, r in rows if k == b] for b in range(3)], names)
     source = spark.readStream.schema(LOG_EVENT + ", commit_ts timestamp").option("maxFilesPerTrigger", 1).json(str(tmp_path / "in"))
     q = stream.stream_rules(source, RULES, DEST, str(tmp_path / "rules"), str(tmp_path / "cp"))
     q.awaitTermination(180)
