@@ -5,6 +5,7 @@ import collections
 import hashlib
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -387,7 +388,21 @@ def test_media(spark):
 PAGES = [
     ("<nav>Menu</nav><article><h1>T&eacute;</h1><p>Some  text\n here.<p>More <a href=x>linked</a> text</article><footer>f</footer>", "Té\nSome text here.\nMore linked text"),
     ("<header>Site</header><div class='cookie-notice'>We use cookies</div><div><h1>Title here</h1><p>A long enough paragraph of text.</p><div class='ad'>Buy</div><p>Second one.</p></div><section id='comments'><p>No!</p></section><form>Name</form>", "Title here\nA long enough paragraph of text.\nSecond one."),
-    ("", ""), (None, ""), ("<p>unfinished <b>bold <i", "unfinished bold"), ("<article><p>a<br>b</p><aside>x</aside><ul><li>one<li>two</ul></article>", "a b\none\ntwo"), ("<!-- c --><style>p{}</style><script>if(a<b)</script>plain", "plain")]
+    ("", ""), (None, ""), ("<p>unfinished <b>bold <i", "unfinished bold"), ("<article><p>a<br>b</p><aside>x</aside><ul><li>one<li>two</ul></article>", "a b\none\ntwo"), ("<!-- c --><style>p{}</style><script>if(a<b)</script>plain", "plain"),
+    # links are text between text, at the bounds of an article, and where there is nothing else
+    ("<article><p>One two.</p><p><a href=x>Only a link</a></p><p>Three.</p><p><a href=y>Last</a></p></article>", "One two.\nOnly a link\nThree.\nLast"),
+    ("<div><p><a>Only</a></p></div>", "Only"),
+    # whole names only; the article's own header
+    ("<article class='post-header'><div class='share-price-history'>Prices</div><div class='header'>By A</div><div id='related-work'>Work</div><div class='related-posts'>Other</div><div class='share-buttons'>Share</div></article>", "Prices\nBy A\nWork"),
+    # menus without an element of their own; a short last paragraph stays
+    ("<div><a>Home</a> | <a>News</a></div><p>A rather long paragraph that goes on for a while, and then some more.</p><ul><li><a>A</a><li><a>B</a><li><a>C</a></ul><p>End.</p><div><a>Imprint</a></div>", "A rather long paragraph that goes on for a while, and then some more.\nEnd.")]
+
+
+def test_html_nesting():
+    """Open elements by the thousand: time grows with the length only."""
+    began = time.monotonic()
+    assert html.main_text("<div><b>" * 30000 + "x" + "</b></div>" * 30000 + "<p>y" * 3) == "x\ny\ny\ny"
+    assert time.monotonic() - began < 10
 
 
 @pytest.mark.parametrize("page, text", PAGES)
