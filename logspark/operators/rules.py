@@ -8,8 +8,8 @@ from __future__ import annotations
 
 import datetime as dt
 from collections import deque
+from collections.abc import Iterator
 
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from ..functions.filters import VARIANT, FilterError, filter_expr, with_variant
 from ..functions.text import level_name, property_text, render_payload, segments, valid_json  # noqa: F401
 from ..schema import BY_RULE, EVERY_MATCH, FAILED, MANUAL, PENDING, TEST
+from ..session import ship
 from ..shared import cut
 from .ids import event_id
 
@@ -100,51 +101,70 @@ def reduced(matches: DataFrame) -> DataFrame:
     return matches.groupBy(*COMMIT, "dedupe_key").agg(F.sort_array(F.collect_list("id")).alias("ids"))
 
 
-_FOLD = "rule_id string, commit_ts timestamp, app_id string, day date, dedupe_key string, count int, window_start_ts timestamp, first_seen_ts timestamp, last_fired_ts timestamp, last_id bigint, fires array<bigint>"
+_FOLD = "rule_id string, dedupe_key string, at bigint, app_id string, day date, ids array<bigint>, count int, window_start bigint, first_seen bigint, last_fired bigint, last_id bigint, fires array<bigint>"
+MINUTE_MICROS = 60_000_000
+
+
+def in_sequence(rows: DataFrame, key: list[str], *order: str | Column) -> DataFrame:
+    """rows with those of a key in one partition, one after another in order: for folds that keep a few values and stream, so that a group of any size fits."""
+    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), *key).sortWithinPartitions(*key, *order)
+
+
+def _batch(out: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], f.type) for i, f in enumerate(schema)], schema=schema)
+
+
+_FOLD_ARROW = pa.schema([("rule_id", pa.string()), ("dedupe_key", pa.string()), ("at", pa.int64()), ("app_id", pa.string()), ("day", pa.date32()), ("ids", pa.list_(pa.int64())), ("count", pa.int32()),
+                         *[(c, pa.int64()) for c in ("window_start", "first_seen", "last_fired", "last_id")], ("fires", pa.list_(pa.int64()))])
 
 
 def _fold(rules: dict[str, dict]):
-    """Commits of one (rule, key) in order. All matches of a commit have one clock, so a commit has a closed form."""
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        r = rules[rows["rule_id"].iloc[0]]
-        window = pd.Timedelta(minutes=r["threshold_window_minutes"] if r["threshold_window_minutes"] is not None else r["cooldown_minutes"])
-        cooldown = pd.Timedelta(minutes=r["cooldown_minutes"])
-        least = 1 if r["trigger_type"] == EVERY_MATCH else r["threshold_count"]
-        start = seen = fired = None
-        count, out = 0, []
-        for x in rows.sort_values(["commit_ts", "app_id", "day"]).itertuples():
-            now, ids = x.commit_ts, list(x.ids)
-            if x.old_count is not None and not pd.isna(x.old_count):  # what earlier runs left
-                start, seen, count = x.window_start_ts, x.first_seen_ts, int(x.old_count)
-                fired = None if pd.isna(x.last_fired_ts) else x.last_fired_ts
-                continue
-            if start is None:
-                start = seen = now
-            elif now - start > window:
-                start, count = now, 0
-            fires: list[int] = []
-            if least is not None and not (fired is not None and now - fired < cooldown):
-                first = max(1, least - count)
-                if first <= len(ids):
-                    fires = ids[first - 1 :] if cooldown == pd.Timedelta(0) else ids[first - 1 : first]
-                    fired = now
-            count += len(ids)
-            out.append((x.rule_id, now, x.app_id, x.day, x.dedupe_key, count, start, seen, fired, ids[-1], fires))
-        return pd.DataFrame(out, columns=[c.split()[0] for c in _FOLD.split(", ")])
+    """Commits of each (rule, key) in order. All matches of a commit have one clock, so a commit has a closed form. Times are microseconds."""
+    names = ("rule_id", "dedupe_key", "at", "app_id", "day", "ids", "old_count", "window_start", "first_seen", "last_fired")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        of = None
+        for batch in batches:
+            out = []
+            for name, key, now, app, day, ids, old, old_start, old_seen, old_fired in zip(*(batch.column(c).to_pylist() for c in names), strict=True):
+                if of != (name, key):
+                    of, r = (name, key), rules[name]
+                    window = MINUTE_MICROS * (r["threshold_window_minutes"] if r["threshold_window_minutes"] is not None else r["cooldown_minutes"])
+                    cooldown = MINUTE_MICROS * r["cooldown_minutes"]
+                    least = 1 if r["trigger_type"] == EVERY_MATCH else r["threshold_count"]
+                    start = seen = fired = None
+                    count = 0
+                if old is not None:  # what earlier runs left
+                    start, seen, count, fired = old_start, old_seen, old, old_fired
+                    continue
+                if start is None:
+                    start = seen = now
+                elif now - start > window:
+                    start, count = now, 0
+                fires: list[int] = []
+                if least is not None and not (fired is not None and now - fired < cooldown):
+                    first = max(1, least - count)
+                    if first <= len(ids):
+                        fires = ids[first - 1 :] if cooldown == 0 else ids[first - 1 : first]
+                        fired = now
+                count += len(ids)
+                out.append((name, key, now, app, day, ids, count, start, seen, fired, ids[-1], fires))
+            yield _batch(out, _FOLD_ARROW)
     return run
 
 
 def fold_occurrences(rows: DataFrame, rules: list[dict], occurrences: DataFrame | None = None) -> DataFrame:
-    """A row for each (rule, key, commit): the occurrence after it, and the ids that fire, caps aside."""
-    kinds = "rule_id string, commit_ts timestamp, app_id string, day date, dedupe_key string, ids array<bigint>, old_count int, window_start_ts timestamp, first_seen_ts timestamp, last_fired_ts timestamp"
-    new = rows.select("rule_id", "commit_ts", "app_id", "day", "dedupe_key", "ids", F.lit(None).cast("int").alias("old_count"), *[F.lit(None).cast("timestamp").alias(c) for c in ("window_start_ts", "first_seen_ts", "last_fired_ts")])
+    """A row for each (rule, key, commit), with its ids: the occurrence after it, and the ids that fire, caps aside."""
+    ship(rows.sparkSession)
+    times = {"window_start_ts": "window_start", "first_seen_ts": "first_seen", "last_fired_ts": "last_fired"}
+    new = rows.select("rule_id", "dedupe_key", F.unix_micros("commit_ts").alias("at"), "app_id", "day", "ids", F.lit(None).cast("int").alias("old_count"), *[F.lit(None).cast("bigint").alias(c) for c in times.values()])
     if occurrences is not None:
-        past = F.lit("1970-01-01").cast("timestamp")
         old = occurrences.join(rows.select("rule_id", "dedupe_key").distinct(), ["rule_id", "dedupe_key"], "left_semi").select(
-            "rule_id", past.alias("commit_ts"), F.lit("").alias("app_id"), F.to_date(past).alias("day"), "dedupe_key", F.array().cast("array<bigint>").alias("ids"), F.col("count").alias("old_count"), "window_start_ts", "first_seen_ts", "last_fired_ts")
+            "rule_id", "dedupe_key", F.lit(None).cast("bigint").alias("at"), F.lit("").alias("app_id"), F.lit(None).cast("date").alias("day"), F.array().cast("array<bigint>").alias("ids"), F.col("count").alias("old_count"), *[F.unix_micros(c).alias(x) for c, x in times.items()])
         new = new.unionByName(old)
-    assert [f.name for f in new.schema] == [k.split()[0] for k in kinds.split(", ")]
-    return new.groupBy("rule_id", "dedupe_key").applyInPandas(_fold({r["id"]: r for r in rules}), _FOLD)
+    # an earlier state has no time: it comes first
+    folded = in_sequence(new, ["rule_id", "dedupe_key"], F.col("at").asc_nulls_first(), "app_id", "day").mapInArrow(_fold({r["id"]: r for r in rules}), _FOLD)
+    return folded.select("rule_id", F.timestamp_micros("at").alias("commit_ts"), "app_id", "day", "dedupe_key", "ids", "count", *[F.timestamp_micros(x).alias(c) for c, x in times.items()], "last_id", "fires")
 
 
 _DECIDED = "destination_id string, hour bigint, rule_id string, at bigint, app_id string, day date, id bigint, verdict string"
@@ -153,56 +173,53 @@ HOUR_MICROS = 3_600_000_000
 
 
 def _cap(rules: dict[str, dict], limits: dict[str, int]):
-    """The hourly caps of a destination and of its rules, over the commits of one hour in order. Times are microseconds.
+    """The hourly caps of each destination and of its rules, over commits in order. Times are microseconds.
 
-    before: what was sent in the hour before, as it counts until it is an hour old; off: rules that an earlier hour disabled.
+    What is kept: what was sent in the last hour, and the rules that have ended.
     """
-    def run(rows: pa.Table) -> pa.Table:
-        rows = rows.to_pylist()
-        destination, segment = rows[0]["destination_id"], rows[0]["hour"]
-        limit = limits.get(destination)
-        sent: deque = deque()
-        of: dict[str, deque] = {}
-        for x in rows[0]["before"]:
-            sent.append(x["at"])
-            of.setdefault(x["rule_id"], deque()).append(x["at"])
-        off = set(rows[0]["off"])
-        out = []
-        for x in sorted(rows, key=lambda x: (x["at"], x["app_id"], x["day"], x["rule_id"])):
-            now, name, ids, is_storm = x["at"], x["rule_id"], x["ids"], x["kind"] == "storm"
-            rule, own = rules.get(name), of.setdefault(name, deque())
-            for q in (sent, own):
-                while q and q[0] < now - HOUR_MICROS:
-                    q.popleft()
-            if x["kind"] == "past":
-                sent.append(now)
-                own.append(now)
-                continue
-            if name in off or rule is None:
-                continue
-            fires, inside = set(x["fires"]), len(own)
-            # a commit finds the cap reached before its first match; a storm is asked then only
-            for k, i in enumerate(ids):
-                verdict = None
-                if inside >= rule["max_fires_per_hour"] and not (is_storm and k):
-                    off.add(name)
-                    verdict = "disabled"
-                elif i in fires:
-                    inside += 1
-                    verdict = "dry run" if rule["is_dry_run"] else "no destination" if limit is None else "rate limited" if len(sent) >= limit else "storm" if is_storm else "delivered"
-                    if verdict in SENT:
-                        sent.append(now)
-                        own.append(now)
-                if verdict:
-                    out.append({"destination_id": destination, "hour": segment, "rule_id": name, "at": now, "app_id": x["app_id"], "day": x["day"], "id": i, "verdict": verdict})
-                if verdict == "disabled":
-                    break
-        return pa.Table.from_pylist(out, schema=_DECIDED_ARROW)
+    names = ("destination_id", "hour", "at", "app_id", "day", "rule_id", "kind", "ids", "fires")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        of = None
+        for batch in batches:
+            out = []
+            for destination, hour, now, app, day, name, kind, ids, fires in zip(*(batch.column(c).to_pylist() for c in names), strict=True):
+                if of != destination:
+                    of, limit, sent, by_rule, off = destination, limits.get(destination), deque(), {}, set()
+                if name in off:
+                    continue
+                rule, own, is_storm = rules.get(name), by_rule.setdefault(name, deque()), kind == "storm"
+                for q in (sent, own):
+                    while q and q[0] < now - HOUR_MICROS:
+                        q.popleft()
+                if kind == "past":
+                    sent.append(now)
+                    own.append(now)
+                    continue
+                if rule is None:
+                    continue
+                fired, inside = set(fires), len(own)
+                # a commit finds the cap reached before its first match; a storm is asked then only
+                for k, i in enumerate(ids):
+                    verdict = None
+                    if inside >= rule["max_fires_per_hour"] and not (is_storm and k):
+                        off.add(name)
+                        verdict = "disabled"
+                    elif i in fired:
+                        inside += 1
+                        verdict = "dry run" if rule["is_dry_run"] else "no destination" if limit is None else "rate limited" if len(sent) >= limit else "storm" if is_storm else "delivered"
+                        if verdict in SENT:
+                            sent.append(now)
+                            own.append(now)
+                    if verdict:
+                        out.append((destination, hour, name, now, app, day, i, verdict))
+                    if verdict == "disabled":
+                        break
+            yield _batch(out, _DECIDED_ARROW)
     return run
 
 
 _DECIDED_ARROW = pa.schema([("destination_id", pa.string()), ("hour", pa.int64()), ("rule_id", pa.string()), ("at", pa.int64()), ("app_id", pa.string()), ("day", pa.date32()), ("id", pa.int64()), ("verdict", pa.string())])
-_BEFORE = "array<struct<at:bigint,rule_id:string>>"
 
 
 def _busy_hours(rows: DataFrame, rules: list[dict], limits: dict[str, int]) -> DataFrame:
@@ -222,29 +239,12 @@ def _busy_hours(rows: DataFrame, rules: list[dict], limits: dict[str, int]) -> D
     return rule.select("destination_id", "hour").union(destination.select("destination_id", "hour")).distinct()
 
 
-def _ends(decided: DataFrame) -> DataFrame:
-    """(destination_id, rule_id, end): the hour in which a rule is disabled."""
-    return decided.where("verdict = 'disabled'").groupBy("destination_id", "rule_id").agg(F.min("hour").alias("end"))
-
-
-def _entries(busy: DataFrame, past: DataFrame, decided: DataFrame) -> DataFrame:
-    """(destination_id, hour, before, off) for each busy hour: what was sent in the hour before it, and the rules that ended in any earlier one."""
-    sends = past.unionByName(decided.where(F.col("verdict").isin(*SENT)).select("destination_id", "hour", "at", "rule_id"))
-    # an hour's sends are as many as the destination's limit, besides those of earlier runs
-    before = sends.withColumn("hour", F.col("hour") + 1).join(busy, ["destination_id", "hour"], "left_semi").groupBy("destination_id", "hour").agg(F.sort_array(F.collect_list(F.struct("at", "rule_id"))).alias("before"))
-    ends = _ends(decided).groupBy("destination_id").agg(F.collect_list(F.struct("rule_id", "end")).alias("ends"))  # a destination's rules at most
-    gone = F.array_sort(F.transform(F.filter(F.coalesce("ends", F.array().cast("array<struct<rule_id:string,end:bigint>>")), lambda x: x["end"] < F.col("hour")), lambda x: x["rule_id"]))
-    out = busy.join(before, ["destination_id", "hour"], "left").join(ends, "destination_id", "left")
-    return out.select("destination_id", "hour", F.coalesce("before", F.array().cast(_BEFORE)).alias("before"), gone.alias("off"))
-
-
 def apply_caps(folded: DataFrame, storms: DataFrame, rules: list[dict], destinations: list[dict], deliveries: DataFrame | None = None) -> DataFrame:
     """(rule, commit, id, verdict) for what fires and for the points where a rule is disabled.
 
-    In most hours of a destination the fires of the hour and of the one before are too few for any cap; there every fire is delivered. The other hours are folded side
-    by side. What an hour needs to know of those before it is what the hour before sent and which rules have ended. That is guessed at first, from the calm hours alone,
-    and hours whose guess turns out wrong are folded again with what the last round gave, until all agree. The first busy hour is right in the first round, and each
-    round settles at least one more of a run of busy hours; runs apart from each other are settled at once.
+    In most hours of a destination the fires of the hour and of the one before are too few for any cap; there every fire is delivered, unless its rule has ended. The
+    other hours are one sequence for each destination, since what may be sent depends on what was sent in the hour before: their commits, and those of the hours that
+    they look back to, stream through one fold in order, and destinations are folded side by side. The fold holds an hour's sends, whatever the number of commits.
     """
     names = F.create_map(*[F.lit(x) for r in rules for x in (r["id"], r["destination_id"])])
     normal = folded.groupBy(*COMMIT).agg(F.sort_array(F.flatten(F.collect_list("ids"))).alias("ids"), F.flatten(F.collect_list("fires")).alias("fires")).withColumn("kind", F.lit("commit"))
@@ -258,27 +258,12 @@ def apply_caps(folded: DataFrame, storms: DataFrame, rules: list[dict], destinat
     key, names = ["destination_id", "hour"], [k.split()[0] for k in _DECIDED.split(", ")]
     busy = cut(_busy_hours(rows, rules, limits))
     verdict = F.when(F.col("rule_id").isin([r["id"] for r in rules if r["is_dry_run"]]), F.lit("dry run")).when(~F.col("destination_id").isin(list(limits)), F.lit("no destination")).otherwise(F.when(F.col("kind") == "storm", "storm").otherwise("delivered"))
-    calm = rows.where("kind <> 'past'").join(busy, key, "left_anti").withColumn("id", F.explode("fires")).withColumn("verdict", verdict).select(names)
-    past, of_busy = rows.where("kind = 'past'").select("destination_id", "hour", "at", "rule_id"), rows.join(busy, key, "left_semi")
-
-    def whole(folds: DataFrame) -> DataFrame:
-        """All verdicts: those of calm hours, but for rules that ended in a busy hour before."""
-        return calm.join(_ends(folds), ["destination_id", "rule_id"], "left").where("end is null or hour < end").select(names).unionByName(folds)
-
-    def folded_again(entries: DataFrame) -> DataFrame:
-        return of_busy.join(entries, key).groupBy(*key).applyInArrow(_cap({r["id"]: r for r in rules}, limits), _DECIDED)
-
-    decided, used = calm, None
-    if not busy.isEmpty():
-        folds = None
-        while True:
-            entries = cut(_entries(busy, past, decided))
-            wrong = entries if used is None else entries.join(used, [*key, "before", "off"], "left_anti")
-            if wrong.isEmpty():
-                break
-            again = folded_again(wrong)
-            folds = cut(again if folds is None else folds.join(wrong.select(*key), key, "left_anti").unionByName(again))
-            decided, used = whole(folds), entries
+    looked_at = busy.union(busy.select("destination_id", F.col("hour") - 1)).distinct()
+    ship(rows.sparkSession)
+    folds = cut(in_sequence(rows.join(looked_at, key, "left_semi"), ["destination_id"], "at", "app_id", "day", "rule_id").mapInArrow(_cap({r["id"]: r for r in rules}, limits), _DECIDED))
+    calm = rows.where("kind <> 'past'").join(looked_at, key, "left_anti").withColumn("id", F.explode("fires")).withColumn("verdict", verdict).select(names)
+    ends = folds.where("verdict = 'disabled'").groupBy("destination_id", "rule_id").agg(F.min("hour").alias("end"))
+    decided = calm.join(ends, ["destination_id", "rule_id"], "left").where("end is null or hour < end").select(names).unionByName(folds)
     return decided.withColumn("commit_ts", F.timestamp_micros("at")).drop(*key, "at")
 
 
@@ -342,7 +327,7 @@ def evaluate_rules(events: DataFrame, rules: list[dict], destinations: list[dict
     calm, storms = split_storms(matches)
     rows = cut(reduced(calm))
     folded = cut(fold_occurrences(rows, rules, occurrences))
-    decided = cut(apply_caps(folded.join(rows.select(*COMMIT, "dedupe_key", "ids"), [*COMMIT, "dedupe_key"]), storms, rules, destinations, deliveries))
+    decided = cut(apply_caps(folded, storms, rules, destinations, deliveries))
     off = decided.where("verdict = 'disabled'").groupBy("rule_id").agg(F.min(F.struct("commit_ts", "app_id", "day", "id")).alias("end"))
     before = F.col("end").isNull() | (F.struct("commit_ts", "app_id", "day", "id") < F.col("end"))
     again = folded

@@ -68,6 +68,19 @@ def test_caps_by_hour_equal_one_sequence(spark):
     assert got == expected and {v for *_, v in got} == {"disabled", "dry run", "no destination", "rate limited", "storm", "delivered"}
 
 
+def test_a_long_run_of_busy_hours_is_one_pass(spark, monkeypatch):
+    """Each hour depends on the one before; the steps don't grow with the hours."""
+    rules, day = [R.default_rule(id=f"r{i}", destination_id="d", max_fires_per_hour=1000 if i else 30) for i in range(2)], T0.date()
+    commits = [("d", T0 + dt.timedelta(seconds=411 * n), "app", f"r{n % 2}", [n], [n], "commit") for n in range(400)]
+    commits += [("d", T0 + dt.timedelta(hours=20, seconds=n), "app", "r0", [1000 + n], [], "commit") for n in range(5)]
+    folded = spark.createDataFrame([(c[3], c[1], c[2], day, "k", c[4], c[5]) for c in commits], "rule_id string, commit_ts timestamp, app_id string, day date, dedupe_key string, ids array<bigint>, fires array<bigint>")
+    storms = spark.createDataFrame([], "rule_id string, commit_ts timestamp, app_id string, day date, n bigint, id bigint")
+    cuts, cut = [], R.cut
+    monkeypatch.setattr(R, "cut", lambda df: cuts.append(1) or cut(df))
+    got = {(x.rule_id, x.commit_ts, x.app_id, x.id, x.verdict) for x in R.apply_caps(folded, storms, rules, [{"id": "d", "rate_limit_per_hour": 3, "body_template": ""}]).collect()}
+    assert got == in_order(commits, rules, {"d": 3}) and {v for *_, v in got} == {"rate limited", "delivered"} and len(cuts) <= 4
+
+
 def events(spark, rows):
     """(app, id, seconds, level, bag) with a commit at the event's time."""
     return spark.createDataFrame([(a, T0.date(), i, T0 + dt.timedelta(seconds=s), lv, "T", f"m{i}", None, 1, None, None, None, None, bag, T0 + dt.timedelta(seconds=s)) for a, i, s, lv, bag in rows], LOG_EVENT + ", commit_ts timestamp")
