@@ -126,13 +126,17 @@ def parse_plain(bodies: DataFrame, now) -> DataFrame:
     A body that isn't JSON as a whole is one event with an error (item null), and so is an item that isn't an object. Properties that aren't an object are none.
     """
     others = [F.col(f"`{c}`") for c in bodies.columns if c != "body"]
-    valid = valid_json(F.col("body"))
-    body = F.trim("body")
-    as_list = F.when(valid, F.when(body.startswith("["), body).otherwise(F.concat(F.lit("["), body, F.lit("]"))))
-    items = bodies.select(*others, F.from_json(as_list, "array<string>").alias("items")).where("items is null or size(items) > 0")
-    e = items.select(*others, F.posexplode_outer("items").alias("pos", "item"))
-    is_object = F.coalesce(F.trim("item").startswith("{"), F.lit(False))
-    e = e.select(*others, (F.col("pos") + 1).alias("item"), F.from_json("item", PLAIN).alias("e"), is_object.alias("is_object"))
+
+    def as_items(body: Column) -> Column:
+        text = F.trim(body)
+        listed = F.when(valid_json(body), F.when(text.startswith("["), text).otherwise(F.concat(F.lit("["), text, F.lit("]"))))
+        return F.coalesce(F.transform(F.from_json(listed, "array<string>"), lambda x, i: F.struct((i + 1).alias("n"), x.alias("text"))), F.array(F.struct(F.lit(None).cast("int").alias("n"), F.lit(None).cast("string").alias("text"))))
+
+    # the body is bound once, as the value of a lambda, and no condition stands on items: as one, it would be pushed down with the whole body in each of its places
+    items = F.element_at(F.transform(F.array("body"), as_items), 1)
+    e = bodies.select(*others, F.explode_outer(items).alias("i")).where("i is not null")  # an empty list has none
+    is_object = F.coalesce(F.trim("i.text").startswith("{"), F.lit(False))
+    e = e.select(*others, F.col("i.n").alias("item"), F.from_json("i.text", PLAIN).alias("e"), is_object.alias("is_object"))
     stamp = F.when(F.col("e.timestamp").isNull(), at(now)).otherwise(F.try_to_timestamp("e.timestamp"))
     bag = F.coalesce(F.when(F.trim("e.properties").startswith("{"), F.col("e.properties")), F.lit("{}"))
     error = F.when(~F.col("is_object"), F.lit("not a JSON object")).when(stamp.isNull(), F.lit("invalid timestamp"))
