@@ -17,8 +17,7 @@ from pyspark.sql import functions as F
 from ..functions.filters import VARIANT, FilterError, filter_expr, with_variant
 from ..functions.text import level_name, property_text, render_payload, segments, valid_json  # noqa: F401
 from ..schema import BY_RULE, EVERY_MATCH, FAILED, MANUAL, PENDING, TEST
-from ..session import ship
-from ..shared import cut
+from ..shared import cut, in_sequence
 from .ids import event_id
 
 # Matches of a rule in a commit above which it is a storm; minutes that an event stays fresh; days of occurrences.
@@ -105,11 +104,6 @@ _FOLD = "rule_id string, dedupe_key string, at bigint, app_id string, day date,
 MINUTE_MICROS = 60_000_000
 
 
-def in_sequence(rows: DataFrame, key: list[str], *order: str | Column) -> DataFrame:
-    """rows with those of a key in one partition, one after another in order: for folds that keep a few values and stream, so that a group of any size fits."""
-    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), *key).sortWithinPartitions(*key, *order)
-
-
 def _batch(out: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], f.type) for i, f in enumerate(schema)], schema=schema)
 
@@ -155,7 +149,6 @@ def _fold(rules: dict[str, dict]):
 
 def fold_occurrences(rows: DataFrame, rules: list[dict], occurrences: DataFrame | None = None) -> DataFrame:
     """A row for each (rule, key, commit), with its ids: the occurrence after it, and the ids that fire, caps aside."""
-    ship(rows.sparkSession)
     times = {"window_start_ts": "window_start", "first_seen_ts": "first_seen", "last_fired_ts": "last_fired"}
     new = rows.select("rule_id", "dedupe_key", F.unix_micros("commit_ts").alias("at"), "app_id", "day", "ids", F.lit(None).cast("int").alias("old_count"), *[F.lit(None).cast("bigint").alias(c) for c in times.values()])
     if occurrences is not None:
@@ -259,7 +252,6 @@ def apply_caps(folded: DataFrame, storms: DataFrame, rules: list[dict], destinat
     busy = cut(_busy_hours(rows, rules, limits))
     verdict = F.when(F.col("rule_id").isin([r["id"] for r in rules if r["is_dry_run"]]), F.lit("dry run")).when(~F.col("destination_id").isin(list(limits)), F.lit("no destination")).otherwise(F.when(F.col("kind") == "storm", "storm").otherwise("delivered"))
     looked_at = busy.union(busy.select("destination_id", F.col("hour") - 1)).distinct()
-    ship(rows.sparkSession)
     folds = cut(in_sequence(rows.join(looked_at, key, "left_semi"), ["destination_id"], "at", "app_id", "day", "rule_id").mapInArrow(_cap({r["id"]: r for r in rules}, limits), _DECIDED))
     calm = rows.where("kind <> 'past'").join(looked_at, key, "left_anti").withColumn("id", F.explode("fires")).withColumn("verdict", verdict).select(names)
     ends = folds.where("verdict = 'disabled'").groupBy("destination_id", "rule_id").agg(F.min("hour").alias("end"))

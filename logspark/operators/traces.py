@@ -6,10 +6,15 @@ with_spans().
 
 from __future__ import annotations
 
-import pandas as pd
+from collections.abc import Iterator
+from itertools import groupby
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from ..shared import in_sequence
 from .ids import event_id
 from .search import at, newest_days
 
@@ -57,41 +62,74 @@ def link_spans(events: DataFrame) -> DataFrame:
     events = with_spans(events) if not {"start_ts", "parent_span_id"} <= set(events.columns) else events
     e = events.withColumn("is_span", F.coalesce((F.col("start_ts") <= F.col("ts")), F.lit(False)))
     key = F.when(F.col("is_span"), F.col("parent_span_id")).otherwise(F.col("span_id"))
-    first = e.where("is_span and span_id <> ''").groupBy("trace_id", F.col("span_id").alias("__key")).agg(F.min("place").alias("parent"))
-    joined = e.withColumn("__key", F.nullif(key, F.lit(""))).join(first, ["trace_id", "__key"], "left").drop("__key")
-    return joined.withColumn("parent", F.when(F.col("parent") != F.col("place"), F.col("parent")))
-
-
-_TREE = "trace_id string, place int, parent int, depth int, row int"
-
-
-def _tree(rows: pd.DataFrame) -> pd.DataFrame:
-    """Rings cut, depth, and depth-first row numbers of one trace of at most MOST rows."""
-    rows = rows.sort_values("place")
-    parent = {int(p): None if pd.isna(q) else int(q) for p, q in zip(rows["place"], rows["parent"], strict=True)}
-    for node in parent:
-        seen, up = 0, parent[node]
-        while up is not None and up != node and seen <= len(parent):
-            up, seen = parent.get(up), seen + 1
-        if up is not None:  # back at the node, or in a ring above it
+    # a row under the key that it looks for, and, of spans with an id, one under its own; both stay in the trace's partition, so events are neither read twice nor shuffled again
+    look = F.struct(F.nullif(key, F.lit("")).alias("key"), F.lit(False).alias("own"))
+    own = F.when(F.col("is_span") & (F.col("span_id") != ""), F.struct(F.col("span_id").alias("key"), F.lit(True).alias("own")))
+    both = e.withColumn("__k", F.explode_outer(F.array_compact(F.array(look, own))))
+    rest = [F.when(~F.col("__k.own"), F.col(c)).alias(c) for c in e.columns if c not in ("trace_id", "place")]
+    both = both.select("trace_id", "place", *rest, F.col("__k.key").alias("__key"), F.col("__k.own").alias("__own"))
+    first = F.min(F.when(F.col("__own"), F.col("place"))).over(Window.partitionBy("trace_id", "__key"))
+    found = both.withColumn("parent", F.when(F.col("trace_id").isNotNull() & F.col("__key").isNotNull(), first)).where("not __own")
+    return found.select(*e.columns, F.when(F.col("parent") != F.col("place"), F.col("parent")).alias("parent"))
+
+
+def _tree(places: list[int], parents: list[int | None], begins: list[tuple]) -> list[tuple[int | None, int, int]]:
+    """(parent, depth, row) for each place of one trace of at most MOST rows, in order: rings cut, depth, and depth-first row numbers."""
+    parent, rooted = dict(zip(places, parents, strict=True)), set()
+    for node in places:
+        path, up = [], node
+        while up is not None and up not in rooted and up not in path[:1] and len(path) <= len(parent):
+            path.append(up)
+            up = parent.get(up)
+        if up is not None and up not in rooted:  # back at the node, or in a ring above it
             parent[node] = None
-    begins = dict(zip(rows["place"].astype(int), zip(rows["begin"], rows["ts"], rows["app_id"], rows["event_id"], strict=True), strict=True))
+            path = [node]
+        rooted.update(path)
+    begin = dict(zip(places, begins, strict=True))
     below: dict[int | None, list[int]] = {}
-    for node in sorted(parent, key=begins.__getitem__, reverse=True):
+    for node in sorted(parent, key=begin.__getitem__, reverse=True):
         below.setdefault(parent[node], []).append(node)
-    out, todo = [], [(node, 0) for node in below.get(None, [])]
+    out, todo = {}, [(node, 0) for node in below.get(None, [])]
     while todo:
         node, depth = todo.pop()
-        out.append((rows["trace_id"].iloc[0], node, parent[node], depth, len(out) + 1))
+        out[node] = (parent[node], depth, len(out) + 1)
         todo += [(child, depth + 1) for child in below.get(node, [])]
-    return pd.DataFrame(out, columns=["trace_id", "place", "parent", "depth", "row"]).astype({"parent": "Int32"})
+    return [out[node] for node in places]
+
+
+def _trees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows in order of trace and place, with what _tree() gives in place of parent and the columns that it needs; a trace may go on in the next batch."""
+    def finished(rows: pa.Table, lengths: list[int]) -> Iterator[pa.RecordBatch]:
+        places, parents = rows["place"].to_pylist(), rows["parent"].to_pylist()
+        begins = list(zip(*(rows[c].to_pylist() for c in ("__begin", "__ts", "app_id", "event_id")), strict=True))
+        got, i = [], 0
+        for n in lengths:
+            got += _tree(places[i : i + n], parents[i : i + n], begins[i : i + n])
+            i += n
+        out = rows.drop_columns(["parent", "__begin", "__ts"])
+        for k, name in enumerate(("parent", "depth", "row")):
+            out = out.append_column(name, pa.array([x[k] for x in got], pa.int32()))
+        return iter(out.combine_chunks().to_batches())
+
+    open_ = None
+    for batch in batches:
+        rows = pa.Table.from_batches([batch]) if open_ is None else pa.concat_tables([open_, pa.Table.from_batches([batch])])
+        lengths = [len(list(g)) for _, g in groupby(rows["trace_id"].to_pylist())]
+        if len(lengths) > 1:
+            done = len(rows) - lengths[-1]
+            yield from finished(rows.slice(0, done), lengths[:-1])
+            rows = rows.slice(done)
+        open_ = rows
+    if open_ is not None and len(open_):
+        yield from finished(open_, [len(open_)])
 
 
 def span_tree(linked: DataFrame) -> DataFrame:
-    """Adds depth and row, and replaces parent by null where a ring was cut. Groups are bounded by limit_traces()."""
+    """Adds depth and row, and replaces parent by null where a ring was cut. Traces stream in order, each bounded by limit_traces()."""
     begin = F.when(F.col("is_span"), F.col("start_ts")).otherwise(F.col("ts"))
-    tree = linked.select("trace_id", "place", "parent", begin.alias("begin"), "ts", "app_id", "event_id").groupBy("trace_id").applyInPandas(_tree, _TREE)
-    return linked.drop("parent").join(tree, ["trace_id", "place"])
+    rows = in_sequence(linked.withColumn("__begin", F.unix_micros(begin)).withColumn("__ts", F.unix_micros("ts")), ["trace_id"], "place")
+    kept = [f for f in linked.schema if f.name != "parent"]
+    return rows.mapInArrow(_trees, T.StructType([*kept, *[T.StructField(c, T.IntegerType()) for c in ("parent", "depth", "row")]]))
 
 
 def waterfall(linked: DataFrame) -> DataFrame:

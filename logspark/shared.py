@@ -6,9 +6,11 @@ import tempfile
 import uuid
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .session import ship
+
 _own: dict[str, str] = {}
 
 
@@ -30,6 +32,12 @@ def cut(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def in_sequence(rows: DataFrame, key: list[str], *order: str | Column) -> DataFrame:
+    """rows with those of a key in one partition, one after another in order: for folds that keep a few values and stream, so that a group of any size fits."""
+    spark = ship(rows.sparkSession)
+    return rows.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), *key).sortWithinPartitions(*key, *order)
+
+
 def read_or_none(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame | None:
     """A table, or None where there is no such folder."""
     try:

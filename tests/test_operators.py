@@ -182,3 +182,24 @@ def test_plans_have_no_cross_product(spark):
     for name in ("context_window", "search_page", "match_rules", "event_ids"):
         plan = entry.queries()[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
         assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan, name
+
+
+def test_bodies_are_computed_once_in_plain_parsing(spark):
+    """Bodies made by an expression, whose cost once multiplied with the places that read them; the whole plan holds it once."""
+    made = spark.range(4).select("id", F.expr("concat('{\"message\":\"', reverse(cast(id as string)), '\"}')").alias("body"))
+    out = clef.parse_plain(made, T0).select("id", "message")
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("reverse(") == 1 and sorted(r.message for r in out.collect()) == ["0", "1", "2", "3"]
+    odd = spark.createDataFrame([(0, "[]"), (1, None), (2, "[1, {}]"), (3, "{} {}")], "id long, body string")
+    assert sorted((r.id, r.item, r.error) for r in clef.parse_plain(odd, T0).collect() if r.id != 1 and r.id != 3) == [(2, 1, "not a JSON object"), (2, 2, None)]
+    assert [(r.item, r.error) for r in clef.parse_plain(odd, T0).collect() if r.id in (1, 3)] == [(None, "not a JSON object")] * 2
+
+
+def test_spans_are_linked_and_placed_without_a_join(spark):
+    """Events are read once: neither parents nor rows of the tree come by a join of the events with themselves. Traces go on over Arrow batches."""
+    rows = spark.range(3000).selectExpr("concat('t', id % 3) as trace_id", "'a' as app_id", "cast(id as string) as event_id", "timestamp_seconds(id + 10) as ts", "timestamp_seconds(id) as start_ts",
+                                        "concat('s', id) as span_id", "case when id > 2 then concat('s', id - 3) end as parent_span_id", "2 as level")
+    out = traces.span_tree(traces.link_spans(traces.limit_traces(rows, 2000)))
+    assert "Join" not in out._jdf.queryExecution().optimizedPlan().toString()
+    got = out.select("trace_id", "place", "parent", "depth", "row").collect()
+    assert len(got) == 3000 and all(r.depth == r.place - 1 and r.row == r.place and r.parent == (r.place - 1 or None) for r in got)
