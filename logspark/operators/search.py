@@ -5,10 +5,14 @@ from __future__ import annotations
 import datetime
 import json
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.filters import VARIANT, FilterError, filter_expr, text_search, with_variant
+from ..session import ship
 from .ids import decode_cursor, encode_cursor, parse_event_id
 
 When = datetime.datetime | str | None
@@ -78,17 +82,38 @@ def count_by_event_type(events: DataFrame, types: DataFrame, key: str = "event_t
     return types.join(counts, ["app_id", key], "left").withColumn("n", F.coalesce("n", F.lit(0)))
 
 
+def _nearest(width: int, limit: int, schema: list[str]):
+    """Events and anchors of an app and bucket to the anchors' newest events, in order."""
+    def run(events: pa.Table, anchors: pa.Table) -> pa.Table:
+        number = lambda c: c.combine_chunks().cast(pa.int64()).to_numpy()
+        order = np.lexsort((-number(events["id"]), -number(events["day"].cast(pa.int32()))))
+        ts = number(events["__ts"])[order]
+        found = [np.flatnonzero(np.abs(ts - x) <= width)[:limit] for x in number(anchors["__ts"])] if len(events) else [ts[:0]] * len(anchors)
+        sizes = [len(x) for x in found]
+        e = events.take(pa.array(order[np.concatenate(found).astype(np.int64)])) if sum(sizes) else events.slice(0, 0)
+        a = anchors.take(pa.array(np.repeat(np.arange(len(anchors)), sizes)))
+        rank = pa.array(np.concatenate([np.arange(1, n + 1) for n in sizes]).astype(np.int32) if sizes else [], pa.int32())
+        columns = {"rank": rank} | {c: a[c] for c in a.column_names} | {c: e[c] for c in e.column_names}
+        return pa.table([columns[c] for c in schema], names=schema)
+    return run
+
+
 def context_window(events: DataFrame, anchors: DataFrame, minutes: int = 2, limit: int = 80) -> DataFrame:
-    """Events of the anchor's app within some minutes of it, the newest limit of each anchor (app_id, anchor_id, anchor_ts).
+    """Events of the anchor's app within some minutes of it, the newest limit of each anchor: a row of (app_id, anchor_id, anchor_ts).
 
-    A range join: anchors stand in three buckets of that width, events in one; buckets and app are the join's keys.
+    Anchors stand in a bucket of that width, events in three; a bucket's events are put in order once, and each anchor takes its first ones from there. Pairs are never
+    rows: their number grows with the square of what a bucket holds.
     """
-    width = minutes * 60_000_000
-    bucket = F.floor(F.unix_micros("ts") / F.lit(width))
-    a = anchors.withColumn("__b", F.explode(F.sequence(F.floor(F.unix_micros("anchor_ts") / F.lit(width)) - 1, F.floor(F.unix_micros("anchor_ts") / F.lit(width)) + 1)))
-    near = events.withColumn("__b", bucket).join(a, ["app_id", "__b"]).where(F.abs(F.unix_micros("ts") - F.unix_micros("anchor_ts")) <= width).drop("__b")
-    rank = F.row_number().over(Window.partitionBy("app_id", "anchor_id").orderBy(F.col("day").desc(), F.col("id").desc()))
-    return near.withColumn("rank", rank).where(F.col("rank") <= limit)
+    ship(events.sparkSession)
+    width, key = minutes * 60_000_000, ["app_id", "__b"]
+    bucket = F.floor(F.col("__ts") / F.lit(width))
+    a = anchors.withColumn("__ts", F.unix_micros("anchor_ts")).withColumn("__b", bucket).dropna(subset=["app_id", "__ts"])
+    e = events.withColumn("__ts", F.unix_micros("ts")).dropna(subset=["app_id", "__ts"]).withColumn("__b", F.explode(F.sequence(bucket - 1, bucket + 1)))
+    e = e.join(a.select(*key).distinct(), key, "left_semi")
+    mine = [f for f in anchors.schema if f.name != "app_id"]
+    schema = T.StructType([*events.schema, *mine, T.StructField("rank", T.IntegerType())])
+    a = a.select(F.col("app_id").alias("__app"), F.col("__b").alias("__a"), "__ts", *[f.name for f in mine])  # columns of its own, where both sides come from one table
+    return e.groupBy(*key).cogroup(a.groupBy("__app", "__a")).applyInArrow(_nearest(width, limit, schema.names), schema)
 
 
 def discover_properties(events: DataFrame, limit: int = 20) -> DataFrame:

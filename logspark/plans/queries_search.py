@@ -111,7 +111,7 @@ def count_by_type(spark, d):
 def context_window(spark, d):
     log = log_events(spark, d)
     anchors = log.where("level = 5").select("app_id", F.col("event_id").alias("anchor_id"), F.col("ts").alias("anchor_ts"))
-    return search.context_window(log, anchors, minutes=20).select("app_id", "anchor_id", "event_id", F.col("rank").cast("long").alias("rank"))
+    return search.context_window(log.select("app_id", "day", "id", "ts", "event_id"), anchors, minutes=20).select("app_id", "anchor_id", "event_id", F.col("rank").cast("long").alias("rank"))
 
 
 _NAMES = "['UserId', 'Value', 'K', CASE WHEN k % 5 < 3 THEN 'TenantId' END, CASE WHEN k % 2 = 0 THEN 'Region' END, CASE WHEN k % 5 < 3 THEN 'Machine' END, 'Flag', CASE WHEN k % 11 = 0 THEN 'Nothing' END]"

@@ -203,3 +203,16 @@ def test_spans_are_linked_and_placed_without_a_join(spark):
     assert "Join" not in out._jdf.queryExecution().optimizedPlan().toString()
     got = out.select("trace_id", "place", "parent", "depth", "row").collect()
     assert len(got) == 3000 and all(r.depth == r.place - 1 and r.row == r.place and r.parent == (r.place - 1 or None) for r in got)
+
+
+def test_context_windows_make_no_pairs(spark):
+    """The newest events of each anchor by day and id, from a table where every event is near every anchor: 400 rows leave 5 an anchor, and no step holds their 160,000 pairs."""
+    events = log(spark, 400).withColumn("ts", F.lit(T0) + F.make_dt_interval(secs=F.col("id") % 100))
+    anchors = events.select("app_id", F.col("id").alias("anchor_id"), F.col("ts").alias("anchor_ts"))
+    out = search.context_window(events, anchors, minutes=1, limit=5)
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    got, secs = {}, {i: i % 100 for i in range(1, 401)}
+    for r in out.select("anchor_id", "id", "rank").collect():
+        got.setdefault(r.anchor_id, {})[r.rank] = r.id
+    assert "Join Inner" not in plan and len(got) == 400
+    assert all([got[i][k] for k in range(1, 6)] == [j for j in range(400, 0, -1) if abs(secs[i] - secs[j]) <= 60][:5] for i in got)
