@@ -121,6 +121,22 @@ def test_large_groups_of_edited_copies(spark):
         assert len(set(want)) > 20 and [got[i] for i in range(len(texts))] == want
 
 
+def test_small_groups_need_no_differences(spark, monkeypatch):
+    """Texts that share a passage with a few others: pairs tell them apart, and no rows of differences are made."""
+    r = random.Random(32)
+    texts = []
+    for _ in range(12):
+        part = prose(r, 40)
+        texts += [part + " " + prose(r, r.randrange(5, 30)) for _ in range(9)]
+        texts.append(edit(r, texts[-1], [3]))
+    sizes, whole = [], neardup.differences
+    monkeypatch.setattr(neardup, "differences", lambda groups, sets: sizes.extend(x["count"] for x in groups.groupBy("g").count().collect()) or whole(groups, sets))
+    got = {x.doc_id: x.component_id for x in neardup.near_duplicates(docs(spark, texts, False), 3, 85).collect()}
+    want = brute_components(texts, 3, 85)
+    assert 12 <= len(set(want)) < len(texts) and [got[i] for i in range(len(texts))] == want
+    assert all(n > 16 for n in sizes)
+
+
 def thue_morse(n):
     a, b = "a", "b"
     while len(a) < n:
