@@ -232,6 +232,23 @@ def test_passages_in_long_lists(spark):
         assert got[i].n_links <= sum(i in p for p in want)
 
 
+def test_long_lists_lose_no_partner(spark, monkeypatch):
+    """Pairs whose passages agree in one function alone are found where its list is long, too."""
+    monkeypatch.setattr(passages, "HOT", 10)  # long enough to have been treated in another way once
+    r = random.Random(11)
+    base = prose(r, 54)
+    texts = [edit(r, base, r.sample(range(54), r.choice([0, 1, 1, 2]))) for _ in range(100)]
+    sets = [list(passages.text_shingles(pa.array([t])))[0] for t in texts]
+    want = 0
+    for i, x in enumerate(sets):  # by brute force: a common window in any of the functions, with a passage in it
+        for j, y in enumerate(sets[:i]):
+            want += x.tobytes() != y.tobytes() and alike(texts[i], texts[j]) and any(
+                passages.pair_passages(x, y, [{"la": a, "ca": c, "ra": b, "lb": d, "cb": e, "rb": f} for a, c, b in passages.compact_windows(hx, 46) for d, e, f in passages.compact_windows(hy, 46) if hx[c] == hy[e]])
+                for k in range(passages.FUNCTIONS) for hx, hy in [[passages.B.mix(s + passages.B.U(7919 * (k + 1))) for s in (x, y)]])
+    want += sum(x.tobytes() == y.tobytes() for i, x in enumerate(sets) for y in sets[:i])
+    assert sum(x.n_links for x in passages.passage_table(docs(spark, texts)).collect()) == 2 * want
+
+
 def test_passages_in_a_chain(spark):
     r = random.Random(12)
     texts = [prose(r, 50)]
