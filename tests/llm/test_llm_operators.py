@@ -137,6 +137,35 @@ def test_small_groups_need_no_differences(spark, monkeypatch):
     assert all(n > 16 for n in sizes)
 
 
+def test_rows_of_differences_follow_the_group(spark, monkeypatch):
+    """A family with edits of its own in each copy, and a few close ones: the next round isn't larger than half of it, and the core is found from a near member."""
+    r = random.Random(35)
+    base = prose(r, 300)
+    texts = [base]
+    for i in range(90):
+        text = edit(r, base, r.sample(range(300), 1 if i % 3 == 0 else 14))
+        texts += [text] if i % 9 else [text, edit(r, text, [r.randrange(300)])]
+    seen, made, step, turn = [], [], neardup.next_groups, neardup.turned
+    size = F.sum(F.size("m") + F.size("e"))
+
+    def watched(df, percent):
+        out = common.cut(step(df, percent))
+        seen.append((df.count(), out.count()))
+        return out
+
+    def core(near):
+        out = common.cut(turn(near))
+        made.append((near.agg(size).first()[0], out.agg(size).first()[0]))
+        return out
+
+    monkeypatch.setattr(neardup, "next_groups", watched)
+    monkeypatch.setattr(neardup, "turned", core)
+    got = {x.doc_id: x.component_id for x in neardup.near_duplicates(docs(spark, texts, False), 3, 85).collect()}
+    assert [got[i] for i in range(len(texts))] == brute_components(texts, 3, 85)
+    assert seen and all(2 * out <= n for n, out in seen)
+    assert all(far <= 1.5 * near for far, near in made)
+
+
 def thue_morse(n):
     a, b = "a", "b"
     while len(a) < n:
