@@ -288,6 +288,25 @@ def test_passages_in_a_chain(spark):
     assert got == {i: (0, sum(i != j and (texts[i] == texts[j] or alike(texts[i], texts[j])) for j in range(11)), 1, True) for i in range(11)}
 
 
+def test_no_pairs_for_a_common_line(spark, monkeypatch):
+    """Texts that only share a line never meet, and a word over and over makes a few windows, not one for each place."""
+    r = random.Random(13)
+    line = prose(r, 15)
+    texts = [prose(r, 60) + " " + line + " " + prose(r, 60) for _ in range(40)] + [" ".join(["word"] * n) for n in range(60, 80)]
+    made, cut = [], passages.cut
+
+    def counted(df):
+        out = cut(df)
+        if "shared" in out.columns:
+            made.extend((x.a, x.n) for x in out.select("a", F.size("shared").alias("n")).collect())
+        return out
+
+    monkeypatch.setattr(passages, "cut", counted)
+    got = {x.doc_id: (x.class_id, x.n_links, x.n_spans, x.n_words) for x in passages.passage_table(docs(spark, texts)).collect()}
+    assert got == {i: (i, 0, 0, 0) for i in range(40)} | {40 + i: (40, 19, 1, 60 + i) for i in range(20)}
+    assert len(made) == 190 and all(a >= 40 and n <= 4 * passages.FUNCTIONS for a, n in made)
+
+
 def test_all_starts():
     r = np.random.default_rng(3)
     for top in (40, 10**6):  # with and without repeated shingles
