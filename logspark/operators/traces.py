@@ -7,9 +7,10 @@ with_spans().
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import groupby
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -20,7 +21,7 @@ from .search import at, newest_days
 
 ORDER = ("ts", "app_id", "event_id")
 SPAN = ("start_ts", "parent_span_id", "event_id")
-#: Most events of a trace that are kept, and the default.
+#: Most events of a trace that limit_traces() keeps, and the default.
 MOST, USUAL = 2000, 500
 
 
@@ -46,8 +47,14 @@ def assemble_traces(events: DataFrame, ids: DataFrame | None = None, apps: list[
     return rows if ids is None else rows.join(ids.select("trace_id").distinct(), "trace_id", "left_semi")
 
 
+def place_events(events: DataFrame) -> DataFrame:
+    """All events of each trace, with place (from 1) and truncated, which is false."""
+    events = with_spans(events) if not set(SPAN) <= set(events.columns) else events
+    return events.withColumn("place", F.row_number().over(Window.partitionBy("trace_id").orderBy(*ORDER))).withColumn("truncated", F.lit(False))
+
+
 def limit_traces(events: DataFrame, limit: int = USUAL) -> DataFrame:
-    """The oldest events of each trace, with place (from 1) and truncated."""
+    """The oldest events of each trace, as place_events(), and whether there are more."""
     events = with_spans(events) if not set(SPAN) <= set(events.columns) else events
     limit = max(1, min(MOST, limit))
     place = F.row_number().over(Window.partitionBy("trace_id").orderBy(*ORDER))
@@ -73,59 +80,92 @@ def link_spans(events: DataFrame) -> DataFrame:
     return found.select(*e.columns, F.when(F.col("parent") != F.col("place"), F.col("parent")).alias("parent"))
 
 
-def _tree(places: list[int], parents: list[int | None], begins: list[tuple]) -> list[tuple[int | None, int, int]]:
-    """(parent, depth, row) for each place of one trace of at most MOST rows, in order: rings cut, depth, and depth-first row numbers."""
-    parent, rooted = dict(zip(places, parents, strict=True)), set()
-    for node in places:
-        path, up = [], node
-        while up is not None and up not in rooted and up not in path[:1] and len(path) <= len(parent):
-            path.append(up)
-            up = parent.get(up)
-        if up is not None and up not in rooted:  # back at the node, or in a ring above it
-            parent[node] = None
-            path = [node]
-        rooted.update(path)
-    begin = dict(zip(places, begins, strict=True))
-    below: dict[int | None, list[int]] = {}
-    for node in sorted(parent, key=begin.__getitem__, reverse=True):
-        below.setdefault(parent[node], []).append(node)
-    out, todo = {}, [(node, 0) for node in below.get(None, [])]
-    while todo:
-        node, depth = todo.pop()
-        out[node] = (parent[node], depth, len(out) + 1)
-        todo += [(child, depth + 1) for child in below.get(node, [])]
-    return [out[node] for node in places]
+def _runs(ids: pa.Array) -> tuple[list[int], list]:
+    """Ends and values of the runs of equal ids, nulls among them."""
+    runs = pc.run_end_encode(ids)
+    return runs.run_ends.to_pylist(), runs.values.to_pylist()
+
+
+def _cut_rings(parent: np.ndarray, longest: int) -> np.ndarray:
+    """The parents of nodes, without (len(parent)) where a ring is cut: at each node that no root is above of and that comes before all that are above it."""
+    n = len(parent)
+    up, first = np.append(parent, n), np.arange(n + 1)
+    for _ in range(longest.bit_length()):  # all nodes above, twice as many in each step
+        if (up == n).all():
+            return parent
+        first = np.minimum(first, first[up])
+        up = up[up]
+    return np.where((up != n) & (first == np.arange(n + 1)), n, np.append(parent, n))[:n]
+
+
+def _numbered(parent: np.ndarray, trace: np.ndarray, order: np.ndarray, longest: int) -> tuple[np.ndarray, np.ndarray]:
+    """Depth and depth-first number (from 1 in each trace) of nodes without rings; order: all nodes, siblings in order.
+
+    A walk around each tree enters and leaves every node; what is left of the walk at each step adds up in steps that double, so deep trees cost no more than wide ones.
+    """
+    n, traces = len(parent), int(trace[-1]) + 1
+    top = np.where(parent == n, n + trace, parent)  # traces are nodes above their roots
+    by = order[np.argsort(top[order], kind="stable")]
+    nodes = n + traces
+    head = np.append(True, top[by[1:]] != top[by[:-1]])
+    after = np.arange(2 * nodes)  # entering is x, leaving nodes + x; the walk ends where a trace is left
+    after[:nodes] += nodes
+    after[top[by[head]]] = by[head]
+    tail = np.append(head[1:], True)
+    after[nodes + by] = np.where(tail, nodes + top[by], np.append(by[1:], 0))
+    seen, deep = np.zeros(2 * nodes, np.int32), np.zeros(2 * nodes, np.int32)
+    seen[:n] = deep[:n] = 1
+    deep[nodes : nodes + n] = -1
+    for _ in range((2 * longest + 2).bit_length()):
+        seen, deep, after = seen + seen[after], deep + deep[after], after[after]
+    return -deep[:n], seen[n + trace] - seen[:n] + 1
+
+
+def _tree(rows: pa.Table) -> pa.Table:
+    """Rows of whole traces, in order of trace and place, with parent (rings cut), depth and row in place of parent and the columns that only give the order of siblings."""
+    ends = np.array(_runs(rows["trace_id"].combine_chunks())[0])
+    lengths = np.diff(ends, prepend=0)
+    trace = np.repeat(np.arange(len(ends)), lengths)
+    key = trace * (1 << 32) + rows["place"].to_numpy()
+    named = rows["parent"].is_valid().to_numpy(zero_copy_only=False)
+    wanted = trace * (1 << 32) + pc.fill_null(rows["parent"], 0).to_numpy()
+    at = np.minimum(np.searchsorted(key, wanted), len(key) - 1)
+    parent, longest = np.where(named & (key[at] == wanted), at, len(key)), int(lengths.max())
+    parent = _cut_rings(parent, longest)
+    order = pc.sort_indices(rows, [(c, "ascending") for c in ("__begin", "__ts", "app_id", "event_id")]).to_numpy().astype(np.int64)
+    depth, row = _numbered(parent, trace, order, longest)
+    out = rows.drop_columns(["parent", "__begin", "__ts"])
+    root = parent == len(key)
+    places = pa.array(rows["place"].to_numpy()[np.where(root, 0, parent)], pa.int32(), mask=root)
+    for name, values in (("parent", places), ("depth", depth), ("row", row)):
+        out = out.append_column(name, pa.array(values, pa.int32()))
+    return out
+
+
+#: Rows of whole traces that are numbered at once, at least; a trace is never parted.
+TOGETHER = 20_000
 
 
 def _trees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows in order of trace and place, with what _tree() gives in place of parent and the columns that it needs; a trace may go on in the next batch."""
-    def finished(rows: pa.Table, lengths: list[int]) -> Iterator[pa.RecordBatch]:
-        places, parents = rows["place"].to_pylist(), rows["parent"].to_pylist()
-        begins = list(zip(*(rows[c].to_pylist() for c in ("__begin", "__ts", "app_id", "event_id")), strict=True))
-        got, i = [], 0
-        for n in lengths:
-            got += _tree(places[i : i + n], parents[i : i + n], begins[i : i + n])
-            i += n
-        out = rows.drop_columns(["parent", "__begin", "__ts"])
-        for k, name in enumerate(("parent", "depth", "row")):
-            out = out.append_column(name, pa.array([x[k] for x in got], pa.int32()))
-        return iter(out.combine_chunks().to_batches())
-
-    open_ = None
+    """_tree() of rows in order of trace and place; a trace may go on over any number of batches, and each is looked at once."""
+    held: list[pa.RecordBatch] = []
+    n, last = 0, None
     for batch in batches:
-        rows = pa.Table.from_batches([batch]) if open_ is None else pa.concat_tables([open_, pa.Table.from_batches([batch])])
-        lengths = [len(list(g)) for _, g in groupby(rows["trace_id"].to_pylist())]
-        if len(lengths) > 1:
-            done = len(rows) - lengths[-1]
-            yield from finished(rows.slice(0, done), lengths[:-1])
-            rows = rows.slice(done)
-        open_ = rows
-    if open_ is not None and len(open_):
-        yield from finished(open_, [len(open_)])
+        if not batch.num_rows:
+            continue
+        ends, ids = _runs(batch.column("trace_id"))
+        start = ends[-2] if len(ends) > 1 else 0
+        if n + start >= TOGETHER and (start or ids[0] != last):  # all before the batch's last trace is whole
+            yield from _tree(pa.Table.from_batches([*held, batch.slice(0, start)])).to_batches(max_chunksize=10_000)
+            held, n, batch = [], 0, batch.slice(start)
+        held.append(batch)
+        n, last = n + batch.num_rows, ids[-1]
+    if held:
+        yield from _tree(pa.Table.from_batches(held)).to_batches(max_chunksize=10_000)
 
 
 def span_tree(linked: DataFrame) -> DataFrame:
-    """Adds depth and row, and replaces parent by null where a ring was cut. Traces stream in order, each bounded by limit_traces()."""
+    """Adds depth and row, and replaces parent by null where a ring was cut. Traces of any length stream in order; one is held at a time, so leave out columns that aren't needed."""
     begin = F.when(F.col("is_span"), F.col("start_ts")).otherwise(F.col("ts"))
     rows = in_sequence(linked.withColumn("__begin", F.unix_micros(begin)).withColumn("__ts", F.unix_micros("ts")), ["trace_id"], "place")
     kept = [f for f in linked.schema if f.name != "parent"]
