@@ -171,21 +171,34 @@ def json_path(document: Column, path: str | Column) -> Column:
     return F.when(F.trim(path) != "", text)
 
 
-def whole_json(text: Column) -> Column:
-    """A text that is one JSON value and nothing else, as a variant; null for any other.
+def marked_json(text: Column) -> Column:
+    """A text in a list with its own hash after it, as a variant, for is_whole()."""
+    return F.try_parse_json(F.concat(F.lit("["), text, F.lit(","), F.xxhash64(text).cast("string"), F.lit("]")))
+
+
+def is_whole(marked: Column | str, text: Column) -> Column:
+    """Is the text of marked_json() one JSON value and nothing else?
 
     Spark's parsers stop after the first value. In a list with the text's own hash after it, anything that follows the value shows: the hash is missing, or not
     the second item.
     """
-    mark = F.xxhash64(text)
-    both = F.try_parse_json(F.concat(F.lit("["), text, F.lit(","), mark.cast("string"), F.lit("]")))
-    return F.when(F.try_variant_get(both, "$[1]", "bigint") == mark, F.try_variant_get(both, "$[0]", "variant"))
+    return F.try_variant_get(marked, "$[1]", "bigint") == F.xxhash64(text)
+
+
+def whole_json(text: Column) -> Column:
+    """A text that is one JSON value and nothing else, as a variant; null for any other. It is parsed once, as the value of a lambda."""
+    return F.element_at(F.transform(F.array(marked_json(text)), lambda m: F.when(is_whole(m, text), F.try_variant_get(m, "$[0]", "variant"))), 1)
 
 
 def valid_json(text: Column) -> Column:
     return F.coalesce(whole_json(text).isNotNull(), F.lit(False))
 
 
+def span_start(text: Column) -> Column:
+    """The start of a span from its text; a time without a date is no start: the clock isn't asked."""
+    return F.when(text.rlike(r"^\s*[+-]?\d{4,}-"), F.try_to_timestamp(text))
+
+
 # --- payloads ---------------------------------------------------------------------------------------------------
 
 _TOKEN = re.compile(r"\{\{(.*?)\}\}", re.S)

@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.text import span_start
 from ..shared import in_sequence
 from .ids import event_id
 from .search import at, newest_days
@@ -28,8 +29,7 @@ MOST, USUAL = 2000, 500
 def with_spans(events: DataFrame) -> DataFrame:
     """Log events with start_ts and parent_span_id, from the bag's _spanStart and _parentSpanId, and with event_id as text. What is there already stays."""
     start = F.get_json_object("properties", "$._spanStart")
-    # a time without a date is no start: the clock isn't asked
-    made = {"start_ts": F.when(start.rlike(r"^\s*[+-]?\d{4,}-"), F.try_to_timestamp(start)), "parent_span_id": F.get_json_object("properties", "$._parentSpanId"), "event_id": event_id(F.col("day"), F.col("id")) if "id" in events.columns else None}
+    made = {"start_ts": span_start(start), "parent_span_id": F.get_json_object("properties", "$._parentSpanId"), "event_id": event_id(F.col("day"), F.col("id")) if "id" in events.columns else None}
     return events.withColumns({k: v for k, v in made.items() if k not in events.columns and v is not None})
 
 
@@ -176,13 +176,15 @@ def waterfall(linked: DataFrame) -> DataFrame:
     """Adds offset_ms, left_pct and width_pct in the trace's span of time."""
     whole = Window.partitionBy("trace_id")
     begin = F.when(F.col("is_span"), F.unix_micros("start_ts")).otherwise(F.unix_micros("ts"))
-    start = F.min(begin).over(whole)
-    end = F.greatest(F.max(F.unix_micros("ts")).over(whole), start)
+    # first the trace's own values, so that one window gives them: what is made of them is no window's input again
+    rows = linked.select("*", F.min(begin).over(whole).alias("__start"), F.max(F.unix_micros("ts")).over(whole).alias("__last"))
+    start = F.col("__start")
+    end = F.greatest("__last", start)
     total = F.greatest((end - start) / 1000.0, F.lit(0.0))
     offset = (begin - start) / 1000.0
     left = F.least(F.lit(100.0), F.greatest(F.lit(0.0), offset * 100 / F.when(total > 0, total).otherwise(F.lit(1.0))))
     width = F.when(F.col("is_span"), (F.unix_micros("ts") - begin) / 1000.0).otherwise(F.lit(0.0)) * 100 / F.when(total > 0, total).otherwise(F.lit(1.0))
-    return linked.withColumn("offset_ms", offset).withColumn("left_pct", left).withColumn("width_pct", F.greatest(F.lit(0.0), F.least(width, F.lit(100.0) - F.col("left_pct"))))
+    return rows.withColumn("offset_ms", offset).withColumn("left_pct", left).withColumn("width_pct", F.greatest(F.lit(0.0), F.least(width, F.lit(100.0) - F.col("left_pct")))).drop("__start", "__last")
 
 
 def trace_summary(linked: DataFrame) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import event_type_hash, level_lookup, level_name, level_number, render_template, valid_json, whole_json
+from ..functions.text import event_type_hash, level_lookup, level_name, level_number, is_whole, marked_json, render_template, span_start, valid_json
 from ..operators.search import at
 
 # Limits of admission.
@@ -68,10 +68,14 @@ def _members(document: str, variant: str) -> tuple[Column, Column]:
 
 
 def _object(entries: Column) -> Column:
-    """JSON text of an object from an array of (k, v variant); of equal names the last one counts, in the place of the first."""
-    names = F.transform(entries, lambda e: e["k"])
-    distinct = F.transform(F.array_distinct(names), lambda k: F.struct(k.alias("k"), F.element_at(F.filter(entries, lambda e: e["k"] == k), -1)["v"].alias("v")))
-    return F.to_json(F.map_from_entries(F.when(F.size(F.array_distinct(names)) < F.size(names), distinct).otherwise(entries)))
+    """JSON text of an object from an array of (k, v variant); of equal names the last one counts, in the place of the first. The entries are made once, as the value of a lambda."""
+
+    def once(entries: Column) -> Column:
+        names = F.transform(entries, lambda e: e["k"])
+        distinct = F.transform(F.array_distinct(names), lambda k: F.struct(k.alias("k"), F.element_at(F.filter(entries, lambda e: e["k"] == k), -1)["v"].alias("v")))
+        return F.when(F.size(F.array_distinct(names)) < F.size(names), distinct).otherwise(entries)
+
+    return F.to_json(F.map_from_entries(F.element_at(F.transform(F.array(entries), once), 1)))
 
 
 def _entry(name: str, value: Column) -> Column:
@@ -85,20 +89,27 @@ def _finish(df: DataFrame) -> DataFrame:
     return df.withColumn("event_type", event_type_hash(F.col("template"), F.col("message")))
 
 
-def parse_clef(lines: DataFrame, now) -> DataFrame:
+def parse_clef(lines: DataFrame, now, spans: bool = False) -> DataFrame:
     """Adds the event's columns, and error for lines that are rejected. Other columns of lines stay.
 
-    A line is parsed once, to a map of variants; columns and the bag of properties are read from that map, so a name may hold any character. A time without a date
-    is no timestamp: the clock is an argument.
+    A line is parsed once; columns are read from its members, and the bag of properties from a map of them, so a name may hold any character. A time without a date
+    is no timestamp: the clock is an argument. With spans, start_ts and parent_span_id are columns, too: what traces.with_spans() reads from the bag.
     """
     own = [F.col(f"`{c}`") for c in lines.columns]
-    names, values = _members("line", "__v")
-    v = lines.withColumn("__v", whole_json(F.col("line"))).select(*own, names.alias("__k"), values.alias("__m"))
-    member = lambda name: F.try_element_at("__m", F.lit(name))
-    read = {"t": "@t", "l": "@l", "mt": "@mt", "msg": "@m", "x": "@x", "tr": "@tr", "sp": "@sp", "ps": "@ps", "st": "@st", "source": "SourceContext", "machine": "MachineName"}
-    v = v.select(*own, "__k", "__m", *[member(n).alias(f"__{k}") for k, n in read.items()])
-    c = {k: F.col(f"__{k}") for k in read}
-    stamp = F.when(c["t"].isNull(), at(now)).when(_string(c["t"]).rlike(r"^\s*[+-]?\d{4,}-"), F.try_to_timestamp(_string(c["t"])))
+    line, names = F.col("line"), _members("line", "__j")[0]
+    read = {"t": "@t", "l": "@l", "mt": "@mt", "msg": "@m", "x": "@x", "ps": "@ps", "st": "@st", "own_ps": "_parentSpanId", "own_st": "_spanStart"}
+    strings = {"tr": "@tr", "sp": "@sp", "source": "SourceContext", "machine": "MachineName"}
+    # steps stand in columns of their own: an expression would be computed in each place that reads it, and code that is too long isn't compiled
+    v = lines.withColumn("__j", marked_json(line))
+    is_object = is_whole("__j", line) & F.ltrim(line, F.lit(" \t\r\n")).startswith("{")
+    members = F.try_variant_get("__j", "$[0]", "struct<" + ",".join(f"`{n}`:variant" for n in (read | strings).values()) + ">")
+    values = F.try_variant_get("__j", "$[0]", "map<string,variant>")
+    v = v.select(*own, names.alias("__k"), *[F.when(is_object, x).alias(n) for x, n in ((members, "__s"), (values, "__m"))])
+    v = v.select(*own, "__k", "__m", "__s", *[F.col(f"__s.`{n}`").alias(f"__{k}") for k, n in (read | strings).items()])
+    c = {k: F.col(f"__{k}") for k in read | strings}
+    time = _string(c["t"])
+    stamp = F.when(c["t"].isNull(), at(now)).when(time.rlike(r"^\s*[+-]?\d{4,}-"), F.try_to_timestamp(time))
+    v = v.select(*own, "__k", "__m", F.col("__s").isNotNull().alias("__is"), stamp.alias("__stamp"), *[c[k] for k in read], *[_string(c[k]).alias(f"__{k}") for k in strings])
     raw_level = _text(c["l"])
     known = level_lookup(raw_level)
     # members in order: nested values as JSON strings, reserved names left out, @@ as @
@@ -109,14 +120,19 @@ def parse_clef(lines: DataFrame, now) -> DataFrame:
     extra = F.array_compact(F.array(
         F.when(_is(c["ps"], "STRING"), _entry("_parentSpanId", _string(c["ps"]))), F.when(_is(c["st"], "STRING"), _entry("_spanStart", _string(c["st"]))),
         F.when(raw_level.isNotNull() & known.isNull(), _entry("_rawLevel", raw_level))))
-    error = F.when(F.col("__m").isNull(), F.lit("not a JSON object")).when(stamp.isNull(), F.lit("invalid @t"))
+    error = F.when(~F.col("__is"), F.lit("not a JSON object")).when(F.col("__stamp").isNull(), F.lit("invalid @t"))
     out = v.select(
-        *own, F.when(error.isNull(), stamp).alias("ts"), F.coalesce(known, F.lit(2)).alias("level"), _text(c["mt"]).alias("template"), _text(c["msg"]).alias("message"), _text(c["x"]).alias("exception"),
-        _string(c["tr"]).alias("trace_id"), _string(c["sp"]).alias("span_id"), _string(c["source"]).alias("source"), _string(c["machine"]).alias("machine"),
-        F.when(F.col("__m").isNotNull(), _object(F.concat(bag, extra))).alias("properties"), error.alias("error"))
+        *own, F.when(F.col("__is"), F.col("__stamp")).alias("ts"), F.coalesce(known, F.lit(2)).alias("level"), _text(c["mt"]).alias("template"), _text(c["msg"]).alias("message"), _text(c["x"]).alias("exception"),
+        c["tr"].alias("trace_id"), c["sp"].alias("span_id"), c["source"].alias("source"), c["machine"].alias("machine"),
+        F.when(F.col("__is"), _object(F.concat(bag, extra))).alias("properties"), error.alias("error"), *([span_start(_kept(c["st"], c["own_st"])).alias("start_ts"), _kept(c["ps"], c["own_ps"]).alias("parent_span_id")] if spans else []))
     return _finish(out)
 
 
+def _kept(value: Column, own: Column) -> Column:
+    """What the bag holds under the name of a reified member: its text, or that of a property of that name; a JSON null is none."""
+    return F.coalesce(_string(value), F.when(~_is(own, "VOID"), _text(own)))
+
+
 PLAIN = "struct<timestamp:string,level:string,message:string,exception:string,template:string,traceId:string,spanId:string,source:string,properties:string>"
 
 

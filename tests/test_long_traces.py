@@ -1,12 +1,15 @@
 """Queries over traces hold whole traces, of any length, as their SQL does; rings and trees against a plain search."""
 
+import datetime as dt
 import random
 
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from logspark.catalog import ORACLE_SQL, QUERIES
 from logspark.operators import traces
+from logspark.sources import clef
 from tests.test_oracle import rows
 
 duckdb = pytest.importorskip("duckdb")
@@ -72,3 +75,14 @@ def test_trees_of_any_links(monkeypatch):
         monkeypatch.setattr(traces, "TOGETHER", rnd.choice([1, 20, 1000]))
         got = pa.Table.from_batches(traces._trees(iter(table.to_batches(max_chunksize=rnd.choice([1, 3, 50])))))
         assert list(zip(*(got[c].to_pylist() for c in ("parent", "depth", "row")), strict=True)) == want, trial
+
+
+def test_stored_spans_need_no_bag(spark):
+    """Starts and parents come from the parsed line as from its bag, which the waterfall of stored spans doesn't make; a trace's bounds come from one window."""
+    lines = ['{"@t":"2024-01-02","@st":"2024-01-01T00:00:00Z","@ps":"p","_spanStart":"2023-01-01"}', '{"_spanStart":"2023-01-01","_parentSpanId":"q","@ps":5}', '{"_spanStart":"12:30","_parentSpanId":null}', '{"_parentSpanId":[1]}',
+             '{"@st":null,"_spanStart":"2023-01-01"} x', "[]"]
+    both = clef.parse_clef(spark.createDataFrame(list(enumerate(lines)), "id int, line string"), dt.datetime(2024, 1, 1), spans=True).withColumn("day", F.to_date("ts"))
+    bag = traces.with_spans(both.drop("start_ts", "parent_span_id")).orderBy("id").select("start_ts", "parent_span_id").collect()
+    assert both.orderBy("id").select("start_ts", "parent_span_id").collect() == bag and [r.parent_span_id for r in bag] == ["p", "q", None, "[1]", None, None]
+    plan = QUERIES["stored_waterfall"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "map_from_entries" not in plan and sum(x.strip(" :+-").startswith("Window [") for x in plan.splitlines()) == 2
