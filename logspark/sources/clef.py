@@ -150,9 +150,9 @@ def parse_plain(bodies: DataFrame, now) -> DataFrame:
 
     # the body is bound once, as the value of a lambda, and no condition stands on items: as one, it would be pushed down with the whole body in each of its places
     items = F.element_at(F.transform(F.array("body"), as_items), 1)
-    e = bodies.select(*others, F.explode_outer(items).alias("i")).where("i is not null")  # an empty list has none
-    is_object = F.coalesce(F.trim("i.text").startswith("{"), F.lit(False))
-    e = e.select(*others, F.col("i.n").alias("item"), F.from_json("i.text", PLAIN).alias("e"), is_object.alias("is_object"))
+    e = bodies.select(*others, F.explode_outer(items).alias("__i")).where("__i is not null")  # an empty list has none
+    is_object = F.coalesce(F.trim("__i.text").startswith("{"), F.lit(False))
+    e = e.select(*others, F.col("__i.n").alias("item"), F.from_json("__i.text", PLAIN).alias("e"), is_object.alias("is_object"))
     stamp = F.when(F.col("e.timestamp").isNull(), at(now)).otherwise(F.try_to_timestamp("e.timestamp"))
     bag = F.coalesce(F.when(F.trim("e.properties").startswith("{"), F.col("e.properties")), F.lit("{}"))
     error = F.when(~F.col("is_object"), F.lit("not a JSON object")).when(stamp.isNull(), F.lit("invalid timestamp"))
