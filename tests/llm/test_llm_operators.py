@@ -620,3 +620,44 @@ def test_sketches_lose_no_links(share):
     t = neardup.least_common(neardup.RETAIN, share)
     lost = lambda t: sum(comb(neardup.RETAIN, i) * share**i * (1 - share) ** (neardup.RETAIN - i) for i in range(t))
     assert lost(t) <= neardup.LOSS < lost(t + 1) and t >= 8
+
+
+def test_pairs_carry_keys_not_windows(spark, monkeypatch):
+    """Texts of a few words in long runs meet in many windows: a pair carries the keys of its lists, a few for each function, and the spans are those of all shared windows."""
+    r = random.Random(21)
+    words = prose(r, 7).split()
+    texts = [" ".join(w for _ in range(24) for w in [r.choice(words)] * r.randint(30, 44)) for _ in range(4)]
+    made, cut = [], passages.cut
+
+    def counted(df):
+        out = cut(df)
+        if "shared" in out.columns:
+            made.extend(x.n for x in out.select(F.size("shared").alias("n")).collect())
+        return out
+
+    monkeypatch.setattr(passages, "cut", counted)
+    sets = [next(passages.text_shingles(pa.array([t]))) for t in texts]
+    got = collections.defaultdict(set)
+    for row in passages.linked_passages(docs(spark, texts))[0].collect():
+        got[row.a, row.b] |= {w for s in row.spans for w in range(s.fa, s.ta)}
+    assert made and max(made) <= passages.FUNCTIONS * len(set(np.concatenate(sets).tolist())) / 2
+    for b in range(len(texts)):
+        for a in range(b):
+            (kx, wx), (ky, wy) = (passages.keyed_windows(sets[i]) for i in (a, b))
+            shared = [dict(zip(passages._ENDS, [*wx[i].tolist(), *wy[j].tolist()], strict=True)) for i, j in np.argwhere(kx[:, None] == ky[None, :]).tolist()]
+            assert len(shared) > max(made)
+            assert got[a, b] == {w for s in passages.pair_passages(sets[a], sets[b], shared) for w in range(s["fa"], s["ta"])}
+
+
+def test_similar_starts_by_bits(monkeypatch):
+    """Many stretches are told by bits, few one by one: the same starts."""
+    r = np.random.default_rng(8)
+    for top in (30, 90, 10**6):
+        x = r.integers(0, top, 300).astype("u8")
+        y = np.concatenate([x[100:], r.integers(0, top, 60).astype("u8")])
+        n = len(x) + 1
+        code = np.unique([(j - i + n) * n + i for i in range(0, 250, 3) for j in range(0, 210, 2)])
+        monkeypatch.setattr(passages, "FEW", 4)
+        got = passages.similar_starts(x, y, code).tolist()
+        monkeypatch.setattr(passages, "FEW", 10**9)
+        assert got == passages.similar_starts(x, y, code).tolist()
